@@ -259,6 +259,36 @@ def event_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rec_inputs(spark: SparkSession, sf_dir: str, repo: str = REPO_ORDERS) -> DataFrame:
+    """Review submissions (FIXTURES A6) derived from ``labels``; some break the rules:
+    an unknown action, an unknown severity, a blank summary, an unknown issue."""
+    lb = table(spark, sf_dir, "labels")
+    lv = _levels()
+    return lb.select(
+        F.lit(repo).alias("repo"),
+        F.col("doc_id").alias("input_pos"),
+        F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 1000000).otherwise(F.col("doc_id"))
+         .alias("issue_number"),
+        F.when(F.col("toxic") == 1, "close_invalid").when(F.col("quality") == 1, "priority_high")
+         .otherwise("triage").alias("recommendation"),
+        F.element_at(lv, (F.col("doc_id") % 3 + 1).cast("int")).alias("confidence"),
+        F.when(F.col("doc_id") % 7 == 0, "critical").otherwise("medium").alias("severity"),
+        F.lit("low").alias("frequency"),
+        F.lit("low").alias("prevalence"),
+        F.element_at(lv, (F.expr("doc_id div 3") % 3 + 1).cast("int")).alias("solution_complexity"),
+        F.element_at(lv, (F.col("doc_id") % 3 + 1).cast("int")).alias("solution_risk"),
+        F.when((F.col("quality") == 0) & (F.col("toxic") == 0), F.lit(" \t "))
+         .otherwise(F.concat(F.lit("  review "), F.col("doc_id").cast("string"), F.lit(" "))).alias("summary"),
+        F.lit("because").alias("rationale"),
+        F.lit("report").alias("report"),
+        F.array(F.lit("core")).alias("affected_packages"),
+        F.array().cast("array<string>").alias("affected_paths"),
+        F.array().cast("array<string>").alias("affected_components"),
+        F.array().cast("array<bigint>").alias("merge_with"),
+        F.lit(None).cast("array<struct<number:bigint,title:string,url:string>>").alias("relevant_issues"),
+    )
+
+
 # ---------------------------------------------------------------- DuckDB views
 SQL_VIEWS: dict[str, str] = {
     "li_last": """SELECT l_orderkey, max(l_shipdate) AS last_ship, count(*) AS n_lines
@@ -353,6 +383,31 @@ SQL_VIEWS.update({
         + ", CAST(NULL AS VARCHAR) AS summary FROM metrics m, qedges q",
 })
 
+SQL_VIEWS.update({
+    "conv_issues": """SELECT conv_id AS pos, conv_id AS number, split_part(text, chr(10), 1) AS title,
+        text AS body, role AS author, CAST(NULL AS BIGINT) AS reactions_total
+        FROM conversations WHERE turn = 0""",
+    "conv_comments": """SELECT conv_id AS number, turn AS idx, text AS body, role AS author,
+        CAST(NULL AS BIGINT) AS reactions_total FROM conversations WHERE turn > 0""",
+    "docs_issues": """SELECT doc_id AS pos, doc_id AS number, substring(text, 1, 60) AS title, text AS body,
+        source AS author, CAST(NULL AS BIGINT) AS reactions_total FROM documents""",
+    "docs_comments": """SELECT doc_id // 10 AS number, doc_id AS idx, text AS body, lang AS author,
+        n_chars AS reactions_total FROM documents""",
+    "rec_inputs": """SELECT doc_id AS input_pos,
+        CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000 ELSE doc_id END AS issue_number,
+        CASE WHEN toxic = 1 THEN 'close_invalid' WHEN quality = 1 THEN 'priority_high' ELSE 'triage' END
+            AS recommendation,
+        ['low','medium','high'][doc_id % 3 + 1] AS confidence,
+        CASE WHEN doc_id % 7 = 0 THEN 'critical' ELSE 'medium' END AS severity,
+        'low' AS frequency, 'low' AS prevalence,
+        ['low','medium','high'][(doc_id // 3) % 3 + 1] AS solution_complexity,
+        ['low','medium','high'][doc_id % 3 + 1] AS solution_risk,
+        CASE WHEN quality = 0 AND toxic = 0 THEN ' ' || chr(9) || ' '
+             ELSE '  review ' || CAST(doc_id AS VARCHAR) || ' ' END AS summary,
+        'because' AS rationale, 'report' AS report
+        FROM labels""",
+})
+
 # view -> views it reads
 SQL_DEPS = {
     "issues": ["li_last"],

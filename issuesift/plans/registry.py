@@ -3,6 +3,7 @@
 Each query takes ``(spark, sf_dir)`` and returns a DataFrame with flat
 columns; timestamps are rendered as ``yyyy-MM-dd HH:mm:ss`` strings and
 doubles rounded to 6 places so the two engines can be compared by value.
+The catalog modules imported at the bottom fill ``QUERIES`` / ``ORACLE``.
 """
 
 from __future__ import annotations
@@ -12,11 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import sql_with
-from ..operators import metrics as M
-from ..operators import tools as T
-from . import enrich as E
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +20,8 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
@@ -40,29 +38,21 @@ def sql_ts(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
-_METRIC_COLS = ["number", "comment_count", "body_emojis", "comment_emojis", "total_emojis",
-                "age_days", "engagements"]
+# RE2 form of the Python whitespace class (functions.text.PY_WS)
+SQL_WS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+          "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')"
 
 
-# ------------------------------------------------------------------ A7-A11
-@register("metrics", sql_with("metrics") + """
-SELECT number, comment_count, body_emojis, comment_emojis, total_emojis, age_days, engagements,
-       round(engagements_per_day, 6) AS engagements_per_day FROM metrics""")
-def q_metrics(spark, sf):
-    return E.orders_metrics(spark, sf).select(
-        *_METRIC_COLS, F.round("engagements_per_day", 6).alias("engagements_per_day"))
+def sql_blank(x: str) -> str:
+    return f"({x} IS NULL OR regexp_full_match({x}, '{SQL_WS}*'))"
 
 
-# ------------------------------------------------------------------ A12 / F11
-@register("quartiles", sql_with("enriched") + """
-SELECT number, """ + ", ".join(f"{m}_quartile" for m in M.METRICS) + " FROM enriched")
-def q_quartiles(spark, sf):
-    return E.orders_enriched(spark, sf).select("number", *[f"{m}_quartile" for m in M.METRICS])
+def sql_trunc(x: str, n: int, suffix: str = "... [truncated]") -> str:
+    return f"(CASE WHEN length({x}) > {n} THEN substring({x}, 1, {n}) || '{suffix}' ELSE {x} END)"
 
 
-# ------------------------------------------------------------------ T1
-@register("top_issues", sql_with("enriched") + """
-SELECT number, title, summary, url FROM enriched WHERE total_emojis IS NOT NULL
-ORDER BY total_emojis DESC, pos ASC LIMIT 10""")
-def q_top_issues(spark, sf):
-    return T.top_issues(E.orders_enriched(spark, sf), "total_emojis", 10, descending=True)
+from . import catalog_core, catalog_text, catalog_tools  # noqa: E402,F401
