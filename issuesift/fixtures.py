@@ -408,6 +408,12 @@ SQL_VIEWS.update({
         FROM labels""",
 })
 
+SQL_VIEWS.update({
+    "ivec": """SELECT e.*, v.embedding FROM enriched e LEFT JOIN vectors v ON e.number = v.number""",
+    "xedges": """SELECT DISTINCT src, dst FROM xrefs WHERE type = 'issue' AND dst IS NOT NULL
+        AND dst IN (SELECT number FROM issues)""",
+})
+
 # view -> views it reads
 SQL_DEPS = {
     "issues": ["li_last"],
@@ -418,6 +424,8 @@ SQL_DEPS = {
     "metrics": ["metrics1"],
     "qedges": ["metrics"],
     "enriched": ["metrics", "qedges"],
+    "ivec": ["enriched", "vectors"],
+    "xedges": ["xrefs", "issues"],
 }
 
 

@@ -46,3 +46,10 @@ def orders_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_enriched(spark: SparkSession, sf_dir: str, quantile_method: str = "exact") -> DataFrame:
     c = orders_corpus(spark, sf_dir)
     return enrich_metrics(c["issues"], c["comments"], c["reactions"], quantile_method=quantile_method)
+
+
+def orders_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched orders whose first numbers carry the ``embeddings`` rows with the
+    same id (``vec_id = number``); the rest have no embedding."""
+    emb = fx.vectors(spark, sf_dir).select("number", "embedding")
+    return orders_enriched(spark, sf_dir).join(emb, "number", "left")
