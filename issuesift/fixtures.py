@@ -414,6 +414,22 @@ SQL_VIEWS.update({
         AND dst IN (SELECT number FROM issues)""",
 })
 
+SQL_VIEWS.update({
+    "vdocs": """SELECT i.pos, i.number, i.url, i.merged, i.mergeable, coalesce(c.n, 0) AS actual,
+        coalesce(c.claim, 0) AS claim, coalesce(c.n, 0) <> coalesce(c.claim, 0) AS mismatch,
+        (i.url LIKE '%/pull/%' OR i.mergeable IS NOT NULL OR i.merged IS NOT NULL) AS is_pr
+        FROM issues i LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS claim
+            FROM lineitem GROUP BY l_orderkey) c ON i.number = c.l_orderkey""",
+    "vmsgs": """SELECT pos, number, list_filter([
+        CASE WHEN mismatch THEN {'category': 'comments', 'message': 'comment count mismatch: number_of_comments='
+            || CAST(claim AS VARCHAR) || ', actual=' || CAST(actual AS VARCHAR)} END,
+        CASE WHEN is_pr THEN {'category': 'pull_request', 'message': 'PR missing ''baseRefName'' field'} END,
+        CASE WHEN is_pr THEN {'category': 'pull_request', 'message': 'PR missing ''headRefName'' field'} END,
+        CASE WHEN is_pr AND coalesce(merged, false) THEN {'category': 'pull_request',
+            'message': 'PR is merged but missing ''mergedAt'' field'} END], lambda x: x IS NOT NULL) AS messages
+        FROM vdocs""",
+})
+
 # view -> views it reads
 SQL_DEPS = {
     "issues": ["li_last"],
@@ -426,6 +442,8 @@ SQL_DEPS = {
     "enriched": ["metrics", "qedges"],
     "ivec": ["enriched", "vectors"],
     "xedges": ["xrefs", "issues"],
+    "vdocs": ["issues"],
+    "vmsgs": ["vdocs"],
 }
 
 

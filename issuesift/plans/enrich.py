@@ -53,3 +53,16 @@ def orders_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     same id (``vec_id = number``); the rest have no embedding."""
     emb = fx.vectors(spark, sf_dir).select("number", "embedding")
     return orders_enriched(spark, sf_dir).join(emb, "number", "left")
+
+
+def orders_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested order-issues (J1) whose ``number_of_comments`` is the count the
+    source claimed: distinct line numbers. Orders with repeated line numbers
+    therefore carry a comment-count mismatch, like pages that overlapped."""
+    from ..operators.assemble import assemble_issues
+
+    c = orders_corpus(spark, sf_dir)
+    claim = (fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("number"))
+             .agg(F.count_distinct("l_linenumber").cast("bigint").alias("_claim")))
+    docs = assemble_issues(c["issues"], c["comments"], c["xrefs"]).join(claim, "number", "left")
+    return docs.withColumn("number_of_comments", F.coalesce(F.col("_claim"), F.lit(0).cast("bigint"))).drop("_claim")
