@@ -55,4 +55,4 @@ def sql_trunc(x: str, n: int, suffix: str = "... [truncated]") -> str:
     return f"(CASE WHEN length({x}) > {n} THEN substring({x}, 1, {n}) || '{suffix}' ELSE {x} END)"
 
 
-from . import catalog_core, catalog_quality, catalog_text, catalog_tools, catalog_vec  # noqa: E402,F401
+from . import catalog_core, catalog_quality, catalog_sources, catalog_text, catalog_tools, catalog_vec  # noqa: E402,F401
