@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,17 @@ def _interp(lo: float, hi: float, frac: float) -> float:
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float] | None]:
     """Exact quantiles (linear interpolation) per column; None for an all-null column."""
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # the passes read only these columns; keep them (spillable, recomputable
+    # from lineage if an executor is lost) instead of re-running the input plan
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(d, cols, probs, accuracy)
+    finally:
+        d.unpersist()
+
+
+def _exact_quantiles(d: DataFrame, cols: list[str], probs: list[float],
+                     accuracy: int) -> dict[str, list[float] | None]:
     inner = sorted({float(p) for p in probs if 0.0 < p < 1.0})
     delta = 3.0 / accuracy
 
