@@ -65,7 +65,8 @@ def assemble_issues(items: DataFrame, comments: DataFrame, xrefs: DataFrame,
     extra = [c for c in ("mergeable", "merged", "merged_at", "base_ref", "head_ref", "item_type",
                          "pulled_date") if c in items.columns]
     return j.select(
-        *KEY, "pos", "title", "body", "state", "createdAt", "updatedAt", "url",
+        *KEY, *[c for c in ("pos", "page") if c in items.columns],
+        "title", "body", "state", "createdAt", "updatedAt", "url",
         F.struct(F.coalesce(F.col("author"), F.lit("ghost")).alias("login")).alias("author"),
         (F.col("labels") if "labels" in items.columns else F.array().cast(labels_t)).alias("labels"),
         (F.col("assignees") if "assignees" in items.columns else F.array().cast(assignees_t)).alias("assignees"),
