@@ -85,7 +85,8 @@ def add_metrics(issues: DataFrame, comments: DataFrame, reactions: DataFrame | N
            .withColumn("comment_emojis", F.coalesce(F.col("comment_emojis"), F.lit(0).cast("bigint")))
            .withColumn("body_emojis", with_fallback(body_sum, total))
            .withColumn("total_emojis", F.col("body_emojis") + F.col("comment_emojis"))
-           .withColumn("age_days", age_days(F.col("createdAt"), F.col("updatedAt")))
+           .withColumn("age_days", age_days(F.col("createdAt"), F.col("updatedAt"))
+                       if {"createdAt", "updatedAt"} <= set(issues.columns) else F.lit(None).cast("bigint"))
            .withColumn("engagements", F.col("comment_count") + F.col("total_emojis"))
            .withColumn("engagements_per_day",
                        engagements_per_day(F.col("engagements"), F.col("age_days"))))

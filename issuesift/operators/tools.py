@@ -228,3 +228,25 @@ def linked_issues(issues: DataFrame, xrefs: DataFrame, number: int) -> DataFrame
     # first stored match per reference (numbers are normally unique, so this is cheap)
     w = Window.partitionBy("repo", "ref_idx").orderBy("pos")
     return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+
+
+def enrich_stats(df: DataFrame) -> DataFrame:
+    """Total issues, with an embedding, with a summary (one pass)."""
+    emb = F.count_if(F.col("embedding").isNotNull()) if "embedding" in df.columns else F.lit(0).cast("bigint")
+    summ = F.count_if(F.col("summary").isNotNull()) if "summary" in df.columns else F.lit(0).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("total"), emb.alias("with_embedding"), summ.alias("with_summary"))
+
+
+def issue_tags(df: DataFrame, shown: int = 5) -> DataFrame:
+    """Non-empty label names (first ``shown`` joined, plus how many more) and
+    non-empty assignee logins, per issue."""
+    empty = F.array().cast("array<string>")
+    names = F.filter(F.coalesce(F.transform("labels", lambda x: x["name"]), empty),
+                     lambda n: n.isNotNull() & (n != ""))
+    logins = F.filter(F.coalesce(F.transform("assignees", lambda x: x["login"]), empty),
+                      lambda n: n.isNotNull() & (n != ""))
+    return df.select(
+        "number",
+        F.array_join(F.slice(names, 1, shown), ", ").alias("labels"),
+        F.greatest(F.size(names) - shown, F.lit(0)).cast("bigint").alias("more_labels"),
+        F.array_join(logins, ", ").alias("assignees"))

@@ -157,3 +157,43 @@ def q_summaries(spark, sf):
 
     out, _new = EM.summarize(E.orders_enriched(spark, sf), completer=first_title)
     return out.select("number", "summary")
+
+
+@register("enrich_full")
+def q_enrich_full(spark, sf):
+    """The whole enrichment over the documents corpus (conversation, cached
+    embedding, metrics, quartiles, summaries, k-NN lists). Rows-only."""
+    out, _cache = E.enrich(fx.docs_issues(spark, sf), fx.docs_comments(spark, sf))
+    return out.select("number", F.length("conversation").alias("conversation_chars"),
+                      F.size("embedding").alias("dims"), "comment_count", "total_emojis", "total_emojis_quartile",
+                      F.size("k4_distances").alias("neighbors"))
+
+
+@register("layout_export")
+def q_layout_export(spark, sf):
+    """Layout coordinates written as JSON lines and read back. Rows-only."""
+    from ..operators.knn import layout_2d
+    from ..sources.export import write_layout
+
+    path = scratch_path(spark, f"layout-{uuid.uuid4().hex}")
+    write_layout(layout_2d(fx.vectors(spark, sf), 100.0), path)
+    return spark.read.json(path)
+
+
+@register("migrate_docs")
+def q_migrate_docs(spark, sf):
+    """The orders' issue documents written in the legacy store layout
+    ``{"_default": {"<id>": doc}}`` (one file per page of documents), then
+    migrated back to a table. Rows-only."""
+    from ..sources.pages import migrate_documents
+
+    docs = E.orders_documents(spark, sf)
+    path = scratch_path(spark, f"legacy-{uuid.uuid4().hex}")
+    page = F.expr("number div 1000")
+    body = docs.select(page.alias("page"), F.col("number").cast("string").alias("id"),
+                       F.to_json(F.struct(*[c for c in docs.columns if c not in ("repo", "pos")])).alias("doc"))
+    files = body.groupBy("page").agg(F.concat(F.lit('{"_default": {'), F.array_join(F.collect_list(
+        F.concat(F.lit('"'), F.col("id"), F.lit('": '), F.col("doc"))), ", "), F.lit("}}")).alias("value"))
+    files.select("value").write.text(path)
+    m = migrate_documents(spark, path, fx.REPO_ORDERS)
+    return m.select("doc_id", "number", "title", "state", "number_of_comments")

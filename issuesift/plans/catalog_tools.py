@@ -344,3 +344,24 @@ def q_union_types(spark, sf):
         "mergeable", "merged", "merged_at", "base_ref", "head_ref")
     prs = iss.where(F.col("item_type") == "pull_request")
     return issues_only.unionByName(prs, allowMissingColumns=True).select("number", "item_type", "merged")
+
+
+# ------------------------------------------------------------------ A13, A20
+@register("enrich_stats", sql_with("ivec") + """
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(embedding) AS BIGINT) AS with_embedding,
+       CAST(count(summary) AS BIGINT) AS with_summary FROM ivec""")
+def q_enrich_stats(spark, sf):
+    return T.enrich_stats(E.orders_with_embeddings(spark, sf))
+
+
+@register("issue_tags", sql_with("issues") + """
+SELECT number, 'prio-' || substring(title, 1, 1) AS labels, CAST(0 AS BIGINT) AS more_labels, '' AS assignees
+FROM issues""")
+def q_issue_tags(spark, sf):
+    from ..sources import pages as P
+    from .catalog_sources import graphql_pages
+
+    ip, pp = graphql_pages(spark, sf)
+    items = P.normalize_graphql_pages(ip, "issues", fx.REPO_ORDERS).unionByName(
+        P.normalize_graphql_pages(pp, "pull_requests", fx.REPO_ORDERS), allowMissingColumns=True)
+    return T.issue_tags(items)

@@ -66,3 +66,31 @@ def orders_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.count_distinct("l_linenumber").cast("bigint").alias("_claim")))
     docs = assemble_issues(c["issues"], c["comments"], c["xrefs"]).join(claim, "number", "left")
     return docs.withColumn("number_of_comments", F.coalesce(F.col("_claim"), F.lit(0).cast("bigint"))).drop("_claim")
+
+
+def enrich(issues: DataFrame, comments: DataFrame, reactions: DataFrame | None = None,
+           embed_cache: DataFrame | None = None, embedder=None, completer=None, k: int = 4,
+           quantile_method: str = "exact", materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The whole enrichment (reference ``enrich`` command): conversation text,
+    embedding (cached), metrics, quartile labels, summaries (after quartiles),
+    k-NN lists. Returns ``(enriched issues, new embedding-cache rows)``.
+
+    ``materialize`` checkpoints the intermediate tables into the shared
+    checkpoint folder, cutting lineage before the global steps."""
+    from ..operators.conversation import conversation, embedding_text
+    from ..operators.embed import embed_issues, summarize
+    from ..operators.knn import knn_neighbors
+
+    df = conversation(issues, comments, reactions)
+    df = embedding_text(df, comments)
+    df, new_cache = embed_issues(df, "embed_text", cache=embed_cache, embedder=embedder)
+    if materialize:
+        # text + embeddings are the expensive part; every later global step
+        # (quantile passes, k-NN) reads this checkpoint instead of recomputing it
+        df = df.checkpoint(eager=True)
+    df = enrich_metrics(df.drop("summary") if "summary" in df.columns else df, comments, reactions,
+                        quantile_method=quantile_method, materialize=materialize)
+    df, _new_summaries = summarize(df, completer=completer)
+    if materialize:
+        df = df.checkpoint(eager=True)
+    return knn_neighbors(df, k, "cosine"), new_cache
