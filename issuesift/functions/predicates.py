@@ -11,11 +11,26 @@ def norm_state(col: str | Column = "state") -> Column:
     return F.lower(F.coalesce(c, F.lit("")))
 
 
+def case_variants(word: str) -> list[str]:
+    """All upper/lower spellings of an ASCII word (``open`` -> 16 strings)."""
+    out = [""]
+    for ch in word:
+        out = [p + c for p in out for c in {ch.lower(), ch.upper()}]
+    return sorted(out)
+
+
+def state_is(value: str, col: str | Column = "state") -> Column:
+    """``lower(state) == value`` written as ``state IN (all spellings)``: the
+    same rows for these ASCII words, but a filter Parquet can push down."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c.isin(case_variants(value))
+
+
 def status_predicate(status: str | None, col: str | Column = "state") -> Column:
     """``open``/``closed`` (any case) select that state; anything else keeps every row."""
     s = (status or "").lower()
     if s in ("open", "closed"):
-        return norm_state(col) == F.lit(s)
+        return state_is(s, col)
     return F.lit(True)
 
 
@@ -23,7 +38,7 @@ def strict_status_predicate(status: str | None, col: str | Column = "state") ->
     """Cross-reference variant: an unknown status matches nothing."""
     s = (status or "").lower()
     if s in ("open", "closed"):
-        return norm_state(col) == F.lit(s)
+        return state_is(s, col)
     return F.lit(False)
 
 

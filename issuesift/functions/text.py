@@ -11,9 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters Python's str.split()/str.strip() treat as whitespace.
-PY_WS = ("[\\t\\n\\x0B\\x0C\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-         "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
+# Characters Python's str.split()/str.strip() treat as whitespace
+# (code points 9-13, 28-32, 133, 160, 5760, 8192-8202, 8232, 8233, 8239, 8287, 12288).
+PY_WS_CODES = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+PY_WS_CHARS = "".join(chr(c) for c in PY_WS_CODES)
+# the same set as a Java regex character class
+PY_WS = "[" + "".join(f"\\x{{{c:X}}}" for c in PY_WS_CODES) + "]"
+# control characters other than tab / LF / CR, and the characters deleted outright
+_CONTROL = "".join(chr(c) for c in range(1, 32) if c not in (9, 10, 13))
+_DELETE = "\x00\ufeff"
 
 # Reaction names and their emoji, in the order the API lists them.
 EMOJI = [
@@ -48,14 +54,14 @@ def _c(c: str | Column) -> Column:
 
 
 def py_strip(c: str | Column) -> Column:
-    """``str.strip()``."""
-    return F.regexp_replace(_c(c), f"^{PY_WS}+|{PY_WS}+$", "")
+    """``str.strip()``: trims the Python whitespace set (linear, no regex)."""
+    return F.trim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def is_blank(c: str | Column) -> Column:
     """True for null or whitespace-only text (``not s or not s.strip()``)."""
     x = _c(c)
-    return x.isNull() | F.regexp_like(x, F.lit(f"^{PY_WS}*$"))
+    return x.isNull() | (F.length(py_strip(x)) == 0)
 
 
 def truncate(c: str | Column, n: int, suffix: str = TRUNC_SUFFIX) -> Column:
@@ -67,10 +73,10 @@ def truncate(c: str | Column, n: int, suffix: str = TRUNC_SUFFIX) -> Column:
 def sanitize(c: str | Column, limit: int = SANITIZE_LIMIT) -> Column:
     """drop NUL/BOM, other control characters (not tab/LF/CR) to spaces,
     collapse whitespace runs to one space and trim, cut at ``limit`` + ``...``."""
-    x = F.regexp_replace(_c(c), "[\\x00\\x{FEFF}]", "")
-    x = F.regexp_replace(x, "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]", " ")
-    x = F.regexp_replace(x, f"{PY_WS}+", " ")
-    x = F.regexp_replace(x, "^ | $", "")
+    x = F.translate(_c(c), _DELETE, "")                        # drop NUL and BOM
+    x = F.translate(x, _CONTROL, " " * len(_CONTROL))          # other controls -> space
+    x = F.regexp_replace(x, f"{PY_WS}+", " ")                  # one regex: collapse runs
+    x = F.trim(x)                                              # only single spaces remain at the ends
     return truncate(x, limit, "...")
 
 

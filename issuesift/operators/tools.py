@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import (difficulty, issue_type, norm_state, status_predicate,
+from ..functions.predicates import (difficulty, issue_type, norm_state, state_is, status_predicate,
                                     strict_status_predicate)
 from .metrics import METRICS
 
@@ -53,13 +53,12 @@ def list_filter(df: DataFrame, status: str = "all", type_: str = "all") -> DataF
     """
     pr = F.col("pull_request") if "pull_request" in df.columns else None
     t = issue_type("url", pr)
-    st = norm_state()
     cond = F.lit(True)
     if status == "merged":
         merged = F.coalesce(F.col("merged"), F.lit(False)) if "merged" in df.columns else F.lit(False)
-        cond = (t == "pr") & ((st == "merged") | ((st == "closed") & merged))
+        cond = (t == "pr") & (state_is("merged") | (state_is("closed") & merged))
     elif status in ("open", "closed"):
-        cond = st == status
+        cond = state_is(status)
     elif status != "all":
         raise ValueError("status must be one of all, open, closed, merged")
     if type_ == "issues":
@@ -95,7 +94,7 @@ def pull_filter(df: DataFrame, include_closed: bool = True, item_types: str = "b
     """The pull options as filters."""
     cond = F.lit(True)
     if not include_closed:
-        cond = norm_state() == "open"
+        cond = state_is("open")
     if item_types == "issues":
         cond = cond & (F.col("item_type") == "issue")
     elif item_types == "prs":

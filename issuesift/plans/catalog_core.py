@@ -25,7 +25,8 @@ def q_metrics(spark, sf):
 @register("quartiles", sql_with("enriched") + """
 SELECT number, """ + ", ".join(f"{m}_quartile" for m in M.METRICS) + " FROM enriched")
 def q_quartiles(spark, sf):
-    return E.orders_enriched(spark, sf).select("number", *[f"{m}_quartile" for m in M.METRICS])
+    # the quartile operator itself: computed here, not read from a stored table
+    return E.orders_enriched(spark, sf, reuse=False).select("number", *[f"{m}_quartile" for m in M.METRICS])
 
 
 @register("top_issues", sql_with("enriched") + """

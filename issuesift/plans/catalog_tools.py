@@ -233,6 +233,23 @@ def q_xref_status(spark, sf):
     return T.cross_referenced(c["issues"], c["xrefs"], 100, "open").select("src", "idx", "dst", "type")
 
 
+@register("xref_status_118", sql_with("issues", "xrefs") + """
+SELECT x.src, x.idx, x.dst, x.type FROM xrefs x
+WHERE x.src = 118 AND EXISTS (SELECT 1 FROM issues WHERE number = 118)
+  AND x.dst IN (SELECT number FROM issues WHERE lower(coalesce(state, '')) = 'open')""")
+def q_xref_status_open_118(spark, sf):
+    # an issue whose references reach open issues (the first example reaches none)
+    c = E.orders_corpus(spark, sf)
+    return T.cross_referenced(c["issues"], c["xrefs"], 118, "open").select("src", "idx", "dst", "type")
+
+
+@register("xref_unknown_status", sql_with("xrefs") + "SELECT src, idx, dst, type FROM xrefs WHERE false")
+def q_xref_unknown_status(spark, sf):
+    # an unrecognised status returns nothing for cross references
+    c = E.orders_corpus(spark, sf)
+    return T.cross_referenced(c["issues"], c["xrefs"], 118, "pending").select("src", "idx", "dst", "type")
+
+
 @register("xref_all", sql_with("issues", "xrefs") + """
 SELECT x.src, x.idx, x.dst, x.type FROM xrefs x
 WHERE x.src = 100 AND EXISTS (SELECT 1 FROM issues WHERE number = 100)""")
@@ -362,6 +379,6 @@ def q_issue_tags(spark, sf):
     from .catalog_sources import graphql_pages
 
     ip, pp = graphql_pages(spark, sf)
-    items = P.normalize_graphql_pages(ip, "issues", fx.REPO_ORDERS).unionByName(
-        P.normalize_graphql_pages(pp, "pull_requests", fx.REPO_ORDERS), allowMissingColumns=True)
+    items = P.read_graphql_pages(spark, ip, "issues", fx.REPO_ORDERS).unionByName(
+        P.read_graphql_pages(spark, pp, "pull_requests", fx.REPO_ORDERS), allowMissingColumns=True)
     return T.issue_tags(items)

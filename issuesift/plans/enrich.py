@@ -43,9 +43,19 @@ def orders_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_metrics(c["issues"], c["comments"], c["reactions"])
 
 
-def orders_enriched(spark: SparkSession, sf_dir: str, quantile_method: str = "exact") -> DataFrame:
-    c = orders_corpus(spark, sf_dir)
-    return enrich_metrics(c["issues"], c["comments"], c["reactions"], quantile_method=quantile_method)
+def orders_enriched(spark: SparkSession, sf_dir: str, quantile_method: str = "exact",
+                    reuse: bool = True) -> DataFrame:
+    """Metrics + quartiles of the order issues. With ``reuse`` the table is
+    written once per session (``plans.materialize``) and read by later queries,
+    as tools read the stored enriched collection."""
+    def build() -> DataFrame:
+        c = orders_corpus(spark, sf_dir)
+        return enrich_metrics(c["issues"], c["comments"], c["reactions"], quantile_method=quantile_method)
+
+    if not reuse:
+        return build()
+    from .materialize import stored
+    return stored(spark, f"orders-enriched-{quantile_method}-{sf_dir}", build)
 
 
 def orders_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,17 +65,25 @@ def orders_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_enriched(spark, sf_dir).join(emb, "number", "left")
 
 
-def orders_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_documents(spark: SparkSession, sf_dir: str, reuse: bool = True) -> DataFrame:
     """Nested order-issues (J1) whose ``number_of_comments`` is the count the
     source claimed: distinct line numbers. Orders with repeated line numbers
-    therefore carry a comment-count mismatch, like pages that overlapped."""
+    therefore carry a comment-count mismatch, like pages that overlapped.
+    With ``reuse`` the document collection is stored once per session."""
     from ..operators.assemble import assemble_issues
 
-    c = orders_corpus(spark, sf_dir)
-    claim = (fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("number"))
-             .agg(F.count_distinct("l_linenumber").cast("bigint").alias("_claim")))
-    docs = assemble_issues(c["issues"], c["comments"], c["xrefs"]).join(claim, "number", "left")
-    return docs.withColumn("number_of_comments", F.coalesce(F.col("_claim"), F.lit(0).cast("bigint"))).drop("_claim")
+    def build() -> DataFrame:
+        c = orders_corpus(spark, sf_dir)
+        claim = (fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("number"))
+                 .agg(F.count_distinct("l_linenumber").cast("bigint").alias("_claim")))
+        docs = assemble_issues(c["issues"], c["comments"], c["xrefs"]).join(claim, "number", "left")
+        return docs.withColumn("number_of_comments",
+                               F.coalesce(F.col("_claim"), F.lit(0).cast("bigint"))).drop("_claim")
+
+    if not reuse:
+        return build()
+    from .materialize import stored
+    return stored(spark, f"orders-documents-{sf_dir}", build)
 
 
 def enrich(issues: DataFrame, comments: DataFrame, reactions: DataFrame | None = None,

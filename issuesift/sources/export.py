@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 def open_issues_export(issues: DataFrame) -> DataFrame:
     """S8 rows: ``{name: '#n', title, url, summary}`` of open issues (state compared
     case-insensitively, since ingest stores lower-case states)."""
-    return (issues.where(F.upper(F.coalesce(F.col("state"), F.lit(""))) == "OPEN")
+    from ..functions.predicates import state_is
+
+    return (issues.where(state_is("open"))
             .select(F.concat(F.lit("#"), F.col("number").cast("string")).alias("name"),
                     F.coalesce(F.col("title"), F.lit("")).alias("title"),
                     F.coalesce(F.col("url"), F.lit("")).alias("url"),
