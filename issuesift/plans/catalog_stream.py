@@ -50,7 +50,9 @@ WHERE rn = 1""")
 def q_stream_upsert(spark, sf):
     root = scratch_path(spark, f"stream-upsert-{uuid.uuid4().hex}")
     land = _land_events(spark, sf, root)
-    q = X.start_upsert_stream(_stream(spark, land), os.path.join(root, "table"), os.path.join(root, "ckpt"))
+    # bucket count sized to the data (a few buckets for the test scales)
+    q = X.start_upsert_stream(_stream(spark, land), os.path.join(root, "table"), os.path.join(root, "ckpt"),
+                              num_buckets=8)
     q.awaitTermination()
     out = X.read_latest(spark, os.path.join(root, "table"))
     return out.select("number", "pos", "state", ts_str("updatedAt").alias("updatedAt"))

@@ -4,10 +4,10 @@ The reference polls the API from a watermark with a one-week overlap and
 upserts item by item. Here landed files are a file stream:
 
 * X1 ``start_upsert_stream``: ``readStream`` -> normalise -> ``foreachBatch``
-  that dedupes the batch (W1) and upserts it (S3) into a new generation of
-  the table. Generation ``g`` is written from generation ``g-1`` and named by
-  the batch id, so a replayed batch rewrites the same generation from the same
-  input: idempotent. Readers use the newest committed generation.
+  that dedupes the batch (W1) and upserts it (S3) into the hash buckets it
+  touches, written as generation ``g`` (the batch id) of those buckets only.
+  A replayed batch rebuilds the same generation from the same older state:
+  idempotent. Readers use each bucket's newest committed generation.
 * X2 ``late_data_guard``: watermark + ``dropDuplicatesWithinWatermark`` for
   the live feed (not for the first backfill, see SURVEY X2).
 * X3 ``weekly_activity``: watermark + weekly tumbling windows.
@@ -32,50 +32,84 @@ _GEN = "gen="
 
 
 # ---------------------------------------------------------------- generations
+# Table layout: <root>/gen=<batch id>/_bucket=<b>/part-*.parquet. A key lives in
+# bucket pmod(xxhash64(repo, number), N). Micro-batch g rewrites only the
+# buckets its rows touch, into gen=g; a bucket's current data is its newest
+# committed generation (Spark's _SUCCESS marker). Work per batch is therefore
+# proportional to the touched buckets, not to the table.
+DEFAULT_BUCKETS = 64
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def committed_generations(spark: SparkSession, root: str) -> list[int]:
-    """Generation numbers under ``root`` that have a ``_SUCCESS`` marker."""
-    fs, p = _fs(spark, root)
+def _list_dirs(spark: SparkSession, path: str, prefix: str) -> list[tuple[str, str]]:
+    fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
+    return [(st.getPath().getName(), st.getPath().toString()) for st in fs.listStatus(p)
+            if st.isDirectory() and st.getPath().getName().startswith(prefix)]
+
+
+def committed_generations(spark: SparkSession, root: str) -> list[int]:
+    """Generation numbers under ``root`` whose write finished (``_SUCCESS``)."""
     out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(_GEN):
-            if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[len(_GEN):]))
+    fs, _ = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    for name, full in _list_dirs(spark, root, _GEN):
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(full, "_SUCCESS")):
+            out.append(int(name[len(_GEN):]))
     return sorted(out)
 
 
+def current_buckets(spark: SparkSession, root: str, before: int | None = None) -> dict[int, str]:
+    """Bucket -> folder of its newest committed generation (optionally older than ``before``)."""
+    cur: dict[int, tuple[int, str]] = {}
+    for g in committed_generations(spark, root):
+        if before is not None and g >= before:
+            continue
+        for name, full in _list_dirs(spark, f"{root}/{_GEN}{g}", "_bucket="):
+            b = int(name.split("=", 1)[1])
+            if b not in cur or cur[b][0] < g:
+                cur[b] = (g, full)
+    return {b: path for b, (_g, path) in cur.items()}
+
+
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
-    gens = committed_generations(spark, root)
-    if not gens:
-        return None
-    return spark.read.parquet(os.path.join(root, f"{_GEN}{gens[-1]}"))
-
-
-def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int) -> None:
-    """Write generation ``batch_id`` = upsert(previous generation, batch)."""
-    gens = [g for g in committed_generations(spark, root) if g < batch_id]
-    upd = latest_version(batch)
-    if gens:
-        prev = spark.read.parquet(os.path.join(root, f"{_GEN}{gens[-1]}"))
-        new = upsert(prev, upd, dedupe=False)
+    paths = list(current_buckets(spark, root).values())
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int,
+                 num_buckets: int = DEFAULT_BUCKETS) -> None:
+    """Write generation ``batch_id``: for each bucket the batch touches,
+    upsert(that bucket's current rows, the batch's rows). Replaying a batch
+    rebuilds the same generation from the same older state."""
+    bucket = F.pmod(F.xxhash64("repo", "number"), F.lit(num_buckets)).cast("int")
+    upd = latest_version(batch).withColumn("_bucket", bucket)
+    touched = sorted(r[0] for r in upd.select("_bucket").distinct().collect())  # at most num_buckets ints
+    if not touched:
+        return
+    cur = current_buckets(spark, root, before=batch_id)
+    prev_paths = [cur[b] for b in touched if b in cur]
+    if prev_paths:
+        prev = spark.read.parquet(*prev_paths)
+        new = upsert(prev, upd.drop("_bucket"), dedupe=False)
     else:
-        new = upd
-    new.write.mode("overwrite").parquet(os.path.join(root, f"{_GEN}{batch_id}"))
+        new = upd.drop("_bucket")
+    (new.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite")
+     .partitionBy("_bucket").parquet(os.path.join(root, f"{_GEN}{batch_id}")))
 
 
-def start_upsert_stream(stream: DataFrame, table_root: str, checkpoint: str, available_now: bool = True):
+def start_upsert_stream(stream: DataFrame, table_root: str, checkpoint: str, available_now: bool = True,
+                        num_buckets: int = DEFAULT_BUCKETS):
     """Run the upsert stream; returns the ``StreamingQuery``."""
     spark = stream.sparkSession
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: upsert_batch(spark, df, table_root, bid)))
+         .foreachBatch(lambda df, bid: upsert_batch(spark, df, table_root, bid, num_buckets)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
