@@ -1,19 +1,21 @@
 """Conversation text (F4 + W2) and embedding text (F5 + W3) per issue.
 
 Both are prefix cuts over an issue's comments in order: keep comments while
-the running length stays within a budget. The running length is a window
-``sum`` over ``(repo, number)`` ordered by ``idx`` (a spillable, streaming
-frame); only kept parts are gathered per issue, so the gathered array is
-bounded by the budget, not by the number of comments. Lengths are >= 0, so
-the running sum never decreases and "while" equals "running sum <= budget".
+the running length stays within a budget. The running length comes from
+``windows.running_sum`` (range-partitioned, so an issue with a third of all
+comments is split over many tasks); only kept parts are gathered per issue,
+so for the conversation the gathered array is bounded by the budget, not by
+the number of comments. Lengths are >= 0, so the running sum never decreases
+and "while" equals "running sum <= budget".
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .windows import running_sum
 
 KEY = ["repo", "number"]
 
@@ -54,11 +56,10 @@ def conversation(issues: DataFrame, comments: DataFrame, reactions: DataFrame |
     skipped; comments stop once their truncated lengths would pass 25,000."""
     c = comments.where(~X.is_blank(F.col("body")))
     t = X.truncate(F.col("body"), X.CONV_COMMENT_LIMIT)
-    w = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = c.select(*KEY, "idx", t.alias("_t"),
                  F.concat(F.coalesce(F.col("author"), F.lit("unknown")), F.lit(": "),
                           X.py_strip(t), _comment_emoji(comments)).alias("_part"))
-    c = c.withColumn("_run", F.sum(F.length("_t")).over(w))
+    c = running_sum(c.withColumn("_len", F.length("_t")), KEY, "idx", "_len", "_run")
     # the first comment over budget ends the list; everything after it is dropped
     c = c.where(F.col("_run") - F.length("_t") <= X.CONV_COMMENTS_LIMIT)
     c = c.withColumn("_over", F.col("_run") > X.CONV_COMMENTS_LIMIT)
@@ -94,9 +95,9 @@ def embedding_text(issues: DataFrame, comments: DataFrame, column: str = "embed_
     """Append the text that is embedded: ``title\\nbody\\ncomments`` (body cut at
     15,000; comments, blank ones included, while their raw lengths stay within
     8,000, then a marker), stripped; null when empty."""
-    w = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = F.coalesce(F.col("body"), F.lit(""))
-    c = comments.select(*KEY, "idx", b.alias("_b")).withColumn("_run", F.sum(F.length("_b")).over(w))
+    c = running_sum(comments.select(*KEY, "idx", b.alias("_b"), F.length(b).alias("_len")), KEY, "idx", "_len",
+                    "_run")
     c = c.where(F.col("_run") - F.length("_b") <= X.EMBED_COMMENTS_LIMIT)
     c = c.withColumn("_over", F.col("_run") > X.EMBED_COMMENTS_LIMIT)
     parts = _gather(c, "_b", "_over")

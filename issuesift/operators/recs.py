@@ -77,10 +77,18 @@ def ordinal(n: Column) -> Column:
     return e
 
 
-def with_ordinal(recs: DataFrame) -> DataFrame:
-    """Position of each review in its issue's log and its ordinal word."""
-    w = Window.partitionBy(*KEY).orderBy("seq")
-    return recs.withColumn("position", F.row_number().over(w)).withColumn("ordinal", ordinal(F.col("position")))
+def with_ordinal(recs: DataFrame, dense_seq: bool = True) -> DataFrame:
+    """Position of each review in its issue's log and its ordinal word.
+
+    ``append_recommendations`` numbers reviews 1, 2, 3, ... per issue, so the
+    position is ``seq`` itself: a narrow projection with no per-issue window
+    (an issue with a huge review log is no hot task). ``dense_seq=False``
+    ranks by ``seq`` with a window for logs numbered some other way."""
+    if dense_seq:
+        pos = F.col("seq").cast("int")
+    else:
+        pos = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq"))
+    return recs.withColumn("position", pos).withColumn("ordinal", ordinal(F.col("position")))
 
 
 def append_recommendations(issues: DataFrame, recs: DataFrame, inputs: DataFrame,
