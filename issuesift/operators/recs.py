@@ -111,7 +111,10 @@ def append_recommendations(issues: DataFrame, recs: DataFrame, inputs: DataFrame
     rejected = found.where(F.col("errors").isNotNull())
     ok = found.where(F.col("errors").isNull()).drop("errors")
 
-    prior = recs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_prior"))
+    # prior review counts only for the issues in this batch (the log can be large)
+    batch_keys = ok.select("repo", F.col("issue_number").alias("number")).distinct()
+    prior = (recs.join(batch_keys, KEY, "left_semi").groupBy(*KEY)
+             .agg(F.count(F.lit(1)).alias("_prior")))
     w = Window.partitionBy("repo", "issue_number").orderBy(order_col)
     ok = (ok.withColumn("_k", F.row_number().over(w))
           .join(prior.withColumnRenamed("number", "issue_number"), ["repo", "issue_number"], "left"))
