@@ -56,3 +56,16 @@ def test_weekly_activity_stream(spark, tmpdir_path):
     assert sum(got.values()) == fx.table(spark, SF_SMALL, "events").count()
     assert all(k.startswith("2024-01-01") or k >= "2024-01-08" for k in got)
     assert os.path.isdir(f"{tmpdir_path}/landing")
+
+
+def test_batch_rewrites_only_touched_buckets(spark, tmpdir_path):
+    root = f"{tmpdir_path}/bucketed"
+    rows = [("r", n, n, "t", "open", "2024-01-01 00:00:00") for n in range(40)]
+    first = spark.createDataFrame(rows, "repo string, number long, pos long, title string, state string, u string") \
+        .withColumn("updatedAt", F.to_timestamp("u")).drop("u")
+    X.upsert_batch(spark, first, root, 0, num_buckets=8)
+    one = first.where("number = 7").withColumn("state", F.lit("closed")).withColumn("pos", F.lit(100))
+    X.upsert_batch(spark, one, root, 1, num_buckets=8)
+    assert len(X._list_dirs(spark, f"{root}/gen=1", "_bucket=")) == 1
+    cur = {r.number: (r.state, r.pos) for r in X.read_latest(spark, root).collect()}
+    assert len(cur) == 40 and cur[7] == ("closed", 100) and cur[8] == ("open", 8)
