@@ -6,9 +6,9 @@ parallel and skew-free:
 
 * every embedded issue gets a block ``pmod(xxhash64(id), B)``; ids are unique,
   so blocks are even (no hot block even when one value repeats a lot);
-* each row is replicated B times as a query and B times as a candidate and
-  the two sides are co-grouped on the ``(query block, candidate block)``
-  grid -- B^2 independent tasks, each one dense matrix product in NumPy;
+* each row is replicated to the B unordered block pairs that contain its
+  block; a pair ``(lo, hi)`` is one task with one dense matrix product in
+  NumPy that answers both directions -- B(B+1)/2 independent tasks;
 * a task keeps, per query row, the k smallest ``(distance, id)`` candidates
   (ties at the cut resolved by id, so duplicates cannot blow up the output);
 * the B*k candidates per query are reduced by ``row_number() <= k``, which
@@ -74,39 +74,53 @@ def similar_issues(df: DataFrame, number: int, threshold: float = 0.8, limit: in
 
 
 # ---------------------------------------------------------------- K1 / K3 exact
-def _block_topk(k: int, metric: str):
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="int64"),
-                              "distance": pd.Series([], dtype="float64")})
-        if q.empty or c.empty:
-            return empty
-        c = c.sort_values("id", kind="stable")
-        qid = q["id"].to_numpy(np.int64)
-        cid = c["id"].to_numpy(np.int64)
-        Q = np.vstack([np.asarray(v, dtype=np.float64) for v in q["v"].to_numpy()])
-        C = np.vstack([np.asarray(v, dtype=np.float64) for v in c["v"].to_numpy()])
-        if metric == "cosine":
-            qn = np.linalg.norm(Q, axis=1)
-            cn = np.linalg.norm(C, axis=1)
-            Qu = np.divide(Q, qn[:, None], out=np.zeros_like(Q), where=qn[:, None] > 0)
-            Cu = np.divide(C, cn[:, None], out=np.zeros_like(C), where=cn[:, None] > 0)
-            D = 1.0 - Qu @ Cu.T
-        else:
-            sq = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-            D = np.sqrt(np.maximum(sq, 0.0))
-        D[qid[:, None] == cid[None, :]] = np.inf
-        kk = min(k, D.shape[1])
-        part = np.argpartition(D, kk - 1, axis=1)[:, :kk]
-        thr = np.take_along_axis(D, part, axis=1).max(axis=1)
-        ties = np.nonzero((D <= thr[:, None]).sum(axis=1) > kk)[0]
-        if len(ties):
-            # ties at the cut: a stable sort keeps ascending candidate id among equals
-            part[ties] = np.argsort(D[ties], axis=1, kind="stable")[:, :kk]
-        r = np.repeat(np.arange(D.shape[0]), kk)
-        cc = part.ravel()
-        d = D[r, cc]
-        ok = np.isfinite(d)
-        return pd.DataFrame({"q": qid[r[ok]], "c": cid[cc[ok]], "distance": d[ok]})
+def _distances(Q: np.ndarray, C: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        qn = np.linalg.norm(Q, axis=1)
+        cn = np.linalg.norm(C, axis=1)
+        Qu = np.divide(Q, qn[:, None], out=np.zeros_like(Q), where=qn[:, None] > 0)
+        Cu = np.divide(C, cn[:, None], out=np.zeros_like(C), where=cn[:, None] > 0)
+        return 1.0 - Qu @ Cu.T
+    sq = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
+    return np.sqrt(np.maximum(sq, 0.0))
+
+
+def _topk_rows(D: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int) -> pd.DataFrame:
+    """Per row of D the k smallest (distance, candidate id); ``cid`` ascending,
+    self pairs masked. Ties at the cut are resolved by candidate id."""
+    D = D.copy()
+    D[qid[:, None] == cid[None, :]] = np.inf
+    kk = min(k, D.shape[1])
+    part = np.argpartition(D, kk - 1, axis=1)[:, :kk]
+    thr = np.take_along_axis(D, part, axis=1).max(axis=1)
+    ties = np.nonzero((D <= thr[:, None]).sum(axis=1) > kk)[0]
+    if len(ties):
+        # a stable sort keeps ascending candidate id among equal distances
+        part[ties] = np.argsort(D[ties], axis=1, kind="stable")[:, :kk]
+    r = np.repeat(np.arange(D.shape[0]), kk)
+    cc = part.ravel()
+    d = D[r, cc]
+    ok = np.isfinite(d)
+    return pd.DataFrame({"q": qid[r[ok]], "c": cid[cc[ok]], "distance": d[ok]})
+
+
+def _pair_topk(k: int, metric: str):
+    """One (lo, hi) block pair: one distance matrix serves both directions."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
+        a = g[g["blk"] == lo].sort_values("id", kind="stable")
+        b = a if lo == hi else g[g["blk"] == hi].sort_values("id", kind="stable")
+        if a.empty or b.empty:
+            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        aid, bid = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+        A = np.vstack([np.asarray(v, dtype=np.float64) for v in a["v"].to_numpy()])
+        B = A if lo == hi else np.vstack([np.asarray(v, dtype=np.float64) for v in b["v"].to_numpy()])
+        D = _distances(A, B, metric)
+        out = [_topk_rows(D, aid, bid, k)]
+        if lo != hi:
+            out.append(_topk_rows(D.T, bid, aid, k))
+        return pd.concat(out, ignore_index=True)
     return run
 
 
@@ -115,8 +129,11 @@ def knn_pairs(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Exact k nearest neighbours of every embedded row: ``(q, c, distance, rank)``.
 
-    ``df`` holds one collection (ids unique). ``metric`` is ``cosine``
-    (1 - cosine similarity) or ``euclidean``.
+    Rows are hashed into B blocks; every unordered block pair (lo <= hi) is one
+    task holding both blocks, and one distance matrix answers both directions,
+    so each vector is shipped B times and each distance computed once
+    (B(B+1)/2 tasks). ``df`` holds one collection (ids unique); ``metric`` is
+    ``cosine`` (1 - cosine similarity) or ``euclidean``.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("metric must be cosine or euclidean")
@@ -127,12 +144,10 @@ def knn_pairs(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
         num_blocks = max(1, math.ceil(n / block_rows))
     B = int(num_blocks)
     blk = F.pmod(F.xxhash64("id"), F.lit(B)).cast("int")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(B - 1)))
-    # fresh aliases on both sides: the two sides share one lineage
-    q = emb.select(F.col("id").alias("id"), F.col("v").alias("v"), blk.alias("qb"), grid.alias("cb"))
-    c = emb.select(F.col("id").alias("id"), F.col("v").alias("v"), grid.alias("qb"), blk.alias("cb"))
-    cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(_block_topk(k, metric), schema="q long, c long, distance double"))
+    rep = (emb.select("id", "v", blk.alias("blk"))
+           .select("id", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("other"))
+           .select("id", "v", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")))
+    cand = rep.groupBy("lo", "hi").applyInPandas(_pair_topk(k, metric), schema="q long, c long, distance double")
     w = Window.partitionBy("q").orderBy("distance", "c")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
