@@ -442,7 +442,7 @@ SQL_DEPS = {
     "enriched": ["metrics", "qedges"],
     "ivec": ["enriched", "vectors"],
     "xedges": ["xrefs", "issues"],
-    "vdocs": ["issues"],
+    "vdocs": ["issues", "li_last"],
     "vmsgs": ["vdocs"],
 }
 

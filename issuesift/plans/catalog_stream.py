@@ -148,7 +148,7 @@ def q_prompt_text(spark, sf):
     return p.select("number", F.length("prompt").alias("prompt_chars"), "prompt")
 
 
-@register("summaries")
+@register("summaries", sql_with("enriched") + "SELECT number, title || ' (summary)' AS summary FROM enriched")
 def q_summaries(spark, sf):
     """E2 with a local completer plug-in (first sentence of the conversation),
     cache-backed; the default without a completer yields null summaries."""
@@ -182,7 +182,9 @@ def q_layout_export(spark, sf):
     return spark.read.json(path)
 
 
-@register("migrate_docs")
+@register("migrate_docs", sql_with("vdocs") + """
+SELECT v.number AS doc_id, v.number, i.title, i.state, v.claim AS number_of_comments
+FROM vdocs v JOIN issues i ON v.number = i.number""")
 def q_migrate_docs(spark, sf):
     """The orders' issue documents written in the legacy store layout
     ``{"_default": {"<id>": doc}}`` (one file per page of documents), then
