@@ -104,6 +104,20 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
      .partitionBy("_bucket").parquet(os.path.join(root, f"{_GEN}{batch_id}")))
 
 
+def compact(spark: SparkSession, root: str, num_buckets: int = DEFAULT_BUCKETS) -> int | None:
+    """Rewrite every bucket's current rows as one new generation (after the
+    newest one), so readers list one generation again. Returns its number."""
+    gens = committed_generations(spark, root)
+    cur = read_latest(spark, root)
+    if cur is None:
+        return None
+    g = gens[-1] + 1
+    bucket = F.pmod(F.xxhash64("repo", "number"), F.lit(num_buckets)).cast("int")
+    (cur.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite")
+     .partitionBy("_bucket").parquet(os.path.join(root, f"{_GEN}{g}")))
+    return g
+
+
 def start_upsert_stream(stream: DataFrame, table_root: str, checkpoint: str, available_now: bool = True,
                         num_buckets: int = DEFAULT_BUCKETS):
     """Run the upsert stream; returns the ``StreamingQuery``."""

@@ -69,3 +69,8 @@ def test_batch_rewrites_only_touched_buckets(spark, tmpdir_path):
     assert len(X._list_dirs(spark, f"{root}/gen=1", "_bucket=")) == 1
     cur = {r.number: (r.state, r.pos) for r in X.read_latest(spark, root).collect()}
     assert len(cur) == 40 and cur[7] == ("closed", 100) and cur[8] == ("open", 8)
+
+    g = X.compact(spark, root, num_buckets=8)
+    assert set(X.current_buckets(spark, root).values()) == {
+        p for p in X.current_buckets(spark, root).values() if f"gen={g}" in p}
+    assert {r.number: (r.state, r.pos) for r in X.read_latest(spark, root).collect()} == cur
