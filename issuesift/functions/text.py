@@ -15,11 +15,27 @@ from pyspark.sql import functions as F
 # (code points 9-13, 28-32, 133, 160, 5760, 8192-8202, 8232, 8233, 8239, 8287, 12288).
 PY_WS_CODES = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 PY_WS_CHARS = "".join(chr(c) for c in PY_WS_CODES)
+
+
+def _regex_class(codes: list[int]) -> str:
+    """A Java regex character class for ``codes``, consecutive codes as ranges."""
+    codes = sorted(set(codes))
+    parts, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        lo, hi = codes[i], codes[j]
+        parts.append(f"\\x{{{lo:X}}}" if lo == hi else f"\\x{{{lo:X}}}-\\x{{{hi:X}}}")
+        i = j + 1
+    return "[" + "".join(parts) + "]"
+
+
 # the same set as a Java regex character class
-PY_WS = "[" + "".join(f"\\x{{{c:X}}}" for c in PY_WS_CODES) + "]"
-# control characters other than tab / LF / CR, and the characters deleted outright
-_CONTROL = "".join(chr(c) for c in range(1, 32) if c not in (9, 10, 13))
-_DELETE = "\x00\ufeff"
+PY_WS = _regex_class(PY_WS_CODES)
+# sanitising turns control characters (other than NUL) into spaces and then
+# collapses whitespace runs; one class of both does it in a single pass
+_WS_OR_CONTROL = _regex_class(PY_WS_CODES + list(range(1, 32)))
 
 # Reaction names and their emoji, in the order the API lists them.
 EMOJI = [
@@ -73,9 +89,9 @@ def truncate(c: str | Column, n: int, suffix: str = TRUNC_SUFFIX) -> Column:
 def sanitize(c: str | Column, limit: int = SANITIZE_LIMIT) -> Column:
     """drop NUL/BOM, other control characters (not tab/LF/CR) to spaces,
     collapse whitespace runs to one space and trim, cut at ``limit`` + ``...``."""
-    x = F.translate(_c(c), _DELETE, "")                        # drop NUL and BOM
-    x = F.translate(x, _CONTROL, " " * len(_CONTROL))          # other controls -> space
-    x = F.regexp_replace(x, f"{PY_WS}+", " ")                  # one regex: collapse runs
+    x = F.replace(F.replace(_c(c), F.lit("\x00"), F.lit("")), F.lit("\ufeff"), F.lit(""))  # drop NUL, BOM
+    # controls become spaces and whitespace runs one space: both in one regex pass
+    x = F.regexp_replace(x, f"{_WS_OR_CONTROL}+", " ")
     x = F.trim(x)                                              # only single spaces remain at the ends
     return truncate(x, limit, "...")
 
