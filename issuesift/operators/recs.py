@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
+from .windows import running_sum
 
 KEY = ["repo", "number"]
 
@@ -115,9 +116,11 @@ def append_recommendations(issues: DataFrame, recs: DataFrame, inputs: DataFrame
     batch_keys = ok.select("repo", F.col("issue_number").alias("number")).distinct()
     prior = (recs.join(batch_keys, KEY, "left_semi").groupBy(*KEY)
              .agg(F.count(F.lit(1)).alias("_prior")))
-    w = Window.partitionBy("repo", "issue_number").orderBy(order_col)
-    ok = (ok.withColumn("_k", F.row_number().over(w))
-          .join(prior.withColumnRenamed("number", "issue_number"), ["repo", "issue_number"], "left"))
+    # position inside the batch per issue: a running count, split by range so
+    # a batch aimed mostly at one issue is not one task
+    ok = running_sum(ok.withColumn("_one", F.lit(1).cast("bigint")), ["repo", "issue_number"], order_col,
+                     "_one", "_k").drop("_one")
+    ok = ok.join(prior.withColumnRenamed("number", "issue_number"), ["repo", "issue_number"], "left")
     ri_t = "array<struct<number:bigint,title:string,url:string>>"
     rel = (F.coalesce(F.col("relevant_issues").cast(ri_t), F.array().cast(ri_t))
            if "relevant_issues" in ok.columns else F.array().cast(ri_t))
