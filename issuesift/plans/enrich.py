@@ -50,7 +50,10 @@ def orders_enriched(spark: SparkSession, sf_dir: str, quantile_method: str = "ex
     as tools read the stored enriched collection."""
     def build() -> DataFrame:
         c = orders_corpus(spark, sf_dir)
-        return enrich_metrics(c["issues"], c["comments"], c["reactions"], quantile_method=quantile_method)
+        # the metrics table is checkpointed before the global quantile step, so
+        # the quantile passes and the labelling read it instead of re-joining
+        return enrich_metrics(c["issues"], c["comments"], c["reactions"], quantile_method=quantile_method,
+                              materialize=True)
 
     if not reuse:
         return build()
