@@ -23,10 +23,18 @@ def _key(spark: SparkSession, name: str) -> tuple:
     return (spark.sparkContext.applicationId, ensure_checkpoint_dir(spark), name)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stored_path(spark: SparkSession, name: str, build: Callable[[], DataFrame], fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> str:
     k = _key(spark, name)
     path = _PATHS.get(k)
+    if path is not None and not _exists(spark, path):
+        path = None                      # removed meanwhile: write it again
     if path is None:
         path = scratch_path(spark, f"{name.replace('/', '_')}-{uuid.uuid4().hex}")
         w = build().write.mode("overwrite")
