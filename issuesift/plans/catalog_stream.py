@@ -58,6 +58,22 @@ def q_stream_upsert(spark, sf):
     return out.select("number", "pos", "state", ts_str("updatedAt").alias("updatedAt"))
 
 
+@register("stream_rest_pages", sql_with("issues") + f"""
+SELECT number, CASE WHEN item_type = 'pull_request' THEN 'closed' ELSE state END AS state, item_type,
+  {sql_ts('updatedAt')} AS updatedAt FROM issues""")
+def q_stream_rest_pages(spark, sf):
+    """X1 end to end: landed REST pages -> stream -> normalise (S5) -> dedupe
+    -> bucketed upsert (S3) -> current table."""
+    from .catalog_sources import rest_items
+
+    root = scratch_path(spark, f"stream-rest-{uuid.uuid4().hex}")
+    stream = X.rest_page_stream(spark, rest_items(spark, sf), fx.REPO_ORDERS, files_per_trigger=2)
+    q = X.start_upsert_stream(stream, os.path.join(root, "table"), os.path.join(root, "ckpt"), num_buckets=8)
+    q.awaitTermination()
+    out = X.read_latest(spark, os.path.join(root, "table"))
+    return out.select("number", "state", "item_type", ts_str("updatedAt").alias("updatedAt"))
+
+
 @register("stream_late_guard", sql_with("updates") + f"""
 SELECT number, pos, {sql_ts('updatedAt')} AS updatedAt FROM updates""")
 def q_stream_late_guard(spark, sf):

@@ -128,6 +128,18 @@ def start_upsert_stream(stream: DataFrame, table_root: str, checkpoint: str, ava
     return w.start()
 
 
+def rest_page_stream(spark: SparkSession, path: str, repo: str, files_per_trigger: int | None = None) -> DataFrame:
+    """X1 source: landed REST issue pages (JSON Lines, one page per line) as a
+    stream of normalised items (S5); new files are picked up incrementally."""
+    from ..sources.pages import REST_ITEM_SCHEMA, normalize_rest_items
+
+    r = spark.readStream.schema(REST_ITEM_SCHEMA)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    items = r.json(path)
+    return normalize_rest_items(items, repo).withColumn("pos", F.col("number"))
+
+
 def late_data_guard(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     """Drop repeats of (repo, number, updatedAt) seen within the delay."""
     return (stream.withWatermark("updatedAt", delay)
