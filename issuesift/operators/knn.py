@@ -175,26 +175,39 @@ def knn_neighbors(df: DataFrame, k: int = 4, metric: str = "cosine", column: str
 
 
 # ---------------------------------------------------------------- K5 approximate
-def knn_lsh(df: DataFrame, k: int = 4, max_distance: float = 1.2, bucket_length: float = 1.0,
-            num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """K5 (addition): approximate cosine neighbours for collections where n^2 is
-    out of reach. Unit vectors make L2 monotone in cosine (d^2 = 2 - 2 cos), so
-    ``BucketedRandomProjectionLSH`` on normalised vectors finds near-cosine
-    pairs; candidates are ranked like K1. Recall is below 1 by design."""
+def knn_lsh(df: DataFrame, k: int = 4, bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7,
+            block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """K5 (addition): approximate cosine neighbours for collections where the
+    exact grid is out of reach. Random-projection LSH (Spark ML) on unit
+    vectors puts near vectors into the same bucket of some hash table; each
+    bucket is then searched exactly with the bounded block-pair kernel of K1.
+    A bucket larger than ``block_rows`` (e.g. many copies of one text) is
+    split into sub-blocks by id hash and searched pair by pair, so no task
+    holds a whole hot bucket and no step emits all pairs of a bucket -- only
+    the k best per row and task. Recall is below 1 by design."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    emb = df.where(has_embedding()).select(F.col("number").alias("id"),
+    emb = df.where(has_embedding()).select(F.col("number").cast("bigint").alias("id"),
                                            array_to_vector(F.col("embedding")).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="vec", p=2.0).transform(emb)
     model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(unit)
-    pairs = (model.approxSimilarityJoin(unit, unit, max_distance, distCol="l2")
-             .select(F.col("datasetA.id").alias("q"), F.col("datasetB.id").alias("c"), "l2")
-             .where(F.col("q") != F.col("c"))
-             .withColumn("distance", F.col("l2") * F.col("l2") / 2.0))
+    hashed = (model.transform(unit)
+              .select("id", vector_to_array("vec").alias("v"), F.posexplode("h").alias("t", "hv"))
+              .select("id", "v", "t", vector_to_array("hv")[0].alias("b")))
+    sizes = hashed.groupBy("t", "b").agg(F.count(F.lit(1)).alias("_n"))
+    sub = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
+    blocked = (hashed.join(sizes, ["t", "b"])
+               .withColumn("_s", sub)
+               .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int")))
+    rep = (blocked.select("id", "v", "t", "b", "blk", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("o"))
+           .select("id", "v", "t", "b", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi")))
+    cand = (rep.groupBy("t", "b", "lo", "hi")
+            .applyInPandas(_pair_topk(k, "cosine"), schema="q long, c long, distance double"))
+    best = cand.groupBy("q", "c").agg(F.min("distance").alias("distance"))   # found by several tables
     w = Window.partitionBy("q").orderBy("distance", "c")
-    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("q", "c", "distance", "rank"))
 
 

@@ -85,8 +85,12 @@ def test_cosine_zero_and_length(spark):
 
 
 def test_lsh_and_layout_shapes(spark):
-    df, _v, _i = _frame(spark, n=80)
-    pairs = K.knn_lsh(df, 4, max_distance=2.0).collect()
-    assert all(r.q != r.c and r.rank <= 4 for r in pairs)
+    df, vecs, ids = _frame(spark, n=80)
+    pairs = K.knn_lsh(df, 4, bucket_length=2.0, block_rows=16).collect()
+    assert pairs and all(r.q != r.c and r.rank <= 4 for r in pairs)
+    exact = brute(vecs, ids, 80, "cosine")
+    for r in pairs:   # every reported distance is the exact distance of that pair
+        d = dict((c, x) for x, c in exact[r.q])[r.c]
+        assert abs(d - r.distance) < 1e-9
     lay = K.layout_2d(df, 10.0).collect()
     assert len(lay) == 80 and all(r.x is not None for r in lay)
