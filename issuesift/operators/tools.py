@@ -214,6 +214,8 @@ def cross_referenced(issues: DataFrame, xrefs: DataFrame, number: int,
             .join(target.withColumnRenamed("number", "src"), ["repo", "src"], "left_semi"))
     if not status:
         return refs
+    # with a status, a reference needs a (truthy) number that names a stored issue
+    refs = refs.where(F.col("dst").isNotNull() & (F.col("dst") != 0))
     states = (issues.select("repo", F.col("number").alias("dst"), norm_state().alias("_st"))
               .where(strict_status_predicate(status, F.col("_st"))).select("repo", "dst").distinct())
     return refs.join(states, ["repo", "dst"], "left_semi")

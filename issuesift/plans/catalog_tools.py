@@ -227,7 +227,7 @@ def q_select_numbers(spark, sf):
 @register("xref_status", sql_with("issues", "xrefs") + """
 SELECT x.src, x.idx, x.dst, x.type FROM xrefs x
 WHERE x.src = 100 AND EXISTS (SELECT 1 FROM issues WHERE number = 100)
-  AND x.dst IN (SELECT number FROM issues WHERE lower(coalesce(state, '')) = 'open')""")
+  AND x.dst <> 0 AND x.dst IN (SELECT number FROM issues WHERE lower(coalesce(state, '')) = 'open')""")
 def q_xref_status(spark, sf):
     c = E.orders_corpus(spark, sf)
     return T.cross_referenced(c["issues"], c["xrefs"], 100, "open").select("src", "idx", "dst", "type")
@@ -236,7 +236,7 @@ def q_xref_status(spark, sf):
 @register("xref_status_118", sql_with("issues", "xrefs") + """
 SELECT x.src, x.idx, x.dst, x.type FROM xrefs x
 WHERE x.src = 118 AND EXISTS (SELECT 1 FROM issues WHERE number = 118)
-  AND x.dst IN (SELECT number FROM issues WHERE lower(coalesce(state, '')) = 'open')""")
+  AND x.dst <> 0 AND x.dst IN (SELECT number FROM issues WHERE lower(coalesce(state, '')) = 'open')""")
 def q_xref_status_open_118(spark, sf):
     # an issue whose references reach open issues (the first example reaches none)
     c = E.orders_corpus(spark, sf)
