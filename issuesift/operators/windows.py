@@ -37,6 +37,8 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
     running sums inside its (partition, group) slices, the slice totals (one
     row per slice) give each slice's offset, and the offset is added back.
     The partitioned data is checkpointed so both passes see the same split.
+    Cost versus a plain window: one range shuffle and a checkpoint write more,
+    in exchange for no task ever holding a whole group.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
