@@ -14,7 +14,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from issuesift.session import DEFAULT_CONF
+    from issuesift.session import DEFAULT_CONF, ship_package
 
     b = SparkSession.builder.master("local[*]").appName("issuesift-tests").config(
         "spark.sql.shuffle.partitions", "8")
@@ -24,6 +24,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="issuesift-test-ckpt-"))
+    ship_package(s)
     yield s
     s.stop()
 
