@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, url_filter
-from .common import table
+from . import langid, mixing, packing, quality, toxicity, url_filter
+from .common import held_out, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,24 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.decompose(table(spark, sf_dir, "documents"), tokenizer_path())
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@register("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 5, 0)
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@register("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 4, 2)
+    return langid.predict_language(table(spark, sf_dir, "documents"), ~out).select(
+        "doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 5, 0)
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
