@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +11,7 @@ from ..session import ensure_checkpoint_dir
 
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The same white space for ``str.translate`` / ``str.split(" ")`` in Python tasks.
-SPACES = "\x09\x0a\x0b\x0c\x0d\x20"
-_TO_BLANK = {ord(c): " " for c in SPACES}
-_LOWER = {ord(u): lo for u, lo in zip(string.ascii_uppercase, string.ascii_lowercase, strict=True)}
-_LOWER_BLANK = _TO_BLANK | _LOWER
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def n_words(text: Column) -> Column:
@@ -24,9 +19,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def split_words(text: str | None) -> list[str]:
-    """The words of ``text`` with A-Z lower-cased; [] for null."""
-    return [w for w in text.translate(_LOWER_BLANK).split(" ") if w] if text else []
+def split_words(text: str | None) -> list[bytes]:
+    """The words of ``text`` in UTF-8 with A-Z lower-cased; [] for null. Bytes
+    split at the ASCII white space that parts words."""
+    return text.encode().translate(_LOWER).split() if text else []
 
 
 def crc_mod(id_col: Column, m: int) -> Column:
