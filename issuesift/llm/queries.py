@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, mixing, ngram_join, packing, quality, topk, toxicity, url_filter
+from . import embedding_dedup, langid, mixing, ngram_join, packing, quality, suffix_lm, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -147,3 +147,10 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_i
 @register("op9_ngram_join", OP9_SQL)
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_suffix_lm")
+def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 5, 1)
+    scored = suffix_lm.score_texts(table(spark, sf_dir, "documents"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
