@@ -125,7 +125,7 @@ def _plan(wanted: DataFrame, per_source: DataFrame, block: int) -> DataFrame:
          .withColumn("upto", F.sum("share").over(Window.orderBy("src")))
          .withColumn("n_slots", F.sum("share").over(Window.partitionBy()))
          .withColumn("cells", F.ceil(F.col("n_docs") / DOC_CELL).cast("long")))
-    scale = F.lit(float(RING)) / F.col("n_slots")
+    scale = F.lit(float(RING)) / F.greatest(F.col("n_slots"), F.lit(1))
     return (p.withColumn("lo", F.floor((F.col("upto") - F.col("share")) * scale).cast("long"))
             .withColumn("hi", F.floor(F.col("upto") * scale).cast("long")))
 

@@ -14,7 +14,7 @@ all of them, so results are exact in every case.
 Defined cases: null vectors, vectors that hold null or non-finite components
 and rows without an id take no part; shorter vectors count as padded with
 zeros; repeated rows are separate candidates, but rows that share the query's
-id never are; ties go to the smaller id; an empty table gives no rows; other
+id never are, and they ask once, with the least vector; ties go to the smaller id; an empty table gives no rows; other
 columns are not read. Inner products must fit 63 bits.
 """
 
@@ -102,7 +102,8 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
     shards, blocks, width = max(1, -(-n // SHARD)), max(1, -(-asked // QUERIES)), width or 0
     base = whole.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     data = base.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    ask = (whole.where(is_query).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
+    asked_once = whole.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    ask = (asked_once.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
            .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))))
 
     def search(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
