@@ -26,21 +26,30 @@ from .registry import register, sql_strip, sql_ts, ts_str
 _ITEM_SCHEMA = "repo string, number bigint, pos bigint, title string, state string, updatedAt timestamp"
 
 
+FILES, PER_BATCH = 24, 4
+
+
 def _land_events(spark, sf, root: str) -> str:
-    """Write item versions from ``events`` in three landings: before Jan 15,
-    from Jan 15, and a repeat of the versions from Jan 20 (a re-poll overlap)."""
+    """Write item versions from ``events`` as 24 files in no order of time, with
+    a repeat of the versions from Jan 20 (a re-poll overlap): six micro-batches."""
     ev = fx.event_updates(spark, sf).select("repo", "number", "pos", "title", "state", "updatedAt")
-    cut, rep = F.to_timestamp(F.lit("2024-01-15")), F.to_timestamp(F.lit("2024-01-20"))
+    again = ev.where(F.col("updatedAt") >= F.to_timestamp(F.lit("2024-01-20")))
     land = os.path.join(root, "landing")
-    ev.where(F.col("updatedAt") < cut).write.json(os.path.join(land, "b1"))
-    ev.where(F.col("updatedAt") >= cut).write.json(os.path.join(land, "b2"))
-    ev.where(F.col("updatedAt") >= rep).write.json(os.path.join(land, "b3"))
+    both = ev.withColumn("_n", F.lit(0)).unionByName(again.withColumn("_n", F.lit(1)))
+    # round robin over a hash order: every file spans all of the time
+    dealt = both.repartitionByRange(FILES, F.xxhash64("number", "pos", "updatedAt", "_n"))
+    dealt.drop("_n").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(land)
     return land
 
 
-def _stream(spark, land: str, files_per_batch: int = 4):
-    return (spark.readStream.schema(_ITEM_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-            .json(os.path.join(land, "*")))
+def _stream(spark, land: str, files_per_batch: int = PER_BATCH):
+    return spark.readStream.schema(_ITEM_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(land)
+
+
+def _guarded_log(spark, sf, root: str) -> str:
+    log = os.path.join(root, "log")
+    X.start_guarded_log(_stream(spark, _land_events(spark, sf, root)), log, os.path.join(root, "ckpt")).awaitTermination()
+    return log
 
 
 @register("stream_upsert", sql_with("updates") + f"""
@@ -50,10 +59,7 @@ WHERE rn = 1""")
 def q_stream_upsert(spark, sf):
     root = scratch_path(spark, f"stream-upsert-{uuid.uuid4().hex}")
     land = _land_events(spark, sf, root)
-    # bucket count sized to the data (a few buckets for the test scales)
-    q = X.start_upsert_stream(_stream(spark, land), os.path.join(root, "table"), os.path.join(root, "ckpt"),
-                              num_buckets=8)
-    q.awaitTermination()
+    X.start_upsert_stream(_stream(spark, land), os.path.join(root, "table"), os.path.join(root, "ckpt")).awaitTermination()
     out = X.read_latest(spark, os.path.join(root, "table"))
     return out.select("number", "pos", "state", ts_str("updatedAt").alias("updatedAt"))
 
@@ -63,13 +69,12 @@ SELECT number, CASE WHEN item_type = 'pull_request' THEN 'closed' ELSE state END
   {sql_ts('updatedAt')} AS updatedAt FROM issues""")
 def q_stream_rest_pages(spark, sf):
     """X1 end to end: landed REST pages -> stream -> normalise (S5) -> dedupe
-    -> bucketed upsert (S3) -> current table."""
+    -> deltas (S3) -> current table."""
     from .catalog_sources import rest_items
 
     root = scratch_path(spark, f"stream-rest-{uuid.uuid4().hex}")
     stream = X.rest_page_stream(spark, rest_items(spark, sf), fx.REPO_ORDERS, files_per_trigger=2)
-    q = X.start_upsert_stream(stream, os.path.join(root, "table"), os.path.join(root, "ckpt"), num_buckets=8)
-    q.awaitTermination()
+    X.start_upsert_stream(stream, os.path.join(root, "table"), os.path.join(root, "ckpt")).awaitTermination()
     out = X.read_latest(spark, os.path.join(root, "table"))
     return out.select("number", "state", "item_type", ts_str("updatedAt").alias("updatedAt"))
 
@@ -77,27 +82,23 @@ def q_stream_rest_pages(spark, sf):
 @register("stream_late_guard", sql_with("updates") + f"""
 SELECT number, pos, {sql_ts('updatedAt')} AS updatedAt FROM updates""")
 def q_stream_late_guard(spark, sf):
-    root = scratch_path(spark, f"stream-guard-{uuid.uuid4().hex}")
-    land = _land_events(spark, sf, root)
-    out = os.path.join(root, "out")
-    guarded = X.late_data_guard(_stream(spark, land))
-    q = (guarded.writeStream.option("checkpointLocation", os.path.join(root, "ckpt"))
-         .foreachBatch(lambda df, bid: df.write.mode("append").parquet(out)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out).select("number", "pos", ts_str("updatedAt").alias("updatedAt"))
+    """Every version once, late ones included."""
+    log = _guarded_log(spark, sf, scratch_path(spark, f"stream-guard-{uuid.uuid4().hex}"))
+    return spark.read.parquet(log).select("number", "pos", ts_str("updatedAt").alias("updatedAt"))
 
 
 @register("stream_weekly", sql_with("updates") + f"""
 SELECT {sql_ts("time_bucket(INTERVAL 7 DAY, updatedAt, TIMESTAMP '2024-01-01')")} AS week_start,
        CAST(count(*) AS BIGINT) AS events FROM updates GROUP BY 1""")
 def q_stream_weekly(spark, sf):
+    """X3 over the log of X2, so that repeats are not counted."""
     root = scratch_path(spark, f"stream-weekly-{uuid.uuid4().hex}")
-    land = _land_events(spark, sf, root)
+    log = _guarded_log(spark, sf, root)
+    schema = spark.read.parquet(log).drop("batch_id").schema
     out = os.path.join(root, "out")
-    # the repeat landing is removed first, so counts are per distinct version
-    s = X.late_data_guard(_stream(spark, land))
-    q = (X.weekly_activity(s, delay=None).writeStream.outputMode("complete")
-         .option("checkpointLocation", os.path.join(root, "ckpt"))
+    versions = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(os.path.join(log, "batch_id=*"))
+    q = (X.weekly_activity(versions).writeStream.outputMode("complete")
+         .option("checkpointLocation", os.path.join(root, "weekly-ckpt"))
          .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(out))
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -119,7 +120,7 @@ def q_stream_rec_intake(spark, sf):
     recs_root = os.path.join(root, "recs")
     existing = fx.label_recs(spark, sf)
     spark.createDataFrame([], RECS_SCHEMA).unionByName(existing, allowMissingColumns=True) \
-        .withColumn("batch_id", F.lit(-1).cast("bigint")).write.parquet(recs_root)
+        .write.parquet(os.path.join(recs_root, "batch_id=-1"))
     inputs = fx.rec_inputs(spark, sf)
     land = os.path.join(root, "landing")
     inputs.write.json(land)

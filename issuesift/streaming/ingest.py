@@ -1,44 +1,34 @@
 """Structured Streaming forms of the incremental feed.
 
 The reference polls the API from a watermark with a one-week overlap and
-upserts item by item. Here landed files are a file stream:
+upserts item by item. Here landed files are a file stream. File order is not
+time order, so nothing depends on which micro-batch a row arrives in:
 
 * X1 ``start_upsert_stream``: ``readStream`` -> normalise -> ``foreachBatch``
-  that dedupes the batch (W1) and upserts it (S3) into the hash buckets it
-  touches, written as generation ``g`` (the batch id) of those buckets only.
-  A replayed batch rebuilds the same generation from the same older state:
-  idempotent. Readers use each bucket's newest committed generation.
-* X2 ``late_data_guard``: watermark + ``dropDuplicatesWithinWatermark`` for
-  the live feed (not for the first backfill, see SURVEY X2).
-* X3 ``weekly_activity``: watermark + weekly tumbling windows.
+  that writes the batch's newest versions (W1) as a delta of the table. Readers
+  merge base and deltas by the greatest ``(updatedAt, pos)``; ``compact`` folds
+  deltas into a new base. The work per batch follows the batch.
+* X2 ``start_guarded_log``: each version of an item once. Versions older than
+  the watermark are marked late, not dropped.
+* X3 ``weekly_activity``: weekly tumbling windows over such a log.
 * X4 ``start_recommendation_intake``: checked review submissions appended to
   the review log; rejects go to a quarantine folder.
 
-Checkpoints live under the folder the caller passes (on a cluster: inside
-``spark.checkpoint.dir`` or another shared path), never on a local disk.
+Each batch writes folders named by its id and overwrites them when it is
+replayed. Checkpoints live under the folder the caller passes (on a cluster:
+inside ``spark.checkpoint.dir`` or another shared path), never on a local disk.
 """
 
 from __future__ import annotations
 
-import os
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import latest_version, upsert
+from ..operators.incremental import latest_version
 from ..operators.windows import week_bucket
 
-_GEN = "gen="
-
-
-# ---------------------------------------------------------------- generations
-# Table layout: <root>/gen=<batch id>/_bucket=<b>/part-*.parquet. A key lives in
-# bucket pmod(xxhash64(repo, number), N). Micro-batch g rewrites only the
-# buckets its rows touch, into gen=g; a bucket's current data is its newest
-# committed generation (Spark's _SUCCESS marker). Work per batch is therefore
-# proportional to the touched buckets, not to the table.
-DEFAULT_BUCKETS = 64
-
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -46,84 +36,94 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _list_dirs(spark: SparkSession, path: str, prefix: str) -> list[tuple[str, str]]:
-    fs, p = _fs(spark, path)
+def _numbered(spark: SparkSession, root: str, prefix: str, committed: bool = True) -> list[int]:
+    """Numbers of the folders ``<root>/<prefix><number>`` whose write finished."""
+    fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
-    return [(st.getPath().getName(), st.getPath().toString()) for st in fs.listStatus(p)
-            if st.isDirectory() and st.getPath().getName().startswith(prefix)]
+    jvm = spark.sparkContext._jvm
+    dirs = [st.getPath() for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith(prefix)]
+    return sorted(int(d.getName()[len(prefix):]) for d in dirs
+                  if not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
 
 
-def committed_generations(spark: SparkSession, root: str) -> list[int]:
-    """Generation numbers under ``root`` whose write finished (``_SUCCESS``)."""
-    out = []
-    fs, _ = _fs(spark, root)
-    jvm = spark.sparkContext._jvm
-    for name, full in _list_dirs(spark, root, _GEN):
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(full, "_SUCCESS")):
-            out.append(int(name[len(_GEN):]))
-    return sorted(out)
+# ---------------------------------------------------------------- the table
+# <root>/delta=<batch id>     newest versions of the batch's items
+# <root>/base=<g>             all items merged up to a batch
+# <root>/manifest=<g>         one row {"base": g, "upto": batch id}, written last:
+#                             the newest manifest says which base and deltas count
+def committed_deltas(spark: SparkSession, root: str) -> list[int]:
+    return _numbered(spark, root, "delta=")
 
 
-def current_buckets(spark: SparkSession, root: str, before: int | None = None) -> dict[int, str]:
-    """Bucket -> folder of its newest committed generation (optionally older than ``before``)."""
-    cur: dict[int, tuple[int, str]] = {}
-    for g in committed_generations(spark, root):
-        if before is not None and g >= before:
-            continue
-        for name, full in _list_dirs(spark, f"{root}/{_GEN}{g}", "_bucket="):
-            b = int(name.split("=", 1)[1])
-            if b not in cur or cur[b][0] < g:
-                cur[b] = (g, full)
-    return {b: path for b, (_g, path) in cur.items()}
+def manifest(spark: SparkSession, root: str) -> dict | None:
+    gens = _numbered(spark, root, "manifest=")
+    return json.loads(spark.read.text(f"{root}/manifest={gens[-1]}").first()[0]) if gens else None
+
+
+def current_paths(spark: SparkSession, root: str) -> list[str]:
+    """The base and the deltas that make up the table now."""
+    m = manifest(spark, root)
+    base = [f"{root}/base={m['base']}"] if m else []
+    return base + [f"{root}/delta={b}" for b in committed_deltas(spark, root) if not m or b > m["upto"]]
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
-    paths = list(current_buckets(spark, root).values())
-    return spark.read.parquet(*paths) if paths else None
-
-
-def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int,
-                 num_buckets: int = DEFAULT_BUCKETS) -> None:
-    """Write generation ``batch_id``: for each bucket the batch touches,
-    upsert(that bucket's current rows, the batch's rows). Replaying a batch
-    rebuilds the same generation from the same older state."""
-    bucket = F.pmod(F.xxhash64("repo", "number"), F.lit(num_buckets)).cast("int")
-    upd = latest_version(batch).withColumn("_bucket", bucket)
-    touched = sorted(r[0] for r in upd.select("_bucket").distinct().collect())  # at most num_buckets ints
-    if not touched:
-        return
-    cur = current_buckets(spark, root, before=batch_id)
-    prev_paths = [cur[b] for b in touched if b in cur]
-    if prev_paths:
-        prev = spark.read.parquet(*prev_paths)
-        new = upsert(prev, upd.drop("_bucket"), dedupe=False)
-    else:
-        new = upd.drop("_bucket")
-    (new.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite")
-     .partitionBy("_bucket").parquet(os.path.join(root, f"{_GEN}{batch_id}")))
+    """The table: of every item the greatest ``(updatedAt, pos)``, whatever
+    batch brought it. Columns a version lacks are null in it (S3 on stored
+    collections keeps them, see ``operators.incremental.upsert``)."""
+    paths = current_paths(spark, root)
+    if not paths:
+        return None
+    merged = spark.read.parquet(paths[0])
+    for path in paths[1:]:
+        merged = merged.unionByName(spark.read.parquet(path), allowMissingColumns=True)
+    return latest_version(merged)
+
 
+def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int) -> None:
+    """Write the batch's newest versions as delta ``batch_id``. A replay writes
+    the same delta again."""
+    latest_version(batch).write.mode("overwrite").parquet(f"{root}/delta={batch_id}")
 
-def compact(spark: SparkSession, root: str, num_buckets: int = DEFAULT_BUCKETS) -> int | None:
-    """Rewrite every bucket's current rows as one new generation (after the
-    newest one), so readers list one generation again. Returns its number."""
-    gens = committed_generations(spark, root)
-    cur = read_latest(spark, root)
-    if cur is None:
+
+def compact(spark: SparkSession, root: str) -> int | None:
+    """Fold the deltas so far into a new base; bases are numbered on their own,
+    so a batch that commits meanwhile stays a delta of its own. Returns the
+    base's number, or None when there is nothing to fold."""
+    m, deltas = manifest(spark, root), committed_deltas(spark, root)
+    deltas = [b for b in deltas if not m or b > m["upto"]]
+    if not deltas:
         return None
-    g = gens[-1] + 1
-    bucket = F.pmod(F.xxhash64("repo", "number"), F.lit(num_buckets)).cast("int")
-    (cur.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite")
-     .partitionBy("_bucket").parquet(os.path.join(root, f"{_GEN}{g}")))
+    # numbers of unfinished bases are never used again
+    g = max([-1, *_numbered(spark, root, "base=", committed=False)]) + 1
+    read_latest(spark, root).write.parquet(f"{root}/base={g}")
+    line = json.dumps({"base": g, "upto": deltas[-1]})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{root}/manifest={g}")
     return g
 
 
-def start_upsert_stream(stream: DataFrame, table_root: str, checkpoint: str, available_now: bool = True,
-                        num_buckets: int = DEFAULT_BUCKETS):
+def clean_up(spark: SparkSession, root: str, keep_bases: int = 1) -> list[str]:
+    """Remove bases no manifest in the newest ``keep_bases`` names, their
+    manifests, and deltas the oldest kept base holds. Returns what went."""
+    gens = _numbered(spark, root, "manifest=")
+    if not gens:
+        return []
+    kept = gens[-keep_bases:]
+    upto = json.loads(spark.read.text(f"{root}/manifest={kept[0]}").first()[0])["upto"]
+    dead = [f"{root}/{kind}={g}" for g in gens if g not in kept for kind in ("manifest", "base")]
+    dead += [f"{root}/delta={b}" for b in committed_deltas(spark, root) if b <= upto]
+    for path in dead:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    return dead
+
+
+def start_upsert_stream(stream: DataFrame, table_root: str, checkpoint: str, available_now: bool = True):
     """Run the upsert stream; returns the ``StreamingQuery``."""
     spark = stream.sparkSession
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: upsert_batch(spark, df, table_root, bid, num_buckets)))
+         .foreachBatch(lambda df, bid: upsert_batch(spark, df, table_root, bid)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
@@ -140,17 +140,45 @@ def rest_page_stream(spark: SparkSession, path: str, repo: str, files_per_trigge
     return normalize_rest_items(items, repo).withColumn("pos", F.col("number"))
 
 
-def late_data_guard(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drop repeats of (repo, number, updatedAt) seen within the delay."""
-    return (stream.withWatermark("updatedAt", delay)
-            .dropDuplicatesWithinWatermark(["repo", "number", "updatedAt"]))
+VERSION = ["repo", "number", "updatedAt"]
+
+
+def guard_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int, delay: str = "7 days") -> None:
+    """Append the batch's versions that the log under ``root`` does not
+    hold yet. ``late`` marks those older than the greatest ``updatedAt`` of
+    earlier batches less ``delay``; they are kept, so a backfill in any file
+    order loses nothing. Only log rows as new as the batch's oldest are read."""
+    before = [b for b in _numbered(spark, root, "batch_id=") if b < batch_id]
+    new = batch.dropDuplicates(VERSION)
+    if before:
+        log = spark.read.option("basePath", root).parquet(*[f"{root}/batch_id={b}" for b in before])
+        marks = spark.read.option("basePath", f"{root}-marks").parquet(*[f"{root}-marks/batch_id={b}" for b in before])
+        oldest = batch.agg(F.min("updatedAt"), F.count_if(F.col("updatedAt").isNull())).first()
+        known = log.where((F.col("updatedAt") >= F.lit(oldest[0])) | F.col("updatedAt").isNull()).select(VERSION).alias("k")
+        n = new.alias("n")
+        new = n.join(known, [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in VERSION], "left_anti")
+        mark = marks.agg((F.max("high") - F.expr(f"INTERVAL {delay}")).alias("m")).first()[0]
+        late = F.coalesce(F.col("updatedAt") < F.lit(mark), F.lit(False))
+    else:
+        late = F.lit(False)
+    # the mark first: it is read only for batches whose rows are committed
+    batch.agg(F.max("updatedAt").alias("high")).write.mode("overwrite").parquet(f"{root}-marks/batch_id={batch_id}")
+    new.withColumn("late", late).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+
+
+def start_guarded_log(stream: DataFrame, root: str, checkpoint: str, delay: str = "7 days", available_now: bool = True):
+    """X2 on a stream: a log of distinct versions, late ones marked."""
+    spark = stream.sparkSession
+    w = (stream.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: guard_batch(spark, df, root, bid, delay)))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()
 
 
-def weekly_activity(stream: DataFrame, ts: str = "updatedAt", delay: str | None = "7 days") -> DataFrame:
-    """Item versions per Monday-aligned week; final counts once the watermark
-    passes. ``delay=None`` keeps a watermark set upstream (e.g. by X2)."""
-    s = stream.withWatermark(ts, delay) if delay else stream
-    return (s.groupBy(week_bucket(ts).alias("w"))
+def weekly_activity(stream: DataFrame, ts: str = "updatedAt") -> DataFrame:
+    """Item versions per Monday-aligned week, for output mode ``complete``
+    or ``update``. The state is one count per week, so no watermark is needed
+    and no late row is lost."""
+    return (stream.groupBy(week_bucket(ts).alias("w"))
             .agg(F.count(F.lit(1)).alias("events"))
             .select(F.col("w.start").alias("week_start"), F.col("w.end").alias("week_end"), "events"))
 
@@ -158,21 +186,19 @@ def weekly_activity(stream: DataFrame, ts: str = "updatedAt", delay: str | None
 def start_recommendation_intake(stream: DataFrame, issues: DataFrame, recs_root: str, quarantine: str,
                                 checkpoint: str):
     """Check each batch of submissions (V10 + unknown issue), append the
-    accepted rows to the review log with their ``seq``, quarantine the rest."""
+    accepted rows to the review log with their ``seq``, quarantine the rest.
+    Both tables are folders per ``batch_id``; a replayed batch sees only what
+    earlier batches stored and overwrites its own folders."""
     from ..operators.recs import RECS_SCHEMA, append_recommendations
 
     spark = stream.sparkSession
 
     def run(df: DataFrame, bid: int) -> None:
-        fs, p = _fs(spark, recs_root)
-        recs = spark.read.parquet(recs_root) if fs.exists(p) else spark.createDataFrame([], RECS_SCHEMA)
-        # a replayed batch (driver restart after the write) must not append twice
-        if "batch_id" in recs.columns and recs.where(F.col("batch_id") == bid).limit(1).count():
-            return
+        before = [f"{recs_root}/batch_id={b}" for b in _numbered(spark, recs_root, "batch_id=") if b < bid]
+        recs = spark.read.parquet(*before) if before else spark.createDataFrame([], RECS_SCHEMA)
         acc, rej = append_recommendations(issues, recs, df)
-        bid_col = F.lit(bid).cast("bigint")
-        rej.withColumn("batch_id", bid_col).write.mode("append").parquet(quarantine)
-        acc.withColumn("batch_id", bid_col).write.mode("append").parquet(recs_root)
+        rej.write.mode("overwrite").parquet(f"{quarantine}/batch_id={bid}")
+        acc.write.mode("overwrite").parquet(f"{recs_root}/batch_id={bid}")
 
     return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
             .trigger(availableNow=True).start())

@@ -1,7 +1,7 @@
-"""Streaming upsert: batch splits do not change the result; replays are idempotent."""
-
-import os
+"""Streaming: results do not depend on how rows are dealt over files and
+batches; replays, compaction and clean-up change nothing."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from issuesift import fixtures as fx
@@ -12,65 +12,98 @@ from tests.conftest import SF_SMALL
 SCHEMA = "repo string, number bigint, pos bigint, title string, state string, updatedAt timestamp"
 
 
-def land(spark, root):
-    ev = fx.event_updates(spark, SF_SMALL).select("repo", "number", "pos", "title", "state", "updatedAt")
-    for i, (lo, hi) in enumerate([("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"),
-                                  ("2024-01-20", "2024-02-01")]):
-        ev.where((F.col("updatedAt") >= lo) & (F.col("updatedAt") < hi)).write.json(f"{root}/landing/b{i}")
-    return ev
+@pytest.fixture(scope="module")
+def events(spark):
+    return fx.event_updates(spark, SF_SMALL).select("repo", "number", "pos", "title", "state", "updatedAt").cache()
 
 
-def run(spark, root, files_per_batch, name):
-    s = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(f"{root}/landing/*")
-    q = X.start_upsert_stream(s, f"{root}/{name}", f"{root}/{name}-ckpt")
-    q.awaitTermination()
-    return X.read_latest(spark, f"{root}/{name}")
+def land(spark, events, root, files):
+    events.repartitionByRange(files, F.xxhash64("number", "pos", "updatedAt")).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/landing-{files}")
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 4).json(f"{root}/landing-{files}")
 
 
 def key(df):
-    return sorted((r.number, r.pos, r.state) for r in df.select("number", "pos", "state").collect())
-
-
-def test_stream_equals_batch_and_replay_is_idempotent(spark, tmpdir_path):
-    ev = land(spark, tmpdir_path)
-    want = key(latest_version(ev))
-    one = run(spark, tmpdir_path, 1000, "t1")
-    many = run(spark, tmpdir_path, 1, "t2")
-    assert key(one) == want
-    assert key(many) == want
-    gens = X.committed_generations(spark, f"{tmpdir_path}/t2")
-    assert len(gens) > 1
-    # restart on the same checkpoint: nothing new, the table does not change
-    again = run(spark, tmpdir_path, 1, "t2")
-    assert key(again) == want
-    assert X.committed_generations(spark, f"{tmpdir_path}/t2") == gens
-
-
-def test_weekly_activity_stream(spark, tmpdir_path):
-    land(spark, tmpdir_path)
-    s = spark.readStream.schema(SCHEMA).json(f"{tmpdir_path}/landing/*")
-    q = (X.weekly_activity(s).writeStream.outputMode("complete").format("memory").queryName("weekly_t")
+    return sorted((r.number, r.pos, r.state, str(r.updatedAt)) for r in df.collect())
+
+
+@pytest.mark.parametrize("files", [1, 6, 20])
+def test_upsert_and_guard_for_any_number_of_files(spark, events, tmpdir_path, files):
+    stream = land(spark, events, tmpdir_path, files)
+    X.start_upsert_stream(stream, f"{tmpdir_path}/t", f"{tmpdir_path}/t-ckpt").awaitTermination()
+    assert len(X.committed_deltas(spark, f"{tmpdir_path}/t")) >= files // 4
+    assert key(X.read_latest(spark, f"{tmpdir_path}/t")) == key(latest_version(events))
+    X.start_guarded_log(stream, f"{tmpdir_path}/log", f"{tmpdir_path}/log-ckpt").awaitTermination()
+    log = spark.read.parquet(f"{tmpdir_path}/log")
+    assert key(log) == key(events.dropDuplicates(["repo", "number", "updatedAt"]))
+    if files == 20:
+        assert log.where("late").count() > 0
+
+
+def test_repolled_and_late_versions(spark, tmpdir_path):
+    def batch(*rows):
+        return spark.createDataFrame([("r", n, n, "t", "open", u) for n, u in rows], SCHEMA.replace("updatedAt timestamp", "u string")).select(
+            "repo", "number", "pos", "title", "state", F.to_timestamp("u").alias("updatedAt"))
+
+    log = f"{tmpdir_path}/log"
+    X.guard_batch(spark, batch((1, "2024-02-01"), (1, "2024-02-01"), (2, None)), log, 0)
+    second = batch((1, "2024-02-01"), (2, None), (3, "2024-01-02"), (4, "2024-01-30"))
+    for _ in range(2):  # the second time is a replay
+        X.guard_batch(spark, second, log, 1)
+    X.guard_batch(spark, batch((3, "2024-01-02")), log, 2)
+    assert sorted((r.number, r.late) for r in spark.read.parquet(log).collect()) == [(1, False), (2, False), (3, True), (4, False)]
+
+
+def test_weekly_activity_stream(spark, events, tmpdir_path):
+    stream = land(spark, events, tmpdir_path, 20)
+    q = (X.weekly_activity(stream).writeStream.outputMode("complete").format("memory").queryName("weekly_t")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     got = {str(r.week_start): r.events for r in spark.table("weekly_t").collect()}
-    assert sum(got.values()) == fx.table(spark, SF_SMALL, "events").count()
+    assert sum(got.values()) == events.count()
     assert all(k.startswith("2024-01-01") or k >= "2024-01-08" for k in got)
-    assert os.path.isdir(f"{tmpdir_path}/landing")
-
-
-def test_batch_rewrites_only_touched_buckets(spark, tmpdir_path):
-    root = f"{tmpdir_path}/bucketed"
-    rows = [("r", n, n, "t", "open", "2024-01-01 00:00:00") for n in range(40)]
-    first = spark.createDataFrame(rows, "repo string, number long, pos long, title string, state string, u string") \
-        .withColumn("updatedAt", F.to_timestamp("u")).drop("u")
-    X.upsert_batch(spark, first, root, 0, num_buckets=8)
-    one = first.where("number = 7").withColumn("state", F.lit("closed")).withColumn("pos", F.lit(100))
-    X.upsert_batch(spark, one, root, 1, num_buckets=8)
-    assert len(X._list_dirs(spark, f"{root}/gen=1", "_bucket=")) == 1
-    cur = {r.number: (r.state, r.pos) for r in X.read_latest(spark, root).collect()}
-    assert len(cur) == 40 and cur[7] == ("closed", 100) and cur[8] == ("open", 8)
-
-    g = X.compact(spark, root, num_buckets=8)
-    assert set(X.current_buckets(spark, root).values()) == {
-        p for p in X.current_buckets(spark, root).values() if f"gen={g}" in p}
-    assert {r.number: (r.state, r.pos) for r in X.read_latest(spark, root).collect()} == cur
+
+
+def test_older_versions_never_win_and_compaction_survives_the_next_batch(spark, tmpdir_path):
+    root = f"{tmpdir_path}/table"
+
+    def rows(numbers, state, day):
+        df = spark.createDataFrame([("r", n, n, "t", state) for n in numbers], "repo string, number long, pos long, title string, state string")
+        return df.withColumn("updatedAt", F.to_timestamp(F.lit(f"2024-01-{day:02d}")))
+
+    def now():
+        return {r.number: r.state for r in X.read_latest(spark, root).collect()}
+
+    assert X.read_latest(spark, root) is None and X.compact(spark, root) is None
+    X.upsert_batch(spark, rows(range(6), "open", 5), root, 0)
+    X.upsert_batch(spark, rows([1], "closed", 9), root, 1)
+    X.upsert_batch(spark, rows([1, 2], "older", 1), root, 2)
+    want = dict.fromkeys(range(6), "open") | {1: "closed"}
+    assert now() == want
+    assert X.compact(spark, root) == 0 and X.compact(spark, root) is None
+    assert now() == want and X.current_paths(spark, root) == [f"{root}/base=0"]
+    X.upsert_batch(spark, rows([1], "older", 1), root, 2)  # a replay of a folded batch
+    X.upsert_batch(spark, rows([2, 9], "new", 20), root, 3)
+    want |= {2: "new", 9: "new"}
+    assert now() == want
+    assert X.compact(spark, root) == 1
+    gone = X.clean_up(spark, root)
+    assert f"{root}/base=0" in gone and f"{root}/delta=3" in gone
+    assert now() == want and X.committed_deltas(spark, root) == []
+
+
+def test_recommendation_intake_replay_changes_nothing(spark, tmpdir_path):
+    from issuesift.operators.recs import append_recommendations  # noqa: F401
+
+    inputs = fx.rec_inputs(spark, SF_SMALL)
+    inputs.repartition(6).write.json(f"{tmpdir_path}/in")
+    issues = fx.orders_issues(spark, SF_SMALL)
+
+    def run(name):
+        stream = spark.readStream.schema(inputs.schema).option("maxFilesPerTrigger", 2).json(f"{tmpdir_path}/in")
+        X.start_recommendation_intake(stream, issues, f"{tmpdir_path}/recs", f"{tmpdir_path}/bad", f"{tmpdir_path}/{name}").awaitTermination()
+        recs, bad = (spark.read.parquet(f"{tmpdir_path}/{t}") for t in ("recs", "bad"))
+        return sorted((r.number, r.seq) for r in recs.collect()), bad.count()
+
+    first = run("c1")
+    assert run("c2") == first  # a lost checkpoint replays every batch
+    assert len(first[0]) + first[1] == inputs.count()
