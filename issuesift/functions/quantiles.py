@@ -5,15 +5,16 @@ in one final task; for a continuous column over billions of rows that map is
 the column. The exact search here keeps every buffer bounded:
 
 1. one aggregate: ``count``, ``min``, ``max`` and ``percentile_approx`` at
-   ``p +- delta`` for every inner probability, giving a value band that must
-   contain the wanted order statistics (rank error of the sketch <= n/accuracy);
-2. one aggregate of ``count_if(v < band_low)`` per (column, p);
-3. the rows inside the bands, grouped by value (partial aggregation), ranked
-   by a window per (column, p) -- only band rows reach that window.
-
-The two order statistics around ``h = (n-1) p`` are then read off and
-interpolated as ``lo + (h - floor h) (hi - lo)``. If a band ever misses its
-rank the column falls back to Spark's exact ``percentile``.
+   ``p +- delta`` for every inner probability: a proposed band per rank;
+2. narrowing: one aggregate per round counts the rows below and up to every
+   proposed bound. A bound that would cut the rank off is not taken (the last
+   proven one stays); each band that still holds more than ``BAND_ROWS`` rows is
+   proposed a narrower one, from a sketch of its rows or, without progress,
+   its middle. A band of one value needs no rows at all;
+3. the rows of the remaining bands, at most ``BAND_ROWS`` each, grouped by
+   value, go to the driver, which reads the order statistics off.
+
+They are interpolated as ``lo + (h - floor h) (hi - lo)`` around ``h = (n-1) p``.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
+BAND_ROWS = 20_000
 
 
 def _lit_array(values: list[float] | None) -> Column:
@@ -87,91 +89,84 @@ def _exact_quantiles(d: DataFrame, cols: list[str], probs: list[float],
             aggs.append(F.percentile_approx(c, F.array(*[F.lit(p) for p in ps]), accuracy).alias(f"pa{i}"))
     r1 = d.agg(*aggs).first()
 
-    # wanted order statistics per (column, inner p)
-    bands: list[tuple[int, int, float, float, int, int]] = []  # (col, pid, a, b, rank_lo, rank_hi)
-    for i, c in enumerate(cols):
-        n = r1[f"n{i}"]
-        if not n or not inner:
-            continue
-        pa = r1[f"pa{i}"]
-        for j, p in enumerate(inner):
-            h = (n - 1) * p
-            a, b = pa[j], pa[len(inner) + j]
-            bands.append((i, j, float(a), float(b), int(math.floor(h)), int(math.ceil(h))))
-
-    found: dict[tuple[int, int], dict[int, float]] = {}
-    if bands:
-        # pass 2: how many values lie below each band
-        below_aggs = [F.count_if(F.col(cols[i]) < F.lit(a)).alias(f"b{i}_{j}")
-                      for (i, j, a, _b, _l, _h) in bands]
-        r2 = d.agg(*below_aggs).first()
-        # pass 3: band rows grouped by value, ranked per band
-        long = d.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("k"), F.col(c).alias("v")) for i, c in enumerate(cols)])).alias("e")
-        ).select("e.k", "e.v")
-        in_any = F.lit(False)
-        pid_list = []
-        for (i, j, a, b, _l, _h) in bands:
-            cond = (F.col("k") == i) & F.col("v").between(a, b)
-            in_any = in_any | cond
-            pid_list.append(F.when(cond, F.lit(i * 1000 + j)))
-        band = (long.where(in_any).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
-                .select("v", "cnt", F.explode(F.array_compact(F.array(*pid_list))).alias("bid")))
-        w = Window.partitionBy("bid").orderBy("v")
-        ranked = band.select("bid", "v", (F.sum("cnt").over(w) - F.col("cnt")).alias("start"),
-                             F.sum("cnt").over(w).alias("end"))
-        want = []
-        for (i, j, a, b, lo, hi) in bands:
-            base = r2[f"b{i}_{j}"]
-            for r in {lo, hi}:
-                want.append((i * 1000 + j, r - base))
-        cond = F.lit(False)
-        for bid, rr in want:
-            cond = cond | ((F.col("bid") == bid) & (F.col("start") <= rr) & (F.col("end") > rr))
-        hits = ranked.where(cond).collect()  # at most two rows per band
-        by_bid: dict[int, list] = {}
-        for row in hits:
-            by_bid.setdefault(row["bid"], []).append(row)
-        for (i, j, a, b, lo, hi) in bands:
-            base = r2[f"b{i}_{j}"]
-            got: dict[int, float] = {}
-            for r in {lo, hi}:
-                rr = r - base
-                for row in by_bid.get(i * 1000 + j, []):
-                    if row["start"] <= rr < row["end"]:
-                        got[r] = row["v"]
-            found[(i, j)] = got
+    bands: dict[tuple[int, int], _Band] = {}
+    for i in range(len(cols)):
+        for j, p in enumerate(inner if r1[f"n{i}"] else []):
+            pa = r1[f"pa{i}"]
+            for rank in _ranks(r1[f"n{i}"], p):
+                bands.setdefault((i, rank), _Band(i, rank, r1[f"mn{i}"], r1[f"mx{i}"], r1[f"n{i}"], (pa[j], pa[len(inner) + j])))
+    while todo := [b for b in bands.values() if b.proposed]:
+        counts = d.agg(*[x for k, b in enumerate(todo) for x in b.counts(cols[b.col], k)]).first()
+        for k, b in enumerate(todo):
+            b.take(*counts[f"b{k}"])
+        wide = [b for b in todo if b.rows > BAND_ROWS and b.lo < b.hi]
+        sketches = d.agg(*[b.sketch(cols[b.col]).alias(f"s{k}") for k, b in enumerate(wide)]).first() if wide else ()
+        for b, got in zip(wide, sketches, strict=True):
+            b.propose(*got)
+    found = {key: b.lo for key, b in bands.items()}
+    if left := [key for key, b in bands.items() if b.lo < b.hi]:
+        tagged = d.select(F.explode(F.array_compact(F.array(*[
+            F.when(F.col(cols[key[0]]).between(bands[key].lo, bands[key].hi),
+                   F.struct(F.lit(k).alias("k"), F.col(cols[key[0]]).alias("v"))) for k, key in enumerate(left)]))).alias("e"))
+        at = [bands[key].below for key in left]
+        rows = tagged.groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most BAND_ROWS a band
+        for k, v, n in sorted(map(tuple, rows)):
+            if at[k] <= left[k][1] < at[k] + n:
+                found[left[k]] = v
+            at[k] += n
 
     out: dict[str, list[float] | None] = {}
-    fallback: list[str] = []
     for i, c in enumerate(cols):
         n = r1[f"n{i}"]
         if not n:
             out[c] = None
             continue
-        vals: list[float] = []
-        ok = True
+        out[c] = []
         for p in probs:
-            if p <= 0.0:
-                vals.append(float(r1[f"mn{i}"]))
-            elif p >= 1.0:
-                vals.append(float(r1[f"mx{i}"]))
-            else:
-                j = inner.index(float(p))
-                h = (n - 1) * p
-                lo, hi = int(math.floor(h)), int(math.ceil(h))
-                got = found.get((i, j), {})
-                if lo not in got or hi not in got:
-                    ok = False
-                    break
-                vals.append(_interp(got[lo], got[hi], h - lo))
-        if ok:
-            out[c] = vals
-        else:
-            fallback.append(c)
-    if fallback:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = d.agg(*[F.percentile(F.col(c), arr).alias(c) for c in fallback]).first()
-        for c in fallback:
-            out[c] = [float(x) for x in row[c]] if row[c] is not None else None
+            first, last = _ranks(n, p)
+            out[c].append(float(r1[f"mn{i}"]) if p <= 0.0 else float(r1[f"mx{i}"]) if p >= 1.0
+                          else _interp(float(found[(i, first)]), float(found[(i, last)]), (n - 1) * p - first))
     return out
+
+
+def _ranks(n: int, p: float) -> tuple[int, int]:
+    return math.floor((n - 1) * p), math.ceil((n - 1) * p)
+
+
+class _Band:
+    """Values ``lo..hi`` of a column that hold ``rank``; ``below`` rows are less
+    than ``lo``, ``rows`` lie in it."""
+
+    def __init__(self, col: int, rank: int, lo: float, hi: float, n: int, proposed: tuple[float, float]):
+        self.col, self.rank, self.lo, self.hi, self.below, self.rows = col, rank, lo, hi, 0, n
+        self.proposed: tuple[float, float] | None = proposed
+        self.halve = False
+
+    def counts(self, c: str, k: int) -> list[Column]:
+        a, b = self.proposed
+        return [F.array(F.count_if(F.col(c) < F.lit(a)), F.count_if(F.col(c) <= F.lit(a)),
+                        F.count_if(F.col(c) < F.lit(b)), F.count_if(F.col(c) <= F.lit(b))).alias(f"b{k}")]
+
+    def take(self, below_a: int, upto_a: int, below_b: int, upto_b: int) -> None:
+        """Move to the proposed bounds as far as the rank stays inside."""
+        before, upto = self.rows, self.below + self.rows
+        for v, less, most in ((self.proposed[0], below_a, upto_a), (self.proposed[1], below_b, upto_b)):
+            if v > self.lo and less <= self.rank:
+                self.lo, self.below = v, less
+            if v < self.hi and self.rank < most:
+                self.hi, upto = v, most
+        self.rows = upto - self.below
+        self.halve = self.rows > before // 2
+        self.proposed = None
+
+    def sketch(self, c: str) -> Column:
+        inside = F.when(F.col(c).between(self.lo, self.hi), F.col(c))
+        at = (self.rank - self.below) / self.rows
+        return F.percentile_approx(inside, F.array(F.lit(max(0.0, at - 0.01)), F.lit(min(1.0, at + 0.01))), 1000)
+
+    def propose(self, a: float, b: float) -> None:
+        if self.halve:  # a half always moves one bound
+            a = b = self.lo + (self.hi - self.lo) / 2
+            if not self.lo < a < self.hi:  # neighbours among doubles
+                a, b = self.hi, self.lo
+        self.proposed = (a, b)

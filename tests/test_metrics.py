@@ -77,3 +77,18 @@ def test_metrics_edge_cases(spark):
     assert (m[2].age_days, m[2].body_emojis, m[2].engagements_per_day) == (-4, 4, 0.0)
     assert (m[3].age_days, m[3].comment_count, m[3].comment_emojis, m[3].total_emojis) == (10, 3, 8, 8)
     assert m[3].engagements == 11 and m[3].engagements_per_day == pytest.approx(1.1)
+
+
+def test_exact_quantiles_narrow_until_bands_are_small(spark, monkeypatch):
+    from issuesift.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "BAND_ROWS", 20)
+    rng = np.random.default_rng(9)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    columns = {"wide": rng.normal(size=4000) * 10.0 ** rng.integers(-9, 9, 4000), "ties": rng.integers(0, 3, 4000).astype(float),
+               "one": np.full(4000, 7.0), "near": 1.0 + rng.integers(0, 2, 4000) * 2.0 ** -52, "apart": np.repeat([1.0, 5.0], 2000)}
+    rows = list(zip(*[[float(x) for x in c] for c in columns.values()], strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    got = exact_quantiles(df, list(columns), probs, accuracy=50)
+    for c, v in columns.items():
+        assert np.allclose(got[c], np.quantile(v, probs), rtol=1e-12, atol=0), c
