@@ -8,7 +8,7 @@ points in Spark, as ``len`` and slicing do in Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters Python's str.split()/str.strip() treat as whitespace
@@ -119,6 +119,17 @@ def emoji_text(groups: str | Column) -> Column:
                   F.concat(F.lit(" ["), F.array_join(parts, ", "), F.lit("]"))).otherwise(F.lit(""))
 
 
+def counted_groups(df: DataFrame, c: str) -> Column:
+    """Reaction groups as ``content, count``, from that form or from the API's
+    ``content, users.totalCount`` that normalised items carry."""
+    kind = df.schema[c].dataType
+    names = getattr(getattr(kind, "elementType", None), "names", [])
+    if "users" not in names:
+        return F.col(c)
+    return F.transform(c, lambda g: F.struct(
+        g["content"].alias("content"), F.coalesce(g["users"]["totalCount"], F.lit(0).cast("bigint")).alias("count")))
+
+
 def cache_key(content: str | Column, model: str) -> Column:
     """``model:sha256(content)`` of the unsanitised content."""
     return F.concat(F.lit(model + ":"), F.sha2(_c(content), 256))

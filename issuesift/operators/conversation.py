@@ -2,10 +2,11 @@
 
 Both are prefix cuts over an issue's comments in order: keep comments while
 the running length stays within a budget. The running length comes from
-``windows.running_sum`` (range-partitioned, so an issue with a third of all
-comments is split over many tasks); only kept parts are gathered per issue,
-so for the conversation the gathered array is bounded by the budget, not by
-the number of comments. Lengths are >= 0, so the running sum never decreases
+``windows.running_sum`` over keys and lengths alone (range-partitioned, so an
+issue with a third of all comments is split over many tasks); texts are read
+once, for the comments kept. Only those are gathered per issue, so for the
+conversation the gathered array is bounded by the budget, not by the number of
+comments (the embedding text also keeps blank comments, as line ends). Lengths are >= 0, so the running sum never decreases
 and "while" equals "running sum <= budget".
 """
 
@@ -37,10 +38,17 @@ def _comment_emoji(comments: DataFrame) -> Column:
                       ).otherwise(F.lit(""))
     if "reactionGroups" not in comments.columns:
         return fallback
-    g = F.col("reactionGroups")
+    g = X.counted_groups(comments, "reactionGroups")
     return F.when(F.coalesce(F.size(g), F.lit(0)) > 0, X.emoji_text(g)).otherwise(fallback)
 
 
+def _within(lengths: DataFrame, limit: int) -> DataFrame:
+    """Comments (``idx``) up to the first that passes ``limit``, that one marked
+    ``_over``. ``lengths`` holds keys, ``idx`` and ``_len``, no texts."""
+    run = running_sum(lengths, KEY, "idx", "_len", "_run").where(F.col("_run") - F.col("_len") <= limit)
+    return run.select(*KEY, "idx", (F.col("_run") > limit).alias("_over"))
+
+
 def _gather(kept: DataFrame, part: str, cut_flag: str) -> DataFrame:
     """Join kept parts in ``idx`` order; flag issues whose comments were cut."""
     return (kept.groupBy(*KEY)
@@ -56,14 +64,10 @@ def conversation(issues: DataFrame, comments: DataFrame, reactions: DataFrame |
     skipped; comments stop once their truncated lengths would pass 25,000."""
     c = comments.where(~X.is_blank(F.col("body")))
     t = X.truncate(F.col("body"), X.CONV_COMMENT_LIMIT)
-    c = c.select(*KEY, "idx", t.alias("_t"),
-                 F.concat(F.coalesce(F.col("author"), F.lit("unknown")), F.lit(": "),
-                          X.py_strip(t), _comment_emoji(comments)).alias("_part"))
-    c = running_sum(c.withColumn("_len", F.length("_t")), KEY, "idx", "_len", "_run")
     # the first comment over budget ends the list; everything after it is dropped
-    c = c.where(F.col("_run") - F.length("_t") <= X.CONV_COMMENTS_LIMIT)
-    c = c.withColumn("_over", F.col("_run") > X.CONV_COMMENTS_LIMIT)
-    parts = _gather(c, "_part", "_over")
+    kept = _within(c.select(*KEY, "idx", F.length(t).alias("_len")), X.CONV_COMMENTS_LIMIT)
+    text = F.concat(F.coalesce(F.col("author"), F.lit("unknown")), F.lit(": "), X.py_strip(t), _comment_emoji(comments))
+    parts = _gather(c.select(*KEY, "idx", text.alias("_part")).join(kept, [*KEY, "idx"]), "_part", "_over")
 
     iss = issues
     if reactions is not None:
@@ -71,7 +75,7 @@ def conversation(issues: DataFrame, comments: DataFrame, reactions: DataFrame |
                        KEY, "left")
         body_emoji = X.emoji_text(F.col("_bg"))
     elif "reactionGroups" in issues.columns:
-        body_emoji = X.emoji_text(F.col("reactionGroups"))
+        body_emoji = X.emoji_text(X.counted_groups(issues, "reactionGroups"))
     else:
         body_emoji = F.lit("")
     title = X.py_strip(F.coalesce(F.col("title"), F.lit("")))
@@ -96,10 +100,8 @@ def embedding_text(issues: DataFrame, comments: DataFrame, column: str = "embed_
     15,000; comments, blank ones included, while their raw lengths stay within
     8,000, then a marker), stripped; null when empty."""
     b = F.coalesce(F.col("body"), F.lit(""))
-    c = running_sum(comments.select(*KEY, "idx", b.alias("_b"), F.length(b).alias("_len")), KEY, "idx", "_len",
-                    "_run")
-    c = c.where(F.col("_run") - F.length("_b") <= X.EMBED_COMMENTS_LIMIT)
-    c = c.withColumn("_over", F.col("_run") > X.EMBED_COMMENTS_LIMIT)
+    kept = _within(comments.select(*KEY, "idx", F.length(b).alias("_len")), X.EMBED_COMMENTS_LIMIT)
+    c = comments.select(*KEY, "idx", b.alias("_b")).join(kept, [*KEY, "idx"])
     parts = _gather(c, "_b", "_over")
     j = issues.join(parts, KEY, "left")
     joined = F.array_join(F.transform(F.coalesce(F.col("_parts"), F.array()), lambda p: p["_b"]), "\n")

@@ -5,22 +5,27 @@ The reference calls a remote model per issue. Here the work is a batch:
 1. keys ``model:sha256(content)`` on the unsanitised text (F6), deduplicated;
 2. the cache table ``(key, value)`` is joined (J9): hits are reused,
    misses (``left_anti``) go to the model -- each distinct text once;
-3. the model runs inside tasks: the default embedder is a Spark ML pipeline
-   (tokenise -> hashed term frequencies -> IDF -> L2 normalise), a custom one
-   is any pandas function applied with ``mapInPandas`` (Arrow batches);
+3. the model runs inside tasks: the default embedder is a function of the
+   text alone (signed md5 token hashing, L2 normalised), so a cached vector and
+   a new one of the same key are equal; a custom one is any pandas function
+   applied with ``mapInPandas`` (Arrow batches);
 4. misses that failed on long content retry with the sanitised first line (F7);
-5. the new cache rows are returned so the caller appends them to the cache.
+5. what a model returns is written once to the shared checkpoint folder and
+   read from there, so reading the result does not call the model again; the
+   new cache rows are returned for the caller to append to the cache.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, is_blank, sanitize, title_fallback
+from ..session import scratch_path
 
 KEY = ["repo", "number"]
 EMBED_T = "array<float>"
@@ -35,20 +40,36 @@ def cache_lookup(keys: DataFrame, cache: DataFrame | None, value_col: str = "val
     return k.join(c, "key", "inner"), k.join(c, "key", "left_anti")
 
 
-def _hashing_embedder(texts: DataFrame, dims: int) -> DataFrame:
-    """Default local embedder over a ``(key, text)`` frame -> ``(key, value)``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
+def token_bucket(token: Column, dims: int) -> Column:
+    """Bucket of a token: its md5's first 7 hex digits modulo ``dims``."""
+    return F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("bigint") % dims
+
 
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="tok", pattern="\\W+", minTokenLength=1, toLowercase=True),
-        HashingTF(inputCol="tok", outputCol="tf", numFeatures=dims),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="vec", p=2.0),
-    ])
-    model = pipe.fit(texts)
-    return model.transform(texts).select("key", vector_to_array("vec", "float32").alias("value"))
+def token_sign(token: Column) -> Column:
+    """+1 or -1 by the md5's 8th hex digit."""
+    return F.when(F.substring(F.md5(token), 8, 1) < "8", 1).otherwise(-1)
+
+
+def _hashing_embedder(texts: DataFrame, dims: int) -> DataFrame:
+    """Default local embedder over a ``(key, text)`` frame -> ``(key, value)``.
+    Tokens are counted per (key, bucket) by partial aggregation; a key gathers
+    at most ``dims`` numbers. A text without tokens has the zero vector."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tok = texts.select("key", F.explode_outer(F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
+    per = tok.groupBy("key", token_bucket(F.col("t"), dims).alias("b")).agg(F.sum(token_sign(F.col("t"))).cast("double").alias("v"))
+    both = F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "v"))))
+    vec = per.groupBy("key").agg(both.alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    at = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
+                     lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("n")), F.lit(0.0)))
+    return vec.select("key", at.cast(EMBED_T).alias("value"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, into the shared checkpoint folder."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _pandas_embedder(fn: Callable[[pd.Series], pd.Series]):
@@ -77,15 +98,13 @@ def embed_issues(df: DataFrame, text_col: str = "embed_text", cache: DataFrame |
     texts = keyed.where(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), t.alias("raw"))
     hits, misses = cache_lookup(texts, cache)
     todo = misses.select("key", sanitize(F.col("raw")).alias("text"), "raw").where(F.length("text") > 0)
-    first = embed_texts(todo.select("key", "text"), embedder, dims)
+    new = _written(embed_texts(todo.select("key", "text"), embedder, dims), "embedded")
     if embedder is not None:
         # failed long texts retry with their first line
-        failed = first.where(F.col("value").isNull()).join(todo, "key")
+        failed = new.where(F.col("value").isNull()).select("key").join(todo, "key")
         retry_in = failed.select("key", title_fallback(F.col("raw")).alias("text")).where(F.col("text").isNotNull())
-        retry = embed_texts(retry_in, embedder, dims)
-        new = first.where(F.col("value").isNotNull()).unionByName(retry.where(F.col("value").isNotNull()))
-    else:
-        new = first
+        retry = _written(embed_texts(retry_in, embedder, dims), "embedded")
+        new = new.unionByName(retry).where(F.col("value").isNotNull())
     values = hits.select("key", F.col("value").cast(EMBED_T).alias("value")).unionByName(
         new.select("key", F.col("value").cast(EMBED_T).alias("value")))
     out = keyed.join(values.withColumnRenamed("key", "_key"), "_key", "left").withColumnRenamed("value", "embedding")
@@ -93,14 +112,9 @@ def embed_issues(df: DataFrame, text_col: str = "embed_text", cache: DataFrame |
 
 
 # ---------------------------------------------------------------- E2
-# The summary prompt of the reference (the whole prompt is the cache key).
-PROMPT_HEAD = """Analyze this GitHub issue and write a concise 3 sentence summary:
-- The main problem or request, NOT restating issue number or url.
-- Key discussion points and current status (open, fixed & closed, not fixed & closed, etc)
-- Community engagement using engagement, age, comment and emoji metrics and their associated quartiles fields.
-
-Issue:
-"""
+# The head of the prompt; the whole prompt is the cache key, so another head has other keys.
+PROMPT_HEAD = "Summarise this issue in three sentences: the problem, where the discussion stands, how engaged people are.\n\n"
+# The fields a prompt shows.
 PROMPT_FIELDS = ["number", "url", "title", "conversation", "author", "updatedAt", "labels", "state",
                  "age_days", "age_days_quartile", "comment_count", "comment_count_quartile", "engagements",
                  "engagements_quartile", "engagements_per_day", "engagements_per_day_quartile", "body_emojis",
@@ -108,8 +122,8 @@ PROMPT_FIELDS = ["number", "url", "title", "conversation", "author", "updatedAt"
                  "total_emojis_quartile"]
 
 
-def prompt_text(df: DataFrame) -> DataFrame:
-    """F8: compact JSON of 22 issue fields after the fixed prompt head.
+def prompt_text(df: DataFrame, head: str = PROMPT_HEAD) -> DataFrame:
+    """F8: compact JSON of 22 issue fields after the prompt's head.
     (The reference escapes non-ASCII as ``\\uXXXX``; this keeps UTF-8.)"""
     fields = []
     for f in PROMPT_FIELDS:
@@ -122,15 +136,16 @@ def prompt_text(df: DataFrame) -> DataFrame:
             v = F.lit(None).cast("string")
         fields.append(v.alias(f))
     js = F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
-    return df.withColumn("prompt", F.concat(F.lit(PROMPT_HEAD), js, F.lit("\n")))
+    return df.withColumn("prompt", F.concat(F.lit(head), js, F.lit("\n")))
 
 
 def summarize(df: DataFrame, completer: Callable[[pd.Series], pd.Series] | None = None,
-              cache: DataFrame | None = None, model: str = "local-none") -> tuple[DataFrame, DataFrame]:
+              cache: DataFrame | None = None, model: str = "local-none",
+              head: str = PROMPT_HEAD) -> tuple[DataFrame, DataFrame]:
     """``summary`` from a completion plug-in over F8 prompts, cached by
     prompt key; without a completer every summary is null (as without an API key)."""
     base = df.drop("summary") if "summary" in df.columns else df
-    p = prompt_text(base).withColumn("_key", cache_key(F.col("prompt"), model))
+    p = prompt_text(base, head).withColumn("_key", cache_key(F.col("prompt"), model))
     if completer is None:
         return p.withColumn("summary", F.lit(None).cast("string")).drop("prompt", "_key"), \
             p.limit(0).select(F.col("_key").alias("key"), F.lit(None).cast("string").alias("value"))
@@ -140,7 +155,8 @@ def summarize(df: DataFrame, completer: Callable[[pd.Series], pd.Series] | None
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "value": completer(b["prompt"])})
 
-    new = misses.select("key", "prompt").mapInPandas(run, "key string, value string")
-    values = hits.select("key", F.col("value").cast("string")).unionByName(new.where(F.col("value").isNotNull()))
+    new = _written(misses.select("key", "prompt").mapInPandas(run, "key string, value string"), "completed")
+    new = new.where(F.col("value").isNotNull())
+    values = hits.select("key", F.col("value").cast("string")).unionByName(new)
     out = p.join(values.withColumnRenamed("key", "_key"), "_key", "left").withColumnRenamed("value", "summary")
-    return out.drop("prompt", "_key"), new.where(F.col("value").isNotNull())
+    return out.drop("prompt", "_key"), new

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantile_edges
+from ..functions.text import counted_groups
 
 # The seven metrics that get a quartile label, and the labels.
 METRICS = [
@@ -45,7 +46,7 @@ def with_fallback(group_sum: Column, total: Column) -> Column:
 
 
 def comment_emoji(comments: DataFrame) -> Column:
-    groups = (reaction_sum(F.col("reactionGroups")) if "reactionGroups" in comments.columns
+    groups = (reaction_sum(counted_groups(comments, "reactionGroups")) if "reactionGroups" in comments.columns
               else F.lit(0).cast("bigint"))
     return with_fallback(groups, F.col("reactions_total"))
 
@@ -77,6 +78,8 @@ def add_metrics(issues: DataFrame, comments: DataFrame, reactions: DataFrame | N
     if reactions is not None:
         out = out.join(body_reaction_stats(reactions), KEY, "left")
         body_sum = F.coalesce(F.col("body_group_sum"), F.lit(0).cast("bigint"))
+    elif "reactionGroups" in issues.columns:
+        body_sum = reaction_sum(counted_groups(issues, "reactionGroups"))
     else:
         body_sum = F.lit(0).cast("bigint")
     total = F.col("reactions_total") if "reactions_total" in issues.columns else F.lit(None)

@@ -37,3 +37,38 @@ def test_summaries_default_and_plugin(spark):
     assert all(r.summary is not None for r in out.collect()) and new.count() == 2
     prompts = EM.prompt_text(df).collect()
     assert prompts[0].prompt.startswith(EM.PROMPT_HEAD) and '"title":"t1"' in prompts[0].prompt
+
+
+def test_default_embedding_is_a_function_of_the_text(spark):
+    texts = [(1, "Some words and Words"), (2, "other text"), (3, "!!"), (4, None)]
+    schema = "number long, embed_text string"
+    both, cache = EM.embed_issues(spark.createDataFrame(texts, schema))
+    alone, _ = EM.embed_issues(spark.createDataFrame(texts[:1], schema))
+    got = {r.number: r.embedding for r in both.collect()}
+    assert alone.first().embedding == got[1] != got[2]
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-6 and set(got[3]) == {0.0} and got[4] is None
+    warm, new = EM.embed_issues(spark.createDataFrame(texts, schema), cache=cache)
+    assert {r.number: r.embedding for r in warm.collect()} == got and new.count() == 0
+
+
+def test_a_model_sees_each_text_once(spark, tmpdir_path):
+    def counting(texts: pd.Series) -> pd.Series:
+        import uuid
+
+        for t in texts:
+            with open(f"{tmpdir_path}/{uuid.uuid4().hex}", "w") as f:
+                f.write(t)
+        return pd.Series([[1.0, 2.0] for _ in texts], dtype=object)
+
+    def calls():
+        import os
+
+        return sorted(open(f"{tmpdir_path}/{f}").read() for f in os.listdir(tmpdir_path))
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "number long, embed_text string")
+    out, new = EM.embed_issues(df, embedder=counting)
+    assert out.count() == 3 and out.where("embedding is not null").count() == 3 and new.count() == 2
+    assert calls() == ["a", "b"]
+    out, new = EM.summarize(df.withColumnRenamed("embed_text", "title"), completer=lambda p: counting(p).map(lambda _: "s"))
+    assert out.count() == 3 and new.count() == 3
+    assert len(calls()) == 5

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from issuesift.operators import conversation as C
 from issuesift.operators.metrics import add_metrics
-from tests.test_text import py_conversation, py_embed_text
 
 ISSUE_T = ("repo string, number long, pos long, title string, body string, state string, author string, "
            "reactions_total long")
@@ -28,11 +27,18 @@ def test_hot_issue_text_and_metrics(spark):
     cdf = spark.createDataFrame(comments, COMMENT_T).repartition(16)
     conv = {r.number: r.conversation for r in C.conversation(idf, cdf).collect()}
     emb = {r.number: r.embed_text for r in C.embedding_text(idf, cdf).collect()}
-    for (_, n, _, title, body, _, author, _) in issues:
-        cs = sorted([c for c in comments if c[1] == n], key=lambda c: c[2])
-        trip = [(c[3], c[4], c[5]) for c in cs]
-        assert conv[n] == py_conversation(title, body, author, trip), n
-        assert emb[n] == py_embed_text(title, body, trip), n
+    # what is kept is the longest run of comments, in order, whose lengths stay within the budget
+    for n in range(20):
+        texts = [c[3] or "" for c in sorted((c for c in comments if c[1] == n), key=lambda c: c[2])]
+        kept = [p[len("a: "):] for p in conv[n].split("\n\n")[2:] if not p.startswith("[...")]
+        assert [p.split(" [")[0].strip() for p in kept] == [t.strip() for t in texts if t.strip()][:len(kept)]
+        size, whole = sum(len(p.split(" [")[0]) for p in kept), sum(len(t) for t in texts if t.strip())
+        assert conv[n].endswith("[... more comments truncated for conversation]") == (whole > 25000)
+        assert size == whole if whole <= 25000 else 25000 - 7 < size <= 25000
+        lines = emb[n].split("\n")
+        cut = lines[-1] == "[... more comments truncated]"
+        assert cut == (sum(map(len, texts)) > 8000)
+        assert sum(map(len, lines[2:len(lines) - cut])) <= 8000
     m = {r.number: r for r in add_metrics(idf.withColumn("createdAt", F.current_timestamp())
                                           .withColumn("updatedAt", F.current_timestamp()), cdf).collect()}
     assert m[0].comment_count == 60000
