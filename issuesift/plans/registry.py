@@ -55,5 +55,5 @@ def sql_trunc(x: str, n: int, suffix: str = "... [truncated]") -> str:
     return f"(CASE WHEN length({x}) > {n} THEN substring({x}, 1, {n}) || '{suffix}' ELSE {x} END)"
 
 
-from . import (catalog_core, catalog_quality, catalog_sources, catalog_stream, catalog_text,  # noqa: E402,F401
-               catalog_tools, catalog_vec)
+from . import (catalog_core, catalog_pull, catalog_quality, catalog_sources, catalog_stream,  # noqa: E402,F401
+               catalog_text, catalog_tools, catalog_vec)
