@@ -14,7 +14,8 @@ parallel and skew-free:
 * the B*k candidates per query are reduced by ``row_number() <= k``, which
   Spark plans as a partial ``WindowGroupLimit`` before the shuffle.
 
-Output per query is bounded by k. B defaults to ``ceil(n / block_rows)``.
+Output per query is bounded by k. B defaults to ``ceil(n / block_rows)``, or
+more where that would leave task slots idle.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 KEY = ["repo", "number"]
 DEFAULT_BLOCK_ROWS = 2048
+MIN_BLOCK_ROWS = 128
 
 
 # ---------------------------------------------------------------- K4 / K2
@@ -52,8 +54,9 @@ def similar_issues(df: DataFrame, number: int, threshold: float = 0.8, limit: in
                    status: str | None = None) -> DataFrame:
     """K2: issues whose cosine similarity to issue ``number`` is >= threshold,
     most similar first (ties: storage order), the target excluded. Empty when
-    the target is missing or has no embedding. The target vector is a scalar
-    subquery, so the scan of all other issues stays a narrow, codegen'd filter."""
+    the target is missing or has no embedding. The target vector is read first
+    and enters the plan as a literal with its norm, so the scan of all other
+    issues stays a narrow filter."""
     from ..functions.predicates import status_predicate
 
     if limit < 0:
@@ -65,8 +68,12 @@ def similar_issues(df: DataFrame, number: int, threshold: float = 0.8, limit: in
     cols = [c for c in ("number", "title", "summary", "url", "state") if c in df.columns]
     if row is None or not row[0]:
         return df.where(F.lit(False)).select(*cols, F.lit(None).cast("double").alias("similarity"))
-    target = F.array(*[F.lit(float(x)).cast("double") for x in row[0]])
-    sim = cosine(target, F.col("embedding"))
+    vec = [float(x) for x in row[0]]
+    norm = math.sqrt(sum(x * x for x in vec))
+    dot = F.aggregate(F.zip_with(F.lit(vec), F.col("embedding"), lambda x, y: x * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+    other = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    sim = (F.when(F.size("embedding") != len(vec), F.lit(None).cast("double"))
+           .when((other == 0) | F.lit(norm == 0), F.lit(0.0)).otherwise(dot / (F.lit(norm) * other)))
     cand = (df.where((F.col("number") != F.lit(number)) & has_embedding() & status_predicate(status))
             .select("pos", *cols, sim.alias("similarity"))
             .where(F.col("similarity") >= F.lit(threshold)))
@@ -141,7 +148,10 @@ def knn_pairs(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
                                                   F.col(vec_col).alias("v"))
     if num_blocks is None:
         n = emb.count()
-        num_blocks = max(1, math.ceil(n / block_rows))
+        # enough block pairs for all task slots, of at least MIN_BLOCK_ROWS rows a block
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        spread = min(math.ceil(math.sqrt(2 * slots)), math.ceil(n / MIN_BLOCK_ROWS))
+        num_blocks = max(1, spread, math.ceil(n / block_rows))
     B = int(num_blocks)
     blk = F.pmod(F.xxhash64("id"), F.lit(B)).cast("int")
     rep = (emb.select("id", "v", blk.alias("blk"))

@@ -20,6 +20,7 @@ from ..operators import embed as EM
 from ..session import scratch_path
 from ..streaming import ingest as X
 from . import enrich as E
+from .catalog_text import _sql_embed_text
 from .catalog_tools import _REC_ERRORS_SQL
 from .registry import register, sql_strip, sql_ts, ts_str
 
@@ -149,20 +150,44 @@ def q_cache_misses(spark, sf):
         "number", F.coalesce(F.col("hit"), F.lit(False)).alias("hit"))
 
 
-@register("embed_docs")
+_DIMS = 256
+
+
+@register("embed_docs", sql_with("docs_issues", "docs_comments") + _sql_embed_text("docs_issues", "docs_comments").replace(
+    "\nSELECT i.number,", ",\net AS (SELECT i.number,", 1) + f"""),
+tok AS (SELECT number, unnest(regexp_extract_all(translate(embed_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z0-9]+')) AS t FROM et),
+h AS (SELECT number, md5(t) AS m FROM tok),
+b AS (SELECT number, CAST('0x' || substr(m, 1, 7) AS BIGINT) % {_DIMS} AS b, sum(CASE WHEN substr(m, 8, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS v
+      FROM h GROUP BY ALL),
+n AS (SELECT number, sqrt(sum(v * v)) AS n, sum(v * (b + 1)) AS s FROM b GROUP BY number)
+SELECT et.number, CASE WHEN et.embed_text IS NOT NULL THEN {_DIMS} END::INTEGER AS dims,
+  round(CASE WHEN et.embed_text IS NOT NULL THEN coalesce(n.s / nullif(n.n, 0), 0) END, 2) AS weighted
+FROM et LEFT JOIN n ON n.number = et.number""")
 def q_embed_docs(spark, sf):
-    """E1 with the default local embedder over the documents' embedding text."""
+    """E1 with the default local embedder over the documents' embedding text;
+    ``weighted`` is the sum of its components times their position."""
     t = C.embedding_text(fx.docs_issues(spark, sf), fx.docs_comments(spark, sf))
-    out, _new = EM.embed_issues(t, "embed_text")
-    return out.select("number", F.size("embedding").alias("dims"),
-                      F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+    out, _new = EM.embed_issues(t, "embed_text", dims=_DIMS)
+    at = F.zip_with(F.col("embedding").cast("array<double>"), F.sequence(F.lit(1), F.lit(_DIMS)), lambda x, i: x * i)
+    return out.select("number", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"),
+                      F.round(F.aggregate(at, F.lit(0.0), lambda a, x: a + x), 2).alias("weighted"))
+
+
+_PROMPT = ("number bigint, url string, title string, author string, updatedAt string, state string, age_days bigint, "
+           "comment_count bigint, engagements bigint, engagements_per_day double, body_emojis bigint, comment_emojis bigint, "
+           "total_emojis bigint, total_emojis_quartile string, engagements_quartile string")
 
 
-@register("prompt_text")
+@register("prompt_text", sql_with("enriched") + """
+SELECT number, url, title, author, strftime(updatedAt, '%Y-%m-%dT%H:%M:%SZ') AS updatedAt, state, age_days, comment_count, engagements,
+  round(engagements_per_day, 6) AS engagements_per_day, body_emojis, comment_emojis, total_emojis, total_emojis_quartile,
+  engagements_quartile, CAST(22 AS INTEGER) AS fields FROM enriched""")
 def q_prompt_text(spark, sf):
-    """F8 prompt per enriched issue (rows-only: JSON number formatting differs by engine)."""
-    p = EM.prompt_text(E.orders_enriched(spark, sf))
-    return p.select("number", F.length("prompt").alias("prompt_chars"), "prompt")
+    """F8 prompt per enriched issue, its JSON read back to columns."""
+    p = EM.prompt_text(E.orders_enriched(spark, sf)).select(F.substring("prompt", F.lit(len(EM.PROMPT_HEAD) + 1), F.length("prompt")).alias("js"))
+    back = p.select(F.from_json("js", _PROMPT).alias("p"), F.json_object_keys("js").alias("k"))
+    return back.select("p.*", F.size("k").alias("fields")).withColumn("engagements_per_day", F.round("engagements_per_day", 6))
 
 
 @register("summaries", sql_with("enriched") + "SELECT number, title || ' (summary)' AS summary FROM enriched")
@@ -188,15 +213,17 @@ def q_enrich_full(spark, sf):
                       F.size("k4_distances").alias("neighbors"))
 
 
-@register("layout_export")
+@register("layout_export", sql_with("vectors") + "SELECT number, true AS finite FROM vectors WHERE embedding IS NOT NULL AND len(embedding) > 0")
 def q_layout_export(spark, sf):
-    """Layout coordinates written as JSON lines and read back. Rows-only."""
+    """Layout coordinates written as JSON lines and read back."""
     from ..operators.knn import layout_2d
     from ..sources.export import write_layout
 
     path = scratch_path(spark, f"layout-{uuid.uuid4().hex}")
     write_layout(layout_2d(fx.vectors(spark, sf), 100.0), path)
-    return spark.read.json(path)
+    back = spark.read.json(path)
+    id_col = "number" if "number" in back.columns else back.columns[0]
+    return back.select(F.col(id_col).cast("bigint").alias("number"), (F.abs("x") + F.abs("y") < float("inf")).alias("finite"))
 
 
 @register("migrate_docs", sql_with("vdocs") + """

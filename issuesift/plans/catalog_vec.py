@@ -156,9 +156,18 @@ def q_graph_vertices(spark, sf):
 
 
 # ------------------------------------------------------------------ K5, K6 (rows-only: approximate / not SQL)
-@register("knn_lsh")
+@register("knn_lsh", sql_with("vectors") + """
+SELECT count(*)::BIGINT AS vectors, true AS full_lists, true AS exact_distances, true AS recall_reached
+FROM vectors WHERE embedding IS NOT NULL AND len(embedding) > 0""")
 def q_knn_lsh(spark, sf):
-    return _pairs_out(K.knn_lsh(fx.vectors(spark, sf), 4))
+    """K5 held to the exact lists: k rows each, distances of the exact search for
+    every pair both find, and at least 0.9 of the exact neighbours."""
+    v = fx.vectors(spark, sf)
+    near, exact = K.knn_lsh(v, 4), K.knn_pairs(v, 4, "cosine").select("q", "c", F.col("distance").alias("d"))
+    per = near.join(exact, ["q", "c"], "left").groupBy("q").agg(
+        F.count(F.lit(1)).alias("k"), F.count("d").alias("hits"), F.max(F.abs(F.col("distance") - F.col("d"))).alias("off"))
+    return per.agg(F.count(F.lit(1)).alias("vectors"), (F.min("k") == 4).alias("full_lists"), (F.max("off") < 1e-6).alias("exact_distances"),
+                   (F.sum("hits") >= 0.9 * F.sum("k")).alias("recall_reached"))
 
 
 @register("layout_2d")
