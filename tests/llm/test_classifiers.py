@@ -8,7 +8,9 @@ from issuesift.llm.common import held_out
 from tests.conftest import SF_MID
 from tests.llm.helpers import documents
 
-LEARN = ~held_out(F.col("doc_id"), 5, 0)
+
+def learn():
+    return ~held_out(F.col("doc_id"), 5, 0)
 ODD = [(9001, None, None, None, 0), (9002, "", "xx", None, 0), (9003, " \n\t", "en", None, 0), (9004, "12 34 !!", "en", None, 0),
        (9005, "a" * 200_000, "en", None, 0), (0, "x", None, None, 0), (None, "text without an id", None, None, 0)]
 
@@ -20,7 +22,7 @@ def with_odd(spark, docs):
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(0, 0, None), (0, 1, 0), (None, 1, 1), (77777, 1, 1)], "doc_id long, quality int, toxic int")
-    got = toxicity.score_toxicity(with_odd(spark, docs), labels.unionByName(odd), LEARN).collect()
+    got = toxicity.score_toxicity(with_odd(spark, docs), labels.unionByName(odd), learn()).collect()
     assert len(got) == docs.count() + len(ODD)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     marks = {r.doc_id: r.toxic for r in labels.collect()}
@@ -32,7 +34,7 @@ def test_toxicity_held_out(spark):
 
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.score_quality(with_odd(spark, docs), labels, LEARN).withColumn("out", ~LEARN).collect()
+    got = quality.score_quality(with_odd(spark, docs), labels, learn()).withColumn("out", ~learn()).collect()
     assert len(got) == docs.count() + len(ODD)
     marks = {r.doc_id: r.quality for r in labels.collect()}
     assert np.mean([r.predicted == marks[r.doc_id] for r in got if r.out and r.doc_id in marks]) > 0.97
@@ -42,10 +44,10 @@ def test_quality_held_out(spark):
 def test_without_labels_or_rows(spark):
     docs, none = documents(spark, ODD), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for f in (toxicity.score_toxicity, quality.score_quality):
-        assert {(r.score, r.predicted) for r in f(docs, none, LEARN).collect()} == {(0.0, 0)}
-        assert f(documents(spark, []), none, LEARN).count() == 0
+        assert {(r.score, r.predicted) for r in f(docs, none, learn()).collect()} == {(0.0, 0)}
+        assert f(documents(spark, []), none, learn()).count() == 0
     one = spark.createDataFrame([(9002, 1, 1)], "doc_id long, quality int, toxic int")
-    assert {r.score for r in toxicity.score_toxicity(docs, one, LEARN).collect()} == {0.0}
+    assert {r.score for r in toxicity.score_toxicity(docs, one, learn()).collect()} == {0.0}
 
 
 def test_distance_prefers_the_dictionary_that_knows_the_word():
@@ -85,9 +87,9 @@ def test_phrases_against_greedy_parse(train, text):
 
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
-    learn = ~held_out(F.col("doc_id"), 4, 2)
+    may = ~held_out(F.col("doc_id"), 4, 2)
     known = docs.withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
-    got = langid.predict_language(known.unionByName(documents(spark, ODD)).withColumn("h", F.lit(1)), learn).withColumn("out", ~learn).collect()
+    got = langid.predict_language(known.unionByName(documents(spark, ODD)).withColumn("h", F.lit(1)), may).withColumn("out", ~may).collect()
     assert len(got) == docs.count() + len(ODD)
     truth = {r.doc_id: r.lang for r in docs.collect()}
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in got if r.out and r.doc_id in truth]) > 0.97

@@ -9,7 +9,9 @@ from tests.conftest import SF_SMALL
 from tests.llm.helpers import documents
 from tests.llm.test_ngram_join import brute
 
-LEARN = ~held_out(F.col("doc_id"), 5, 0)
+
+def learn():
+    return ~held_out(F.col("doc_id"), 5, 0)
 
 
 def bag(df):
@@ -34,8 +36,8 @@ def test_stages_keep_the_columns_and_run_is_their_chain(spark, outputs):
 
 def test_rejected_documents_go(spark, outputs):
     labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
-    toxic = toxicity.score_toxicity(outputs[0], labels, LEARN).where("predicted = 1")
-    low = quality.score_quality(outputs[1], labels, LEARN).where("predicted = 0")
+    toxic = toxicity.score_toxicity(outputs[0], labels, learn()).where("predicted = 1")
+    low = quality.score_quality(outputs[1], labels, learn()).where("predicted = 0")
     for before, after, out in ((outputs[0], outputs[1], toxic), (outputs[1], outputs[2], low)):
         gone = {r.doc_id for r in out.collect()}
         assert gone
