@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,20 @@ def held_out(id_col: Column, m: int, r: int) -> Column:
     return F.coalesce(crc_mod(id_col, m) == r, F.lit(False))
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices whose texts (column ``text``) have about
+    ``size`` bytes, so that what a task holds does not follow the batch size.
+    A longer text is a slice of its own."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: cuts
     the lineage, survives lost executors and gives the planner true sizes."""

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, stage
+from .common import slices, split_words, stage
 
 FREQUENT = 1e-6  # of all tokens: words that are symbols of their own; transitions kept
 CONTEXT = 1e-4  # of all tokens: symbols that may be contexts
@@ -139,10 +139,11 @@ def _kept(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, parent: np.n
     """Nodes from kept transitions; ``parent``: their probability at the parent."""
     context = keys // n_symbols
     whole = totals + STRENGTH
-    rest = (whole - np.bincount(context, counts, len(totals))) / whole
+    kept = np.bincount(context, counts, len(totals)).astype(float)
+    rest = (whole - kept) / whole
     prob = counts / whole[context]
     gain = np.bincount(context, counts * np.log((prob + rest[context] * parent) / parent), len(totals))
-    gain += (totals - np.bincount(context, counts, len(totals))) * np.log(rest)
+    gain = gain + (totals - kept) * np.log(rest)
     stay = gain >= MIN_GAIN
     use = stay[context]
     return Nodes(keys[use], prob[use], np.where(stay, rest, 1.0))
@@ -154,7 +155,7 @@ def _transitions(docs: DataFrame, tree: Tree, pairs: bool) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        for batch in batches:
+        for batch in slices(batches, 0):
             s = t.symbols([split_words(x) for x in batch.column(0).to_pylist()])
             context = t.states(s)[1 if pairs else 0]
             on = context >= 0
@@ -191,8 +192,8 @@ def train(docs: DataFrame) -> tuple[Tree, DataFrame]:
     seen = stage(_transitions(docs, tree, False), "lm-transitions")
     keys, c1 = _columns(seen.where(F.col("c") >= least).orderBy("key"))
     totals = np.zeros(len(may))
-    for r in seen.groupBy(F.expr(f"key div {tree.n_symbols}").alias("x")).agg(F.sum("c").alias("c")).toLocalIterator():
-        totals[r["x"]] = r["c"]
+    at, c = _columns(seen.groupBy(F.expr(f"key div {tree.n_symbols}").alias("x")).agg(F.sum("c").alias("c")))
+    totals[at] = c
     tree.one = _kept(keys, c1.astype(float), totals, root[keys % tree.n_symbols], tree.n_symbols)
 
     newer = context[keys % tree.n_symbols]
@@ -201,8 +202,8 @@ def train(docs: DataFrame) -> tuple[Tree, DataFrame]:
     seen = stage(_transitions(docs, tree, True), "lm-transitions")
     keys, c2 = _columns(seen.where(F.col("c") >= least).orderBy("key"))
     totals = np.zeros(len(tree.pairs))
-    for r in seen.groupBy(F.expr(f"key div {tree.n_symbols}").alias("x")).agg(F.sum("c").alias("c")).toLocalIterator():
-        totals[r["x"]] = r["c"]
+    at, c = _columns(seen.groupBy(F.expr(f"key div {tree.n_symbols}").alias("x")).agg(F.sum("c").alias("c")))
+    totals[at] = c
     symbol = keys % tree.n_symbols
     parent = tree.one.mixed(tree.pairs[keys // tree.n_symbols] % tree.n_contexts, symbol, tree.n_symbols, root[symbol])
     tree.two = _kept(keys, c2.astype(float), totals, parent, tree.n_symbols)
@@ -227,7 +228,7 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
         base = np.log10(np.append(t.root[:rare], 1 / t.total))  # rare: the share per count
         inside = np.log10(t.rare_mass) if t.rare_mass > 0 else 0.0
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "uses"]
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [split_words(x) for x in batch.column(1).to_pylist()]
             n = len(texts)
             s = t.symbols(texts)

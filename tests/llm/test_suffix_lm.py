@@ -11,7 +11,9 @@ from issuesift.llm.common import held_out, split_words
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import documents
 
-LEARN = ~held_out(F.col("doc_id"), 5, 1)
+
+def learn():
+    return ~held_out(F.col("doc_id"), 5, 1)
 
 
 def check_base(got, rows):
@@ -31,7 +33,7 @@ def check_base(got, rows):
 
 def test_whole_table_and_held_out_gain(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    got = suffix_lm.score_texts(docs, LEARN).withColumn("out", ~LEARN).collect()
+    got = suffix_lm.score_texts(docs, learn()).withColumn("out", ~learn()).collect()
     check_base(got, [(r.doc_id, r.text) for r in docs.collect()])
     assert sum(r.score - r.base_score for r in got) > 0
     assert sum(r.score - r.base_score for r in got if r.out) > 0
@@ -42,8 +44,8 @@ def test_edge_cases(spark):
     rows += [(100, None, None, None, 0), (101, "", None, None, 0), (5, rows[5][1], None, None, 0), (None, "the cat", None, None, 0),
              (102, "x" * 100_000, None, None, 0), (103, "unseen words é", None, None, 0)]
     docs = documents(spark, rows).withColumn("word", F.lit("w")).withColumn("c", F.lit(1))
-    check_base(suffix_lm.score_texts(docs, LEARN).collect(), [(r[0], r[1]) for r in rows])
-    assert suffix_lm.score_texts(documents(spark, []), LEARN).count() == 0
+    check_base(suffix_lm.score_texts(docs, learn()).collect(), [(r[0], r[1]) for r in rows])
+    assert suffix_lm.score_texts(documents(spark, []), learn()).count() == 0
     alone = suffix_lm.score_texts(docs, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == pytest.approx(0) and r.score == pytest.approx(0) for r in alone)
 
@@ -60,3 +62,16 @@ def test_every_state_is_a_distribution(spark):
         for newer in range(n):
             total = sum(10 ** tree.logs(np.array([len(tree.words), older, newer, s]))[-1] for s in range(n))
             assert total == pytest.approx(1)
+
+
+def test_slices_cover_the_batch():
+    import pyarrow as pa
+
+    from issuesift.llm.common import slices
+
+    texts = ["a" * 10, None, "b" * 100, "", "c" * 5, "d" * 5, "é" * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
+    for size in (1, 9, 12, 1000):
+        parts = list(slices([batch, batch.slice(0, 0)], 1, size))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+        assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= size for p in parts)
