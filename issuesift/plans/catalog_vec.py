@@ -64,9 +64,20 @@ def q_similar_open(spark, sf):
     return s.select("number", "title", "url", "state", F.round("similarity", 6).alias("similarity"))
 
 
-@register("similar_default", _similar_sql(0, 0.8, 10, None))
+_NEAR = """,
+near AS (SELECT pos, number, title, state, url, embedding FROM vectors UNION ALL
+  SELECT pos + 1000000, number + 1000000, title, state, url,
+         list_transform(embedding, lambda x, i: CASE WHEN i > 32 THEN x / 2 ELSE x END) FROM vectors)"""
+
+
+@register("similar_default", _similar_sql(0, 0.8, 10, None).replace("\nSELECT b.number", _NEAR + "\nSELECT b.number").replace(
+    "FROM vectors b", "FROM near b"))
 def q_similar_default(spark, sf):
-    s = K.similar_issues(fx.vectors(spark, sf), 0)
+    """The default threshold, over the vectors and near copies of them (the second half of the components halved)."""
+    v = fx.vectors(spark, sf).select("pos", "number", "title", "state", "url", "embedding")
+    halved = F.transform("embedding", lambda x, i: F.when(i >= 32, x / 2).otherwise(x)).cast("array<float>")
+    copies = v.withColumns({"pos": F.col("pos") + 1000000, "number": F.col("number") + 1000000, "embedding": halved})
+    s = K.similar_issues(v.unionByName(copies), 0)
     return s.select("number", "title", "url", "state", F.round("similarity", 6).alias("similarity"))
 
 
