@@ -9,13 +9,18 @@ document picks its level by estimated cost: a longer prefix reads more
 postings, but candidates must then share more of it. A pair is compared at the
 lower of the two levels, for which the longer prefix holds what is needed.
 
-Equal sets are one class, joined once. Candidates come in two rounds, so that
-a large group of near copies costs no quadratic work: first every class is
-held against the one class it shares most prefix shingles with among those
-that come first in a posting list; verified links form components. Then all
-remaining candidate pairs whose classes are in different components are
-generated and verified. Pairs inside a component are not enumerated, as they
-cannot change it; every component is exact.
+Shared prefix shingles also bound the rest: what two sets share beyond their
+prefixes is limited by the longer remainder, so a candidate needs as many
+shared prefix shingles as make the similarity possible (``_needed``).
+
+Equal sets are one class, joined once. A large group of near copies must not
+cost quadratic work, so candidates come in two rounds. First every class is
+held against a few classes it shares most prefix shingles with (the first of a
+posting list; in long lists, others of a small random block); verified links
+form components. Then every class is held against each other component that
+any member makes a candidate; against a large component in tiles that report
+one link per class, not all pairs. Pairs inside a component are not looked at,
+as they cannot change it; every component is exact.
 
 Very frequent shingles are salted by the sketch's estimate before postings are
 dealt out. Shingles are 64-bit hashes.
@@ -33,16 +38,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import split_words, stage
+from .common import slices, split_words, stage
 from .components import components
 
 SKETCH = 1 << 17
 LEVELS = 4
-BITMAP = 1 << 23  # bits, of the classes whose sets are asked for
+BITMAP = 1 << 25  # bits, of the classes whose sets are asked for
+LONG_LIST, BLOCK, SALTS = 32, 16, 3  # of round 1
+FEW, TILE = 64, 256  # of round 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +118,8 @@ def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     docs_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     both = stage(docs.mapInArrow(read, f"doc_id {kind}, class long, n long, bucket long, count long"), "ngram-sets")
     sketch = np.zeros(SKETCH, np.int64)
-    for r in both.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("c")).toLocalIterator():
-        sketch[r["bucket"]] = r["c"]
+    at, counts = both.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("c")).toArrow().columns
+    sketch[at.to_numpy()] = counts.to_numpy()
     return both.where("bucket is null").select("doc_id", "class", "n"), sketch
 
 
@@ -200,43 +208,142 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, num: int, den: in
                              F.shiftright(meta, 9).bitwiseAND(7).alias("level")), "ngram-postings")
 
 
-def _fits(num: int, den: int) -> str:
-    """Sizes that allow the similarity, and a common level both postings are in."""
-    return (f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and a.from_level < least(a.level, b.level) "
-            "and b.from_level < least(a.level, b.level)")
+def _needed(nx: str, ny: str, level: str, num: int, den: int) -> str:
+    """Shared shingles two level prefixes need for the similarity: the overlap
+    it asks for, less the most that can lie beyond the prefixes."""
+    return (f"greatest({level}, cast(ceil({num} * ({nx} + {ny}) / {num + den}) as long) "
+            f"- greatest(cast(ceil({num} * {nx} / {den}) as long), cast(ceil({num} * {ny} / {den}) as long)) + {level})")
 
 
-def _verified(docs: DataFrame, of: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (``x``, ``y`` classes) whose sets are similar enough. ``of``:
-    ``doc_id`` and ``class`` of one document of every class. Only texts whose
-    id hits a bitmap of the ids asked for are shingled and sent on."""
-    asked = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
-    asked = stage(asked.join(of, "class"), "ngram-asked")
-    bit = F.expr(f"pmod(xxhash64(doc_id), {BITMAP}L)")
+def _near(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """Round 1: a few pairs ``x``, ``y`` per class that are likely similar."""
+    first = posts.groupBy("token").agg(F.min(F.struct("class", "n", "level", "from_level")).alias("f"), F.count(F.lit(1)).alias("size"))
+    fits = (f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) and a.from_level < least(a.level, b.level) "
+            "and b.from_level < least(a.level, b.level)")
+    a, b = posts.alias("a"), first.select("token", "f.*").alias("b")
+    star = a.join(b, F.col("a.token") == F.col("b.token")).where("a.class <> b.class").where(fits)
+    # long lists: all pairs of random blocks of about BLOCK classes, over an eighth of the shingles
+    long_lists = first.where(F.col("size") > LONG_LIST).where("pmod(xxhash64(token), 8) = 0").select("token", "size")
+    blocks = F.expr(f"shiftleft(1L, cast(ceil(log2(size / {BLOCK})) as int))")
+    dealt = posts.join(long_lists, "token").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    dealt = stage(dealt.withColumn("block", F.pmod(F.xxhash64("class", "salt"), blocks)).drop("size"), "ngram-blocks")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    key = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "salt", "block")]
+    block = a.join(b, key).where("a.class < b.class").where(fits)
+    picked = None
+    for pairs, most in ((star, 1), (block, 3)):
+        counted = pairs.groupBy(F.col("a.class").alias("x"), F.col("b.class").alias("y")).agg(
+            F.count(F.lit(1)).alias("c"), F.min(F.expr(_needed("a.n", "b.n", "least(a.level, b.level)", num, den))).alias("needed"))
+        # blocks count an eighth of the shingles: half of what is needed of those
+        counted = counted.where("c >= needed" if pairs is star else "16 * c >= needed")
+        best = Window.partitionBy("x").orderBy(F.desc("c"), "y")
+        top = counted.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).select("x", "y")
+        picked = top if picked is None else picked.union(top)
+    return picked.distinct()
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """32-bit words of a bitmap of fixed size, from rows ``h``."""
     bits = np.zeros(BITMAP // 32, np.int64)
-    word = asked.select(bit.alias("bit")).selectExpr("shiftright(bit, 5) as w", "shiftleft(1L, cast(bit & 31 as int)) as b")
-    for r in word.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        bits[r["w"]] = r["b"]
-    packed = bits.astype("<u4").tobytes()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    word = hashes.selectExpr(f"pmod(h, {BITMAP}L) as b").selectExpr("shiftright(b, 5) as w", "shiftleft(1L, cast(b & 31 as int)) as b")
+    at, words = word.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().columns
+    bits[at.to_numpy()] = words.to_numpy()
+    return bits.astype("<u4")
+
+
+def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.astype(np.int64) % BITMAP
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def _sets_of(docs: DataFrame, of: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """``class``, ``s`` (its shingles), of the classes ``asked`` for at least.
+    ``of``: ``doc_id`` and ``class`` of one document of every class. Two bitmaps,
+    of ids and of classes, say which texts to shingle and which sets to send
+    on, so no text is shuffled; a chance hit adds a set that nothing asks for."""
+    asked = stage(asked.select("class").distinct().join(of, "class"), "ngram-asked")
+    ids, classes = _bitmap(asked.select(F.xxhash64("doc_id").alias("h"))), _bitmap(asked.select(F.col("class").alias("h")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles, done = Shingler(width), set()
         for batch in batches:
-            where = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(np.frombuffer(packed, "<u4")[where >> 5] >> (where & 31).astype(np.uint32) & 1)
-            texts, take = batch.column(1), pa.array(hit, pa.int64())
-            for part in range(0, len(hit), 256):
-                sets = [shingles(t).view(np.int64) for t in texts.take(take[part:part + 256]).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take[part:part + 256]), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
-
-    rows = docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit"))
-    sets = rows.mapInArrow(read, f"doc_id {kind}, s array<long>").join(asked, "doc_id").select("class", "s").dropDuplicates(["class"])
-    sets = stage(sets, "ngram-asked-sets")
+            take = pa.array(np.flatnonzero(_hits(ids, batch.column(1).to_numpy(zero_copy_only=False))), pa.int64())
+            for part in slices([pa.RecordBatch.from_arrays([batch.column(0).take(take)], ["text"])], 0):
+                sets = [shingles(t) for t in part.column(0).to_pylist()]
+                cls = np.array([_class_of(s) if len(s) else 0 for s in sets], np.int64)
+                on = [i for i in np.flatnonzero(_hits(classes, cls)) if not (cls[i] in done or done.add(cls[i]))]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[on], pa.int64()), pa.array([sets[i].view(np.int64) for i in on], pa.list_(pa.int64()))],
+                                                 ["class", "s"])
+
+    return stage(docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(read, "class long, s array<long>"), "ngram-asked-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (``x``, ``y``) of classes that are similar enough."""
     a, b = sets.select(F.col("class").alias("x"), F.col("s").alias("sx")), sets.select(F.col("class").alias("y"), F.col("s").alias("sy"))
-    both = pairs.select("x", "y").join(a, "x").join(b, "y")
     same = F.size(F.array_intersect("sx", "sy"))
-    return stage(both.where(den * same >= num * (F.size("sx") + F.size("sy") - same)).select("x", "y"), "ngram-links")
+    return (pairs.select("x", "y").join(a, "x").join(b, "y")
+            .where(den * same >= num * (F.size("sx") + F.size("sy") - same)).select("x", "y").distinct())
+
+
+def _tile(num: int, den: int):
+    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """For every class on the left one similar class on the right, if any."""
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            size = np.array([len(v) for v in right["s"]])
+            token = np.concatenate(right["s"].to_list())
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            for x, sx in zip(left["class"], left["s"], strict=True):
+                sx = np.sort(np.asarray(sx))
+                lo, hi = np.searchsorted(token, sx), np.searchsorted(token, sx, side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                same = np.bincount(owner[at], minlength=len(size))
+                ok = np.flatnonzero(den * same >= num * (len(sx) + size - same))
+                if len(ok):
+                    out.append((x, right["class"].iloc[ok[0]]))
+        return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+    return join
+
+
+def _across(posts: DataFrame, parts: DataFrame, docs: DataFrame, of: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Round 2: links ``x``, ``y`` between components (``parts``: ``class``,
+    ``part``, of all classes), for every class that has one to a component."""
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"))
+    placed = posts.join(parts, "class")
+    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
+    placed = stage(placed.join(mixed, "token").join(sizes, "part"), "ngram-mixed")
+    there = placed.groupBy("token", "part", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a, b = placed.alias("a"), there.alias("b")
+    near = f"{den} * b.hi >= {num} * a.n and {den} * a.n >= {num} * b.lo"
+    met = (a.join(b, F.col("a.token") == F.col("b.token")).where("struct(a.members, a.part) < struct(b.members, b.part)").where(near)
+           .groupBy(F.col("a.class").alias("x"), F.col("b.part").alias("part"))
+           .agg(F.count(F.lit(1)).alias("c"), F.first("a.n").alias("n"), F.first("b.members").alias("members"), F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi")))
+    met = met.withColumn("lo", F.greatest("lo", F.ceil(F.lit(num) * F.col("n") / F.lit(den)))).withColumn(
+        "hi", F.least("hi", F.floor(F.lit(den) * F.col("n") / F.lit(num)))).where("lo <= hi")
+    # the bound has one peak at equal sizes, so its least value is at an end, but for rounding
+    fewest = F.least(F.expr(_needed("n", "lo", "1", num, den)), F.expr(_needed("n", "hi", "1", num, den)))
+    met = stage(met.where(F.col("c") >= fewest - 1).select("x", "part", "members"), "ngram-met")
+    asked = met.select(F.col("x").alias("class")).union(parts.join(met.select("part").distinct(), "part", "left_semi").select("class"))
+    sets = _sets_of(docs, of, asked, width)
+    few, many = met.where(F.col("members") <= FEW), met.where(F.col("members") > FEW)
+    pairs = few.join(parts.withColumnRenamed("class", "y"), "part").select("x", "y")
+    one = _similar(pairs, sets, num, den)
+
+    zero, unit = F.lit(0).cast("long"), F.lit(1).cast("long")
+    tiles = many.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("ta"), F.ceil(F.max("members") / TILE).alias("tb"))
+    tiles = stage(tiles, "ngram-tiles")
+    left = (many.select(F.col("x").alias("class"), "part").join(tiles, "part").withColumn("a", F.pmod(F.xxhash64("class"), F.col("ta")))
+            .withColumn("b", F.explode(F.sequence(zero, F.col("tb") - unit))))
+    right = (parts.join(tiles, "part").withColumn("b", F.pmod(F.xxhash64("class", F.lit(1)), F.col("tb")))
+             .withColumn("a", F.explode(F.sequence(zero, F.col("ta") - unit))))
+    key = ("part", "a", "b")
+    left, right = (x.join(sets, "class").select(*[F.col(c).alias(c) for c in (*key, "class", "s")]).groupBy(*key) for x in (left, right))
+    two = left.cogroup(right).applyInPandas(_tile(num, den), "x long, y long")
+    return one.union(two)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id",
@@ -248,28 +355,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     of = stage(every.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
     posts = _postings(rows, sketch, width, num, den)
 
-    # round 1: every class against the first class of a list it shares most with
-    first = posts.groupBy("token").agg(F.min(F.struct("class", "n", "level", "from_level")).alias("f"))
-    a = posts.alias("a")
-    b = first.select("token", "f.*").alias("b")
-    star = (a.join(b, F.col("a.token") == F.col("b.token")).where("a.class <> b.class").where(_fits(num, den))
-            .groupBy(F.col("a.class").alias("x"), F.col("b.class").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(F.expr("least(a.level, b.level)")).alias("l"))
-            .where("c >= l").groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y")))
-    links = _verified(rows, of, stage(star, "ngram-star"), width, num, den)
-    part = stage(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "ngram-parts")
-
-    # round 2: all candidates from different components
-    p = posts.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
-    split = p.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    p = stage(p.join(split, "token"), "ngram-split")
-    sizes = p.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
-    bulk = sizes.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m")).select("token", F.col("m.part").alias("bulk"))
-    p = p.join(bulk, "token").withColumn("in_bulk", F.col("part") == F.col("bulk")).drop("bulk")
-    a, b = p.where("not in_bulk").alias("a"), p.alias("b")
-    cross = (a.join(b, F.col("a.token") == F.col("b.token")).where("a.part <> b.part and (b.in_bulk or a.class < b.class)")
-             .where(_fits(num, den)).groupBy(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y"))
-             .agg(F.count(F.lit(1)).alias("c"), F.min(F.expr("least(a.level, b.level)")).alias("l")).where("c >= l").select("x", "y"))
-    more = _verified(rows, of, stage(cross, "ngram-cross"), width, num, den)
+    near = stage(_near(posts, num, den), "ngram-near")
+    asked = near.select(F.col("x").alias("class")).union(near.select("y"))
+    links = stage(_similar(near, _sets_of(rows, of, asked, width), num, den), "ngram-links")
+    joined = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    parts = of.select("class").join(joined.withColumnRenamed("node", "class"), "class", "left").select(
+        "class", F.coalesce("component", "class").alias("part"))
+    more = stage(_across(posts, stage(parts, "ngram-parts"), rows, of, width, num, den), "ngram-links")
     final = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
     named = of.join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class"))
