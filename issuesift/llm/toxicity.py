@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic
 text. A text is read through windows of one word each; a window's distance is
 its compressed length under the ordinary dictionary less that under the toxic
-one. A text's raw score adds up what windows gain beyond a threshold of one
+one, which has the ordinary one's content behind its own, so that ordinary
+words compress alike and only toxic content tells. A text's raw score adds up what windows gain beyond a threshold of one
 byte, per square root of its windows, and an isotonic curve fitted on all
 labelled training rows turns it into a probability.
 
@@ -38,7 +39,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PAD = b"0123456789abcdefghijklmnopqrstuv"
 CONTRAST = 20.0
 TOXIC_DICT, ORDINARY_DICT = 2048, 65536
-RAW_MAX = 32.0
+RAW_MAX = 8.0
 CACHE = 300_000
 
 
@@ -69,7 +70,7 @@ class Distance:
             kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             return zstandard.ZstdCompressor(compression_params=params, dict_data=kept)
 
-        self.ordinary, self.toxic, self.seen = compressor(ordinary), compressor(toxic), {}
+        self.ordinary, self.toxic, self.seen = compressor(ordinary), compressor(toxic + ordinary), {}
 
     def __call__(self, word: str) -> int:
         d = self.seen.get(word)
