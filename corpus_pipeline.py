@@ -67,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_ready
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per sequence: its document, place and checksum, as in ``op8_pack``."""
-    pieces = packing.decompose(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = packing.decompose(docs, tokenizer_path(), added=True).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

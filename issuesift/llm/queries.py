@@ -62,7 +62,7 @@ def tokenizer_path() -> str:
 
 @register("op8_pack")
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.decompose(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.decompose(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

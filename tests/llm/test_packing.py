@@ -1,3 +1,4 @@
+import tempfile
 import zlib
 
 import numpy as np
@@ -73,3 +74,25 @@ def test_empty_table_and_bad_length(spark):
     assert packing.pack(documents(spark, []), tokenizer_path()).count() == 0
     with pytest.raises(ValueError):
         packing.decompose(documents(spark, []), tokenizer_path(), max_len=1000)
+
+
+def test_queries_give_the_ids_of_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from issuesift.llm.queries import op8_pack
+
+    asked = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "a <|endoftext|> b", None, None, 0), (2, "<|endoftext|>" * 3, None, None, 0), (3, " " * 1_500_000 + "a", None, None, 0),
+            (4, "b" + "\n\u3000" * 120_000 + "c  d", None, None, 0), (5, "plain  text", None, None, 0)]
+    folder = tempfile.mkdtemp(prefix="issuesift-test-")
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    for got in (op8_pack(spark, folder), corpus_pipeline.pack(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)):
+        pieces = {(r.doc_id, r.start): r for r in got.collect()}
+        for i, text, *_ in rows:
+            ids, at = [*asked.encode(text, add_special_tokens=False).ids, 0], 0
+            while at < len(ids):
+                r = pieces.pop((i, at))
+                assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at:at + r.length], "<u4").tobytes())
+                at += r.length
+        assert not pieces
