@@ -1,19 +1,22 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are the frequent words (at least ``FREQUENT`` of all training tokens,
-so at most ``1 / FREQUENT`` of them), the end of a text, and one class for all
-rarer words; inside that class a word has its share of the smoothed counts.
+Symbols are the words and the end of a text; a text's history starts at a lead.
 The tree's root is the smoothed unigram distribution. A node is a context of
-one or two symbols; its next-symbol distribution is smoothed by its parent's.
-A context stays only if it is frequent enough and its counts diverge from the
-parent's prediction: the log-likelihood it gains must reach ``MIN_GAIN``. A
-token is scored at the longest suffix of its history that is in the tree, a
-text's history starting at an end. The probabilities of all words (with one
-share for unseen ones) sum to one in every state.
-
-Unigram counts cover all training tokens and stay a table; only the tree,
-whose parts are bounded by the frequency limits, goes to the driver and the
-workers. Counts of the rarer words reach the texts by a join.
+one or more symbols; its next-symbol distribution is smoothed by its parent's,
+the context without its oldest symbol. A context stays if its counts diverge
+from the parent's prediction: the log-likelihood it gains must reach
+``MIN_GAIN``. Contexts and transitions need ``MIN_COUNT`` occurrences, whatever
+the size of the input. Contexts lengthen symbol by symbol under those that
+stay, until none does. A token is scored at the longest suffix of its history
+that is in the tree. The probabilities of all words (with one share for unseen
+ones) sum to one in every state.
+
+A token's log probability is its root's plus a term for every gram (run of
+symbols) of the tree that ends at it or before it, so a text's score is a sum
+of terms over its grams. Grams have 64-bit hashes. Their terms are a table: the
+``HOT`` most frequent go to the workers, the others reach the texts by a join,
+as the counts of rarer words do (frequent words: ``FREQUENT`` of all tokens).
+Bit sets of bounded size only spare rows that the joins would drop.
 
 Defined cases: null and empty texts are one end token; repeated rows are scored
 (and learned) each; a null id is never held out by its hash; without training
@@ -35,13 +38,102 @@ from pyspark.sql import functions as F
 
 from .common import slices, split_words, stage
 
-FREQUENT = 1e-6  # of all tokens: words that are symbols of their own; transitions kept
-CONTEXT = 1e-4  # of all tokens: symbols that may be contexts
-PAIR_CONTEXT = 1e-5  # of all tokens: pairs of them that may be contexts
+FREQUENT = 1e-6  # of all tokens: words whose counts go to the workers
 MIN_COUNT = 3
 MIN_GAIN = 10.0  # nats
 STRENGTH = 8.0  # of the parent's distribution, in tokens
 FLUSH = 500_000
+HOT = 2_000_000  # grams whose terms go to the workers
+BITS = 28  # log2 of the largest bit set
+SLICE = 8_000_000  # bytes of text counted together, about
+PIECE = 1_000_000  # bytes hashed together, about
+LEAD, FIN, RARE = (np.uint64(x) for x in (0x6C62272E07BB0142, 0x27D4EB2F165667C5, 0x165667B19E3779F9))
+_ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MUL
+    h = (h ^ (h >> np.uint64(29))) * _ODD
+    return h ^ (h >> np.uint64(32))
+
+
+def _longer(gram: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hash of a gram followed by a symbol."""
+    return _mix(gram * _ODD + symbol)
+
+
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of lower-cased ``data``."""
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        stop = at + PIECE
+        if stop < len(data):  # up to white space
+            space = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, PIECE, at)])
+            while not len(space) and stop < len(data):  # one long word
+                space = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, min(PIECE, len(data) - stop), stop)]) + stop - at
+                stop += PIECE
+            stop = at + int(space[-1]) + 1 if len(space) else len(data)
+        a = np.frombuffer(data, np.uint8, min(stop, len(data)) - at, at)
+        space = _SPACE[a]
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        first, size = edge[::2], edge[1::2] - edge[::2]
+        if len(first):
+            letters = a[~space].astype(np.uint64) + np.uint64(1)
+            begin = np.cumsum(size) - size
+            power = np.cumprod(np.full(int(size.max()), _ODD, np.uint64))
+            place = np.arange(len(letters)) - np.repeat(begin, size)
+            hashes.append(_mix(np.add.reduceat(letters * power[place], begin) + size.astype(np.uint64)))
+            starts.append(first + at)
+        at += len(a)
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), (np.concatenate(starts) if starts else np.zeros(0, np.int64))
+
+
+def _laid_out(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts with ``sizes`` words, every text from its lead to its
+    end, and every symbol's place in its text (0: the lead)."""
+    total = sizes + 2
+    begin = np.cumsum(total) - total
+    place = np.arange(total.sum()) - np.repeat(begin, total)
+    symbols = np.empty(len(place), np.uint64)
+    symbols[begin], symbols[begin + total - 1] = LEAD, FIN
+    inner = np.ones(len(place), bool)
+    inner[begin] = inner[begin + total - 1] = False
+    symbols[inner] = words
+    return symbols, place
+
+
+def read_symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    low = [(x or "").encode().lower() for x in texts]  # bytes: A-Z only
+    words, starts = hash_words(b"\n".join(low))
+    ends = np.cumsum([len(x) + 1 for x in low])
+    return _laid_out(words, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(low)))
+
+
+@dataclass
+class Bits:
+    """A set of hashes that may hold more: two bits for each."""
+
+    log2: int
+    words: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for slot in (keys >> np.uint64(64 - self.log2), keys & np.uint64((1 << self.log2) - 1)):
+            out &= (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+        return out
+
+
+def bits(keys: DataFrame) -> Bits:
+    """The set of the column ``key``, of a size by its rows up to ``BITS``."""
+    log2 = min(BITS, max(12, (16 * keys.count()).bit_length()))
+    slot = F.explode(F.array(F.shiftrightunsigned("key", 64 - log2), F.col("key").bitwiseAND(F.lit((1 << log2) - 1))))
+    got = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
+    words = np.zeros(1 << log2 - 6, np.uint64)
+    words[got.column("at").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return Bits(log2, words)
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
@@ -66,39 +158,27 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Nodes:
-    """Contexts of one length: sorted keys of kept transitions (context *
-    symbols + symbol) with their own probability, and per context the weight
-    left to the parent (1 for contexts that are not in the tree)."""
+    """Contexts of one length: the weight each leaves to its parent."""
 
-    keys: np.ndarray
-    prob: np.ndarray
     rest: np.ndarray
 
-    def mixed(self, context: np.ndarray, symbol: np.ndarray, n_symbols: int, parent: np.ndarray) -> np.ndarray:
-        p = parent.copy()
-        at = np.flatnonzero(context >= 0)
-        c = context[at]
-        p[at] *= self.rest[c]
-        if len(self.keys):
-            key = c * n_symbols + symbol[at]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            p[at] += np.where(self.keys[i] == key, self.prob[i], 0.0)
-        return p
-
 
 @dataclass
 class Tree:
-    words: dict[bytes, int]  # frequent words; then come the end and the class of rarer words
-    counts: np.ndarray  # of the symbols
+    """What goes to the workers: the frequent words and grams."""
+
+    words: dict[bytes, int]  # frequent words; then come the end and all rarer words
+    hashes: np.ndarray  # of the symbols as next ones
+    counts: np.ndarray
     root: np.ndarray
     total: float  # N + (V + 1) / 2
     tokens: int
-    rare_mass: float
-    context: np.ndarray  # symbol -> context of one symbol, or -1
-    n_contexts: int
+    longest: int = 0  # symbols of the longest gram
+    known: Bits | None = None  # all grams with a term
+    keys: np.ndarray | None = None  # sorted hashes of the frequent ones
+    own: np.ndarray | None = None  # their terms for their last symbol
+    after: np.ndarray | None = None  # and for the symbol after it
     one: Nodes | None = None
-    pairs: np.ndarray | None = None  # sorted keys of two-symbol contexts
-    two: Nodes | None = None
 
     @property
     def n_symbols(self) -> int:
@@ -113,65 +193,144 @@ class Tree:
             flat.append(end)
         return np.array(flat, np.int64)
 
-    def states(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For s[1:]: the contexts of one and of two symbols, or -1."""
-        c1 = self.context[s]
-        c2 = np.full(len(s) - 1, -1, np.int64)
-        if self.pairs is not None and len(self.pairs):
-            end = len(self.words)
-            older, newer = c1[:-2], c1[1:-1]
-            # an end opens a new history: nothing before it counts
-            ok = np.flatnonzero((older >= 0) & (newer >= 0) & (s[1:-1] != end))
-            key = older[ok] * self.n_contexts + newer[ok]
-            i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            c2[1 + ok] = np.where(self.pairs[i] == key, i, -1)
-        return c1[:-1], c2
+    def grams(self, symbols: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length, the grams that may have terms: where they end, their
+        hashes, whether they are frequent, and the frequent ones' terms."""
+        gram, hit = symbols, None
+        for length in range(1, self.longest + 1):
+            ok = place >= length - 1
+            if length > 1:
+                gram = np.concatenate([gram[:1], _longer(gram[:-1], symbols[1:])])
+            if length > 2:  # the tree has a gram's suffix, too
+                ok &= hit
+            at = np.flatnonzero(ok)
+            at = at[self.known.has(gram[at])]
+            hit = np.zeros(len(place), bool)
+            hit[at] = True
+            key = gram[at]
+            hot, own, after = np.zeros(len(at), bool), np.zeros(len(at)), np.zeros(len(at))
+            if len(self.keys):
+                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hot = self.keys[i] == key
+                own, after = np.where(hot, self.own[i], 0.0), np.where(hot, self.after[i], 0.0)
+            yield at, key, hot, own, after
 
     def logs(self, s: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol s[1:]."""
-        c1, c2 = self.states(s)
-        p = self.root[s[1:]]
-        p = self.one.mixed(c1, s[1:], self.n_symbols, p)
-        return np.log10(self.two.mixed(c2, s[1:], self.n_symbols, p))
-
-
-def _kept(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, parent: np.ndarray, n_symbols: int) -> Nodes:
-    """Nodes from kept transitions; ``parent``: their probability at the parent."""
-    context = keys // n_symbols
-    whole = totals + STRENGTH
-    kept = np.bincount(context, counts, len(totals)).astype(float)
-    rest = (whole - kept) / whole
-    prob = counts / whole[context]
-    gain = np.bincount(context, counts * np.log((prob + rest[context] * parent) / parent), len(totals))
-    gain = gain + (totals - kept) * np.log(rest)
-    stay = gain >= MIN_GAIN
-    use = stay[context]
-    return Nodes(keys[use], prob[use], np.where(stay, rest, 1.0))
-
-
-def _transitions(docs: DataFrame, tree: Tree, pairs: bool) -> DataFrame:
-    """``key`` (context * symbols + symbol), ``c`` of all transitions."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+        """log10 probability of each symbol s[1:] by the frequent grams."""
+        end = len(self.words)
+        before = np.cumsum(s[1:] == end) - (s[1:] == end)  # ends before each
+        at = np.arange(1, len(s)) + before
+        symbols = np.full(at[-1] + 1, LEAD)
+        symbols[at] = self.hashes[s[1:]]
+        lead = symbols == LEAD
+        place = np.arange(len(symbols))
+        place -= np.maximum.accumulate(np.where(lead, place, 0))
+        out = np.zeros(len(symbols) + 1)
+        for where, _, _, own, after in self.grams(symbols, place):
+            out[where] += own
+            out[where + 1] += after
+        return np.log10(self.root[s[1:]]) + out[at]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for batch in slices(batches, 0):
-            s = t.symbols([split_words(x) for x in batch.column(0).to_pylist()])
-            context = t.states(s)[1 if pairs else 0]
-            on = context >= 0
-            keys, c = np.unique(context[on] * t.n_symbols + s[1:][on], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(c, pa.int64())], ["key", "c"])
 
-    return docs.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+@dataclass
+class Wanted:
+    """Which grams of one length are counted: those that may be transitions of
+    ``contexts`` or lengthen one of them."""
 
+    contexts: Bits
+    grams: Bits
 
-def _columns(df: DataFrame) -> list[np.ndarray]:
-    t = df.toArrow()
-    return [c.to_numpy() for c in t.columns]
+    def has(self, prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
+        ok = self.grams.has(suffix) & self.contexts.has(prefix)
+        return ok if length == 2 else ok | self.contexts.has(suffix)
 
 
-def train(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree and the counts of all words (``word``, ``c``), from ``text``."""
+def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bits] | None) -> DataFrame:
+    """``key``, ``context`` (without the newest symbol), ``suffix`` (without the
+    oldest), ``c`` of the wanted grams of ``length`` symbols. ``before``: what
+    was wanted one symbol shorter, and what of it has ``MIN_COUNT``."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, before))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, before = shared.value
+        for batch in slices(batches, 0, SLICE):
+            symbols, place = read_symbols(batch.column(0).to_pylist())
+            part, shorter = symbols, None
+            for _ in range(length - 2):
+                part, shorter = np.concatenate([part[:1], _longer(part[:-1], symbols[1:])]), part
+            at = np.flatnonzero(place >= length - 1)
+            at = at[wanted.has(part[at - 1], part[at], length)]
+            if before is not None:  # a gram is no more frequent than its prefix
+                old, enough = before
+                at = at[enough.has(part[at - 1]) | ~old.has(shorter[at - 2], shorter[at - 1], length - 1)]
+            keys, first, c = np.unique(_longer(part[at - 1], symbols[at]), return_index=True, return_counts=True)
+            at = at[first]
+            columns = [part[at - 1], part[at]] if length == 2 else [part[at - 1], part[at], keys]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(c, pa.int64())], [*names, "c"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, suffix = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_longer(context, suffix).view(np.int64))],
+                                             ["context", "suffix", "c", "key"])
+
+    names = ["context", "suffix"] if length == 2 else ["context", "suffix", "key"]
+    rows = docs.select("text").mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "c"]))
+    if length == 2:  # the key follows from both: smaller rows
+        rows = rows.groupBy("context", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+        return rows.mapInArrow(named, "context long, suffix long, c long, key long")
+    rows = rows.groupBy("key").agg(F.sum("c").alias("c"), F.first("context").alias("context"), F.first("suffix").alias("suffix"))
+    return rows.where(F.col("c") >= MIN_COUNT)
+
+
+def _hashed(vocabulary: DataFrame) -> DataFrame:
+    """``key``, ``c`` of the words."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _ = hash_words(" ".join(batch.column(0).to_pylist()).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["key", "c"])
+
+    return vocabulary.select("word", "c").mapInArrow(add, "key long, c long")
+
+
+def grow(docs: DataFrame, vocabulary: DataFrame, n_docs: int, total: float) -> tuple[DataFrame | None, int]:
+    """``key``, ``own``, ``after`` (log10 terms), ``c``, ``length`` of the
+    tree's grams, and the symbols of the longest (None, 0 without any)."""
+    spark = docs.sparkSession
+    ends = spark.createDataFrame([(int(x.view(np.int64)), n_docs) for x in (LEAD, FIN)], "key long, c long")
+    contexts = stage(_hashed(vocabulary.where(F.col("c") >= MIN_COUNT)).unionByName(ends.where(F.col("c") >= MIN_COUNT)), "lm-grams")
+    grams = contexts.withColumn("p", (F.col("c") + 0.5) / F.lit(float(total)))
+    terms, length, before = None, 1, None
+    while True:
+        length += 1
+        may = bits(contexts.select("key"))
+        wanted = Wanted(may, may if length == 2 else bits(grams.select("key")))
+        seen = stage(_seen(docs, length, wanted, before), "lm-seen")
+        before = wanted, bits(seen.select("key"))
+        moves = stage(seen.join(contexts.select(F.col("key").alias("context"), F.col("c").alias("total")), "context")
+                      .join(grams.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix").drop("suffix"), "lm-moves")
+        whole = F.col("total") + F.lit(STRENGTH)
+        rests = moves.groupBy("context").agg(F.sum("c").alias("kept"), F.max("total").alias("t")).select(
+            "context", "kept", "t", ((F.col("t") + F.lit(STRENGTH) - F.col("kept")) / (F.col("t") + F.lit(STRENGTH))).alias("rest"))
+        moves = moves.join(stage(rests, "lm-rests"), "context").withColumn("p", F.col("c") / whole + F.col("rest") * F.col("parent"))
+        gain = F.sum(F.col("c") * F.ln(F.col("p") / F.col("parent"))) + F.max((F.col("t") - F.col("kept")) * F.ln("rest"))
+        nodes = moves.groupBy("context").agg(gain.alias("gain"), F.max("rest").alias("rest"), F.max("t").alias("c"))
+        nodes = stage(nodes.where(F.col("gain") >= MIN_GAIN).drop("gain"), "lm-nodes")
+        if nodes.isEmpty():
+            return terms, 0 if terms is None else length - 1
+        moves = stage(moves.join(nodes.select("context"), "context", "left_semi").select(
+            "key", "c", "p", (F.log10(F.col("p") / F.col("parent")) - F.log10("rest")).alias("own")), "lm-moves")
+        more = moves.select("key", "own", F.lit(0.0).alias("after"), "c", F.lit(length).alias("length")).unionByName(nodes.select(
+            F.col("context").alias("key"), F.lit(0.0).alias("own"), F.log10("rest").alias("after"), "c", F.lit(length - 1).alias("length")))
+        terms = more if terms is None else terms.unionByName(more)
+        grams = moves.select("key", "p")
+        contexts = seen.join(nodes.select(F.col("context").alias("suffix")), "suffix", "left_semi").select("key", "c")
+        contexts = stage(contexts, "lm-contexts")
+
+
+def learn(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame | None]:
+    """The workers' part of the tree, the counts of the other words (``word``,
+    ``c``) and the terms of the other grams (``gram``, ``term``), from ``text``."""
     vocabulary = stage(unigrams(docs), "lm-unigrams")
     n_docs = docs.count()
     n_words, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -184,30 +343,31 @@ def train(docs: DataFrame) -> tuple[Tree, DataFrame]:
     rare = total - (c + 0.5).sum() - (n_docs + 0.5 if n_docs else 0.0)
     counts = np.concatenate([c, [n_docs, n_words - c.sum()]])
     root = np.concatenate([(c + 0.5) / total, [(n_docs + 0.5) / total if n_docs else 1.0, rare / total]])
-    may = np.flatnonzero((counts >= max(MIN_COUNT, n * CONTEXT)) & (root < 1.0))
-    context = np.full(len(counts), -1, np.int64)
-    context[may] = np.arange(len(may))
-    tree = Tree(words, counts, root, total, n, rare, context, len(may))
-
-    seen = stage(_transitions(docs, tree, False), "lm-transitions")
-    keys, c1 = _columns(seen.where(F.col("c") >= least).orderBy("key"))
-    totals = np.zeros(len(may))
-    at, c = _columns(seen.groupBy(F.expr(f"key div {tree.n_symbols}").alias("x")).agg(F.sum("c").alias("c")))
-    totals[at] = c
-    tree.one = _kept(keys, c1.astype(float), totals, root[keys % tree.n_symbols], tree.n_symbols)
-
-    newer = context[keys % tree.n_symbols]
-    frequent = (newer >= 0) & (c1 >= max(MIN_COUNT, n * PAIR_CONTEXT)) & (keys % tree.n_symbols != len(words))
-    tree.pairs = np.sort(keys[frequent] // tree.n_symbols * tree.n_contexts + newer[frequent])
-    seen = stage(_transitions(docs, tree, True), "lm-transitions")
-    keys, c2 = _columns(seen.where(F.col("c") >= least).orderBy("key"))
-    totals = np.zeros(len(tree.pairs))
-    at, c = _columns(seen.groupBy(F.expr(f"key div {tree.n_symbols}").alias("x")).agg(F.sum("c").alias("c")))
-    totals[at] = c
-    symbol = keys % tree.n_symbols
-    parent = tree.one.mixed(tree.pairs[keys // tree.n_symbols] % tree.n_contexts, symbol, tree.n_symbols, root[symbol])
-    tree.two = _kept(keys, c2.astype(float), totals, parent, tree.n_symbols)
-    return tree, vocabulary.where(F.col("c") < least)
+    hashes = np.append(hash_words(b" ".join(words))[0], [FIN, RARE])
+    tree = Tree(words, hashes, counts, root, total, n)
+    rarer = vocabulary.where(F.col("c") < least)
+    terms, tree.longest = grow(docs, vocabulary, n_docs, total) if n_docs else (None, 0)
+    if terms is None:
+        return tree, rarer, None
+    terms = stage(terms.groupBy("key").agg(F.sum("own").alias("own"), F.sum("after").alias("after"), F.max("c").alias("c"),
+                                           F.min("length").alias("length")), "lm-terms")
+    tree.known = bits(terms.select("key"))
+    # the least count above which the workers get all grams; counts beyond 2^16 as one
+    sizes = terms.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().toArrow().sort_by([("c", "descending")])
+    fit = np.cumsum(sizes.column("count").to_numpy()) <= HOT
+    hot = int(sizes.column("c").to_numpy()[fit].min()) if fit.any() else 1 << 62
+    t = terms.where(F.col("c") >= hot).toArrow()
+    keys = t.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    own, after, length = (t.column(x).to_numpy() for x in ("own", "after", "length"))
+    tree.keys, tree.own, tree.after = keys[order], own[order], after[order]
+    tree.one = Nodes(10 ** after[length == 1])
+    return tree, rarer, terms.where(F.col("c") < hot).select(F.col("key").alias("gram"), (F.col("own") + F.col("after")).alias("term"))
+
+
+def train(docs: DataFrame) -> tuple[Tree, DataFrame]:
+    """The workers' part of the tree and the counts of the other words."""
+    return learn(docs)[:2]
 
 
 def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,18 +376,17 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     ``train_tokens``, ``base_score`` (smoothed unigrams) and ``score``."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    tree, rarer = train(rows.where(may_learn))
+    tree, rarer, colder = learn(rows.where(may_learn))
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text with what frequent symbols give, and a row per text
-        and rarer word."""
+        """A row per text with what frequent words and grams give, a row per
+        text and rarer word, and a row for each other gram."""
         t = shared.value
         row = TaskContext.get().partitionId() << 40
         end, rare = len(t.words), len(t.words) + 1
         base = np.log10(np.append(t.root[:rare], 1 / t.total))  # rare: the share per count
-        inside = np.log10(t.rare_mass) if t.rare_mass > 0 else 0.0
-        names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "uses"]
+        names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "uses", "gram"]
         for batch in slices(batches, 1):
             texts = [split_words(x) for x in batch.column(1).to_pylist()]
             n = len(texts)
@@ -236,16 +395,25 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
             owner = np.repeat(np.arange(n), sizes)
             got = s[1:]
             is_rare = got == rare
-            logs = t.logs(s) - np.where(is_rare, inside, 0.0)
             known = ~is_rare & ((got != end) | (t.counts[end] > 0))
             ids = np.arange(row, row + n)
             row += n
+            root = np.bincount(owner, base[got], n)
+            score, gram_of, grams = root.copy(), [], []
+            if t.longest:
+                hashed = t.hashes[got[got != end]]
+                hashed[got[got != end] == rare] = hash_words(b" ".join([w for ws in texts for w in ws if w not in t.words]))[0]
+                whose = np.repeat(np.arange(n), sizes + 1)
+                for at, key, hot, own, after in t.grams(*_laid_out(hashed, sizes - 1)):
+                    score += np.bincount(whose[at], own + after, n)
+                    gram_of.append(ids[whose[at[~hot]]])
+                    grams.append(key[~hot].view(np.int64))
             nulls = lambda k, kinds: [pa.nulls(k, x) for x in kinds]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()),
                  pa.array(np.bincount(owner, known, n).astype(np.int64), pa.int64()),
-                 pa.array(np.bincount(owner, base[got], n), pa.float64()), pa.array(np.bincount(owner, logs, n), pa.float64()),
-                 *nulls(n, (pa.string(), pa.int64()))], names)
+                 pa.array(root, pa.float64()), pa.array(score, pa.float64()),
+                 *nulls(n, (pa.string(), pa.int64(), pa.int64()))], names)
             whose, words, uses = [], [], []
             for i, ws in enumerate(texts):
                 c = Counter(w for w in ws if w not in t.words)
@@ -255,15 +423,26 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
             k = len(words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[whose] if k else [], pa.int64()), pa.nulls(k, batch.column(0).type),
-                 *nulls(k, (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(words, pa.string()), pa.array(uses, pa.int64())], names)
+                 *nulls(k, (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(words, pa.string()), pa.array(uses, pa.int64()),
+                 *nulls(k, (pa.int64(),))], names)
+            k = sum(map(len, grams))
+            if k:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(gram_of), pa.int64()), pa.nulls(k, batch.column(0).type),
+                     *nulls(k, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64())),
+                     pa.array(np.concatenate(grams), pa.int64())], names)
 
     part = stage(rows.mapInArrow(read, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, "
-                                       "word string, uses long"), "lm-parts")
+                                       "word string, uses long, gram long"), "lm-parts")
     rare = part.where("word is not null").select("row", "word", "uses").join(rarer, "word", "left")
     log = F.col("uses") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    rare = rare.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("uses")).otherwise(0)).alias("known"))
-    out = part.where("word is null").join(rare, "row", "left")
+    rare = rare.select("row", log.alias("log"), F.when(F.col("c") > 0, F.col("uses")).otherwise(0).alias("known"), F.lit(0.0).alias("term"))
+    if colder is not None:
+        cold = part.where("gram is not null").select("row", "gram").join(colder, "gram")
+        rare = rare.unionByName(cold.select("row", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("known"), "term"))
+    rare = rare.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("log", "known", "term")])
+    out = part.where("n_tokens is not null").join(rare, "row", "left")
     more = F.coalesce("log", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
                       F.lit(int(tree.tokens)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-                      (F.col("score") + more).alias("score"))
+                      (F.col("score") + more + F.coalesce("term", F.lit(0.0))).alias("score"))

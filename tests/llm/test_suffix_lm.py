@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -75,3 +76,81 @@ def test_slices_cover_the_batch():
         parts = list(slices([batch, batch.slice(0, 0)], 1, size))
         assert [x for p in parts for x in p.column(1).to_pylist()] == texts
         assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= size for p in parts)
+
+
+def brute_scores(texts):
+    """Scores by a tree of tuples, and the symbols of its longest context."""
+    docs = [["<", *split_words(t), ">"] for t in texts]
+    uni = Counter(w for d in docs for w in d[1:])
+    total = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    p = {(w,): (c + 0.5) / total for w, c in uni.items()}
+    rests, k = {}, 1
+    while True:
+        grams = Counter(tuple(d[i:i + k + 1]) for d in docs for i in range(len(d) - k))
+        totals = Counter(tuple(d[i:i + k]) for d in docs for i in range(len(d) - k))
+        moves = {}
+        for g, c in grams.items():
+            if c >= 3 and (k == 1 or g[1:-1] in rests):
+                moves.setdefault(g[:-1], {})[g] = c
+        passed = False
+        for g, nexts in moves.items():
+            whole = totals[g] + 8.0
+            rest = (whole - sum(nexts.values())) / whole
+            now = {x: c / whole + rest * p[x[1:]] for x, c in nexts.items()}
+            gain = sum(c * math.log(now[x] / p[x[1:]]) for x, c in nexts.items()) + (totals[g] - sum(nexts.values())) * math.log(rest)
+            if gain >= 10.0:
+                passed = True
+                rests[g] = rest
+                p.update(now)
+        if not passed:
+            break
+        k += 1
+    out = []
+    for d in docs:
+        score = 0.0
+        for i in range(1, len(d)):
+            q = p[(d[i],)]
+            for m in range(1, i + 1):
+                g = tuple(d[i - m:i])
+                if g not in rests:
+                    break
+                q = p.get((*g, d[i]), rests[g] * q)
+            score += math.log10(q)
+        out.append(score)
+    return out, k - 1
+
+
+def test_variable_contexts_against_brute_force_with_and_without_joins(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(0, 60)):
+            seed = zlib.crc32(" ".join(words[-rng.choice([2, 3, 4]):]).encode())
+            words.append(f"w{seed % 5}" if rng.random() < 0.9 else f"r{rng.randint(0, 60)}")
+        texts.append(" ".join(words))
+    texts += ["one two three four five six seven"] * 20 + ["zero two three four five six eight"] * 20
+    want, longest = brute_scores(texts)
+    assert longest > 2
+    docs = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    for hot in (suffix_lm.HOT, 40, 0):
+        monkeypatch.setattr(suffix_lm, "HOT", hot)
+        got = {r.doc_id: r.score for r in suffix_lm.score_texts(docs, F.lit(True)).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_limits_do_not_grow_with_the_input(spark):
+    rows = [(i, "filler " * 60_000, None, None, 0) for i in range(100)] + [(200 + i, "left right", None, None, 0) for i in range(5)]
+    got = {r.doc_id: r for r in suffix_lm.score_texts(documents(spark, rows), F.lit(True)).collect()}
+    assert got[200].train_tokens > 6_000_000
+    assert got[200].score > got[200].base_score + 6
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    data = b" ab  c\td\x0be" + b"x" * 300 + b" ab " + b"y" * 40
+    hashes, starts = suffix_lm.hash_words(data)
+    words = data.split()
+    assert [data[a:].split()[0] for a in starts] == words and len(set(hashes.tolist())) == len(set(words))
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(suffix_lm, "PIECE", piece)
+        assert suffix_lm.hash_words(data)[0].tolist() == hashes.tolist()
