@@ -137,13 +137,13 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
 
 def train(docs: DataFrame, max_docs: int = 96, window: int = 2048, budget: int = 49_152) -> dict[str, bytes]:
     """Training text per language, from rows ``doc_id``, ``text``, ``lang``."""
-    known = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
+    known = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    first = (known.select("lang", "doc_id", F.xxhash64("text").alias("h"))
+    first = (known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))  # equal texts take one seat
              .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_docs).drop("_r"))
     seat = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - window, F.lit(1))) + 1
     part = F.substring("text", seat.cast("int"), F.lit(window)).alias("text")
-    picked = known.select("doc_id", "lang", part).join(stage(first, "lang-sample"), ["doc_id", "lang"])
+    picked = known.select("doc_id", "lang", "h", part).join(stage(first, "lang-sample"), ["doc_id", "lang", "h"])
     out: dict[str, bytes] = {}
     seen: set[tuple[str, int]] = set()
     for r in sorted(picked.select("lang", "h", "doc_id", "text").collect(), key=tuple):

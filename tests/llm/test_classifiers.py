@@ -104,3 +104,11 @@ def test_language_without_training_or_rows(spark):
     assert langid.predict_language(documents(spark, []), F.lit(True)).count() == 0
     one = documents(spark, [(1, "some words", "en", None, 0), (2, "other", None, None, 0)])
     assert {(r.lang_pred, r.score) for r in langid.predict_language(one, F.lit(True)).collect()} == {("en", 1.0)}
+
+
+def test_copies_of_a_text_take_one_training_place(spark):
+    texts = [f"text number {i} of the language" for i in range(12)]
+    first = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).first().text
+    rows = [(i, first, "en", None, 0) for i in range(50)] + [(100 + i, t, "en", None, 0) for i, t in enumerate(texts)]
+    got = langid.train(documents(spark, rows).select("doc_id", "text", "lang"), max_docs=12)["en"].decode()
+    assert sorted(got.strip().replace(" text", "\ntext").split("\n")) == sorted(texts)
