@@ -44,7 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_ready
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return _without(docs, scored.where("predicted = 0"))
+    return _without(docs, scored.where("predicted = 0 and raw is not null"))  # null: nothing to learn from
 
 
 @_ready

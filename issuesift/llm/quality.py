@@ -8,7 +8,7 @@ per score bin of all labelled training rows, turns scores into probabilities.
 
 Defined cases: null and empty texts have all statistics 0 and are scored like
 any other; repeated labels of one document count as 1 if any is; null labels
-are skipped; without training rows every score is 0.0; repeated rows are
+are skipped; without training rows every score is 0.0 and raw is null; repeated rows are
 scored alike; other columns are not read.
 """
 
@@ -121,7 +121,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col:
     marks = labelled(labels, label_col).where(may_learn)
     model = fit(stats.join(marks, "doc_id").select("x", "label"))
     if model is None:
-        out = stats.select("doc_id", F.lit(0.0).alias("raw"), F.lit(0.0).alias("score"))
+        out = stats.select("doc_id", F.lit(None).cast("double").alias("raw"), F.lit(0.0).alias("score"))
     else:
         features, weights = model
         kind = stats.schema["doc_id"].dataType.simpleString()

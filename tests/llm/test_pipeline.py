@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,10 @@ def test_odd_rows_pass_every_stage(spark):
                 ids = [r.doc_id for r in out.collect()]
                 assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and 4 not in ids
             docs = out
+
+
+def test_quality_keeps_all_without_labels(spark):
+    folder = tempfile.mkdtemp(prefix="issuesift-test-")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = documents(spark, [(1, "a clean text", "en", "a", 0), (2, None, None, None, 0), (None, "no id", None, None, 0)])
+    assert bag(cp.keep_quality(spark, docs, folder)) == bag(docs)
