@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, mixing, ngram_join, packing, quality, suffix_lm, topk, toxicity, url_filter
+from . import (embedding_dedup, exact_dedup, langid, lexical_search, mixing, ngram_join, packing, quality, source_audit, suffix_lm,
+               topk, toxicity, url_filter)
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -154,3 +155,73 @@ def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 5, 1)
     scored = suffix_lm.score_texts(table(spark, sf_dir, "documents"), ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM t WHERE len(w) > 0),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(len)::BIGINT AS n, term, count(*)::BIGINT AS tf
+      FROM (SELECT r, doc_id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY r, term),
+d AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM s) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p GROUP BY term),
+i AS (SELECT q, any_value(item_id) AS item_id, term, count(*)::BIGINT AS uses FROM (
+      SELECT row_number() OVER () AS q, item_id, unnest(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY q, term),
+x AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+      sum(uses * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * p.n * s.n) // s.l))))::BIGINT AS score
+      FROM i JOIN p USING (term) JOIN d USING (term), s GROUP BY q, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+@register("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)
+"""
+
+
+@register("op12_exact_dedup", OP12_SQL)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP13_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+t AS (
+  SELECT r, lang, source, unnest(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+whole AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM counts GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.c, 0) AS c, w.v,
+         1 + (1000000000::HUGEINT * (coalesce(x.c, 0) + 5)) // (coalesce(z.n, 0) + 5 * w.v) AS p,
+         1 + (1000000000::HUGEINT * (k.c + 5)) // (w.n + 5 * w.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN whole w USING (lang) LEFT JOIN sizes z ON z.lang = g.lang AND z.source = g.source
+  LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@register("op13_source_audit", OP13_SQL)
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
