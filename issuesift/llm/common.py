@@ -53,14 +53,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = 2_000_000)
             start = stop
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: cuts
     the lineage, survives lost executors and gives the planner true sizes."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap per key, and powers of two that bound its size (4 KB to 32 MB).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 15, 28
+
+
+def admit(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """``rows`` with ``maybe``: true for every row whose column ``key`` (a hash
+    as a long) is one of ``keys``, and for few others. The keys reach the rows
+    as a broadcast bitmap of bounded size, so the rows are not shuffled; beyond
+    that bound more others are admitted, none is lost."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_A_KEY * n_keys).bit_length()))
+    bit = F.pmod("key", F.lit(bits)) + 1
+    bitmap = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "_bucket", "left")
+    found = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    return (joined.withColumn("_at", at).withColumn("_byte", byte)
+            .withColumn("maybe", F.coalesce(found, F.lit(False))).drop("_at", "_byte", "_bucket", "_bitmap"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

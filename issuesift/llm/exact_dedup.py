@@ -20,13 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import admit, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of a text that the second round hashes.
 HEAD = 128
-#: Bits of the bitmap a shared group, and powers of two that bound its size (4 KB to 32 MB).
-BITS_A_GROUP, LEAST, MOST = 8, 15, 28
 #: A group with more than one row in so many is hot.
 HOT = 1000
 
@@ -37,28 +35,6 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
 
-def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
-    """Column ``key`` of ``keys`` as set bits: rows of ``bucket`` and ``bitmap``, 4 KB each."""
-    bit = F.col("key") % bits + 1
-    return keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
-
-
-def _admitted(rows: DataFrame, shared: DataFrame, n_shared: int) -> DataFrame:
-    """``rows`` with ``maybe``: true for every row whose ``key`` is one of
-    ``shared``, and for few others."""
-    power = min(MOST, max(LEAST, (BITS_A_GROUP * n_shared).bit_length()))
-    bits = 1 << power
-    bit = F.col("key") % bits + 1
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
-    joined = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(
-        F.broadcast(_bitmap(shared, bits)), "bucket", "left")
-    return (joined.withColumn("_at", at).withColumn("_byte", byte)
-            .withColumn("maybe", F.coalesce(found, F.lit(False))).drop("_at", "_byte", "bucket", "bitmap"))
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``keep_id`` (id of the row of
     its group that stays), ``group_size``, ``kept``, ``text_sha256``. That
@@ -68,13 +44,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.octet_length("text").alias("length"),
         F.xxhash64(normalised(F.substring("text", 1, HEAD))).alias("head"))
-    rows = rows.withColumn("key", F.xxhash64("length", "head").bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = rows.withColumn("key", F.xxhash64("length", "head"))
     pairs = stage(rows.groupBy("length", "head", "key").agg(F.count("*").alias("n")), "dedup-pairs")
     shared = pairs.where("n > 1")
     total, n_shared = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
 
     sha = F.sha2(normalised(F.col("text")), 256)
-    hashed = _admitted(rows, shared, n_shared).select(
+    hashed = admit(rows, shared, n_shared).select(
         "doc_id", "length", "head", "maybe", (sha if digest else F.when(F.col("maybe"), sha)).alias("text_sha256"),
         F.monotonically_increasing_id().alias("row"))
     hashed = stage(hashed, "dedup-hashed")

@@ -1,13 +1,16 @@
 """Source divergence audit: how the terms of each source differ from those of
 the other sources of its language and of the language as a whole.
 
-Chunk factorisation: documents are dealt into blocks of bounded size. A task
-counts the white-space chunks of each document of a block and names a chunk by
-its number in the block, so what is shuffled by chunk is each block's distinct
-chunks, where no chunk has more rows than there are blocks. Each chunk that is
-distinct over all blocks is cut into terms once; the terms are joined back to
-the blocks' chunks, and a block with its documents gives the distinct documents
-and the occurrences of each (language, source, term), which are summed.
+Chunk factorisation: a task counts the white-space chunks of each document and
+sums them over a block of documents, so what is shuffled, by chunk, is each
+block's distinct chunks per group, where no chunk has more rows than there are
+blocks and groups. All rows of a chunk meet in order; its terms are cut once
+and joined to them. A term that occurs in one chunk of at least ``min_docs``
+documents of the language is kept for certain; one whose chunks together have
+fewer is not. Only for those in between are the distinct documents counted one
+by one (a rare chunk carries the numbers of its documents). Which terms can
+reach the bound is told by sums per hash, so rare terms leave before their
+strings are shuffled.
 
 Distances of sources are sums over all kept terms of a language; terms are
 dealt into tiles by hash, and a tile compares two blocks of at most about
@@ -33,116 +36,135 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, slices, stage
+from .common import _LOWER, admit, slices, stage
 
-#: A term is a run of letters: neither ASCII controls, white space, digits nor punctuation.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a block.
-BLOCK = 8_000_000
+BLOCK = 16_000_000
 #: Kept terms in a tile, sources in a block of sources.
 TILE, SOURCES = 2048, 256
 #: Up to so many (language, source) groups reach the counts by broadcast.
 BROADCAST_GROUPS = 50_000
 SCALE = 1_000_000_000
-
-_COUNTED = "block long, chunk_id int, chunk binary, lang string, source string, ids binary, uses binary"
-
-
-def _count_chunks(block_bytes: int):
-    """Rows of two kinds: a distinct chunk of a block (block, chunk_id, chunk),
-    and a document of it (block, lang, source, its chunks and their uses)."""
+#: All but letters (of ASCII, and all beyond ASCII) part the terms of a chunk.
+_PART = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+_COUNTED = pa.schema([("chunk", pa.binary()), ("lang", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("uses", pa.int64()),
+                      ("members", pa.binary())])
+
+
+def _binary(parts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary values of ``lengths`` bytes, cut from ``parts`` one after the other."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(parts))])
+
+
+class _Block:
+    """Documents whose chunks are counted together."""
+
+    def __init__(self) -> None:
+        self.size, self.ids, self.groups = 0, {}, {}
+        self.group, self.number, self.chunks, self.uses = [], [], [], []
+
+    def add(self, number: int, lang: str, source: str, text: bytes) -> None:
+        found = Counter(text.translate(_LOWER).split())
+        ids = self.ids
+        self.size += len(text)
+        self.group.append(self.groups.setdefault((lang, source), len(self.groups)))
+        self.number.append(number)
+        self.chunks.append(np.array([ids.setdefault(c, len(ids)) for c in found], np.int64))
+        self.uses.append(np.array(list(found.values()), np.int64))
+
+    def counted(self, min_docs: int) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk and group: documents, occurrences, and the
+        documents' numbers (8 bytes each) unless there are ``min_docs``."""
+        chunk, uses = np.concatenate(self.chunks), np.concatenate(self.uses)
+        if not len(chunk):
+            return
+        size = [len(x) for x in self.chunks]
+        key = chunk * len(self.groups) + np.repeat(self.group, size)
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        docs = np.diff(first, append=len(key))
+        few = docs < min_docs
+        members = np.repeat(np.array(self.number, ">i8"), size)[by][np.repeat(few, docs)]
+        group = pa.array(key[first] % len(self.groups))
+        lang, source = (pa.array(x, pa.string()).take(group) for x in zip(*self.groups))
+        yield from pa.Table.from_arrays(
+            [pa.array(list(self.ids), pa.binary()).take(pa.array(key[first] // len(self.groups))), lang, source, pa.array(docs),
+             pa.array(np.add.reduceat(uses[by], first)), _binary(members, np.where(few, 8 * docs, 0))], schema=_COUNTED).to_batches(50_000)
+
+
+def _count_chunks(min_docs: int, block_bytes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, ids, docs = (TaskContext.get().partitionId() << 32), 0, {}, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            n = len(docs)
-            lang, source, which, uses = zip(*docs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(lang, pa.string()),
-                 pa.array(source, pa.string()), pa.array(which, pa.binary()), pa.array(uses, pa.binary())], names=names)
-            chunks = list(ids)
-            for at in range(0, len(chunks), 100_000):
-                part = chunks[at:at + 100_000]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * k, pa.int64()), pa.array(range(at, at + k), pa.int32()), pa.array(part, pa.binary()),
-                     pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
-
-        names = [c.split()[0] for c in _COUNTED.split(", ")]
+        block, number = _Block(), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                if docs and size + len(text) > block_bytes:
-                    yield from close()
-                    block, size, ids, docs = block + 1, 0, {}, []
-                found = Counter(text.translate(_LOWER).split())
-                size += len(text)
-                docs.append((lang, source, np.array([ids.setdefault(c, len(ids)) for c in found], "<i4").tobytes(),
-                             np.array(list(found.values()), "<i4").tobytes()))
-        if docs:
-            yield from close()
+                if block.group and block.size + len(text) > block_bytes:
+                    yield from block.counted(min_docs)
+                    block = _Block()
+                block.add(number, lang, source, text)
+                number += 1
+        if block.group:
+            yield from block.counted(min_docs)
 
     return count
 
 
-def _block_terms(docs: pa.Table, chunks: pa.Table) -> pa.Table:
-    """Distinct documents and occurrences of each (lang, source, term) of a
-    block, from its documents' chunks and the terms of its chunks."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("uses", pa.int64())])
-    if not docs.num_rows or not chunks.num_rows:
-        return schema.empty_table()
-    order = np.argsort(chunks.column("chunk_id").to_numpy())
-    terms = chunks.column("terms").combine_chunks().take(pa.array(order))
-    which, uses = docs.column("ids").to_pylist(), docs.column("uses").to_pylist()
-    n_terms = np.zeros(1 + max(int(np.frombuffer(x, "<i4").max(initial=0)) for x in which), np.int64)  # 0: a chunk without terms
-    n_terms[chunks.column("chunk_id").to_numpy()] = pc.list_value_length(chunks.column("terms").combine_chunks())
-    first = np.cumsum(n_terms) - n_terms
-    coded = terms.flatten().dictionary_encode()
-    codes, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-    t = len(vocabulary)
-    if not t:
-        return schema.empty_table()
-    named = pa.StructArray.from_arrays([docs.column("lang").combine_chunks(), docs.column("source").combine_chunks()], ["lang", "source"])
-    pairs = {}
-    group = np.array([pairs.setdefault((x["lang"], x["source"]), len(pairs)) for x in named.to_pylist()], np.int64)
-    found = {}
-    for g in range(len(pairs)):  # the documents of one group at a time
-        mine = np.flatnonzero(group == g)
-        chunk = np.concatenate([np.frombuffer(which[i], "<i4") for i in mine]).astype(np.int64)
-        n = np.concatenate([np.frombuffer(uses[i], "<i4") for i in mine]).astype(np.int64)
-        doc = np.repeat(np.arange(len(mine)), [len(which[i]) // 4 for i in mine])
-        k = n_terms[chunk]
-        at = np.repeat(first[chunk] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        term = codes[at]
-        occurrences = np.bincount(term, np.repeat(n, k), t).astype(np.int64)  # exact below 2**53
-        distinct = np.bincount(np.unique(np.repeat(doc, k) * t + term) % t, minlength=t)
-        found[g] = np.flatnonzero(distinct), distinct, occurrences
-    lang, source = zip(*pairs)
-    size = [len(found[g][0]) for g in range(len(pairs))]
-    return pa.Table.from_arrays(
-        [pa.array(np.repeat(np.array(lang, object), size), pa.string()), pa.array(np.repeat(np.array(source, object), size), pa.string()),
-         vocabulary.take(pa.array(np.concatenate([found[g][0] for g in range(len(pairs))]), pa.int64())),
-         pa.array(np.concatenate([found[g][1][found[g][0]] for g in range(len(pairs))]), pa.int64()),
-         pa.array(np.concatenate([found[g][2][found[g][0]] for g in range(len(pairs))]), pa.int64())], schema=schema)
-
-
-def group_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-                block_bytes: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(terms, groups): ``lang``, ``source``, ``term``, ``docs`` (distinct
-    documents), ``uses`` (occurrences) for every term of every group, and the
-    ``lang``, ``source`` that occur."""
-    rows = docs.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n)
-                         for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    counted = stage(rows.mapInArrow(_count_chunks(block_bytes), _COUNTED), "audit-chunks")
-    chunks = counted.where("chunk is not null").select("block", "chunk_id", "chunk").repartition("chunk")
-    cut = chunks.select("chunk").distinct().select("chunk", F.regexp_extract_all(F.col("chunk").cast("string"), F.lit(TERM), 0).alias("terms"))
-    named = chunks.join(cut, "chunk").where(F.size("terms") > 0).select(F.col("block").alias("of"), "chunk_id", "terms")
-    held = counted.where("ids is not null").select("block", "lang", "source", "ids", "uses")
-    terms = held.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(
-        _block_terms, "lang string, source string, term string, docs long, uses long")
-    terms = terms.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
-    groups = counted.where("ids is not null").select("lang", "source").distinct()
-    return stage(terms, "audit-terms"), stage(groups, "audit-groups")
+def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their chunk, each once for every term of the chunk,
+    occurrences times those of the term within the chunk; ``total`` becomes
+    ``sure``. A chunk is cut where its first row stands."""
+    chunk, terms = None, {}
+    for batch in batches:
+        codes = pc.run_end_encode(batch.column(0))
+        runs = np.diff(codes.run_ends.to_numpy(), prepend=0)
+        rows, found, times, at = [], [], [], 0
+        for c, n in zip(codes.values.to_pylist(), runs.tolist()):
+            if c != chunk:
+                chunk, terms = c, Counter(c.translate(_PART).split())
+            for t, m in terms.items():
+                rows.append(np.arange(at, at + n))
+                found += [t] * n
+                times.append(np.full(n, m))
+            at += n
+        if not rows:
+            continue
+        which = pa.array(np.concatenate(rows))
+        out = batch.take(which)
+        uses = pc.multiply(out.column("uses"), pa.array(np.concatenate(times), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*out.columns[1:4], uses, *out.columns[5:7], pa.array(found, pa.binary()).cast(pa.string())],
+                                         ["lang", "source", "docs", "uses", "members", "sure", "term"])
+
+
+def group_terms(docs: DataFrame, min_docs: int, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
+                block_bytes: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, kept, groups): ``lang``, ``source``, ``term``, ``uses`` of the
+    kept terms where they occur; ``lang``, ``term``, ``lang_uses`` of the kept
+    terms, those in at least ``min_docs`` distinct documents of the language;
+    the ``lang``, ``source`` that occur in ``docs``."""
+    names = ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))
+    rows = docs.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in names))
+    counted = rows.mapInArrow(_count_chunks(min_docs, block_bytes), "chunk binary, lang string, source string, docs long, uses long, members binary")
+    sure = F.sum("docs").over(Window.partitionBy("chunk", "lang")) >= min_docs
+    met = counted.repartition("chunk").withColumn("sure", sure).sortWithinPartitions("chunk")
+    met = met.withColumn("members", F.when(~F.col("sure"), F.col("members")))
+    cut = met.mapInArrow(_cut_chunks, "lang string, source string, docs long, uses long, members binary, sure boolean, term string")
+    cut = stage(cut, "audit-terms", "zstd").withColumn("key", F.xxhash64("lang", "term"))
+
+    able = stage(cut.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("sure").alias("sure")).where(F.col("sure") | (F.col("docs") >= min_docs)).select("key"), "audit-able")
+    cut = stage(admit(cut, able, able.count()).where("maybe").drop("key", "maybe"), "audit-frequent", "zstd")
+    whole = cut.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.max("sure").alias("sure"), F.sum("uses").alias("lang_uses"))
+    whole = stage(whole.where(F.col("sure") | (F.col("docs") >= min_docs)), "audit-bounds")
+    member = F.explode(F.expr("transform(sequence(0, length(members) div 8 - 1), i -> substring(members, cast(8 * i + 1 as int), 8))"))
+    distinct = cut.where("length(members) >= 8").join(whole.where("not sure").select("lang", "term", "lang_uses"), ["lang", "term"])
+    distinct = distinct.select("lang", "term", "lang_uses", member.alias("member")).distinct().groupBy("lang", "term", "lang_uses").count()
+    kept = whole.where("sure").select("lang", "term", "lang_uses").unionByName(
+        distinct.where(F.col("count") >= min_docs).select("lang", "term", "lang_uses"))
+    kept = stage(kept, "audit-kept")
+    counts = cut.join(kept, ["lang", "term"]).groupBy("lang", "source", "term", "lang_uses").agg(F.sum("uses").alias("uses"))
+    return stage(counts, "audit-counts"), kept, rows.select("lang", "source").distinct()
 
 
 def share(count: str, n: str, v: str, smoothing: int) -> Column:
@@ -206,11 +228,7 @@ def audit_sources(docs: DataFrame, min_docs: int = 30, smoothing: int = 5, top:
     its distance to every other source of the language (part ``pair``) and the
     ``top`` terms whose share is most above the language's (part ``term``).
     Kept are the terms of at least ``min_docs`` documents of a language."""
-    terms, groups = group_terms(docs, block_bytes=block_bytes, **columns)
-    kept = terms.groupBy("lang", "term").agg(F.sum("docs").alias("d"), F.sum("uses").alias("lang_uses")).where(F.col("d") >= min_docs)
-    kept = stage(kept.select("lang", "term", "lang_uses"), "audit-kept")
-    counts = stage(terms.join(kept, ["lang", "term"]).select("lang", "source", "term", "uses", "lang_uses"), "audit-counts")
-
+    counts, kept, groups = group_terms(docs, min_docs, block_bytes=block_bytes, **columns)
     whole = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_uses").alias("lang_n"))
     own = counts.groupBy("lang", "source").agg(F.sum("uses").alias("n"))
     groups = groups.join(whole, "lang", "left").join(own, ["lang", "source"], "left").select(

@@ -58,11 +58,14 @@ def test_against_brute_force_in_small_blocks_and_tiles(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows, 7)
 
 
-def test_documents_and_occurrences(spark):
-    rows = [("a-a A, b", "en", "s"), ("a", "en", "s"), (None, None, None), ("b " * 50_000, "en", "t")]
-    terms, groups = group_terms(frame(spark, rows))
-    assert sorted(map(tuple, terms.collect())) == [("en", "s", "a", 2, 4), ("en", "s", "b", 1, 1), ("en", "t", "b", 1, 50_000)]
-    assert sorted(map(tuple, groups.collect())) == [("", ""), ("en", "s"), ("en", "t")]
+def test_kept_terms_and_occurrences(spark):
+    rows = [("a-a A, b", "en", "s"), ("a", "en", "s"), (None, None, None), ("b " * 50_000, "en", "t"), ("b, b; c c, -c-", "de", "s")]
+    for block_bytes in (10, 1_000_000):
+        counts, kept, groups = group_terms(frame(spark, rows), 2, block_bytes=block_bytes)
+        assert sorted(map(tuple, kept.select("lang", "term", "lang_uses").collect())) == [("en", "a", 4), ("en", "b", 50_001)]
+        assert sorted((r.lang, r.source, r.term, r.uses) for r in counts.collect()) == [
+            ("en", "s", "a", 4), ("en", "s", "b", 1), ("en", "t", "b", 50_000)]
+        assert sorted(map(tuple, groups.collect())) == [("", ""), ("de", "s"), ("en", "s"), ("en", "t")]
 
 
 def test_top_ranks_ties_and_no_kept_terms(spark):
