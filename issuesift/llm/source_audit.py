@@ -2,15 +2,15 @@
 the other sources of its language and of the language as a whole.
 
 Chunk factorisation: a task counts the white-space chunks of each document and
-sums them over a block of documents, so what is shuffled, by chunk, is each
-block's distinct chunks per group, where no chunk has more rows than there are
-blocks and groups. All rows of a chunk meet in order; its terms are cut once
-and joined to them. A term that occurs in one chunk of at least ``min_docs``
-documents of the language is kept for certain; one whose chunks together have
-fewer is not. Only for those in between are the distinct documents counted one
-by one (a rare chunk carries the numbers of its documents). Which terms can
-reach the bound is told by sums per hash, so rare terms leave before their
-strings are shuffled.
+sums them over a block of documents, so what is shuffled, by chunk, is one row
+for each block, distinct chunk and language, with the occurrences per group
+packed; no chunk has more rows than there are blocks and languages. All rows of
+a chunk meet in order; its terms are cut once and joined to them. A term with a
+chunk in ``min_docs`` documents of a block and language is kept for certain;
+one whose chunks together have fewer is not. For those in between the distinct
+documents are counted one by one (a chunk that is rare in its block carries
+the numbers of its documents). Which terms can reach the bound is told by sums
+per hash, so rare terms leave before their strings are shuffled.
 
 Distances of sources are sums over all kept terms of a language; terms are
 dealt into tiles by hash, and a tile compares two blocks of at most about
@@ -48,8 +48,15 @@ SCALE = 1_000_000_000
 #: All but letters (of ASCII, and all beyond ASCII) part the terms of a chunk.
 _PART = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_COUNTED = pa.schema([("chunk", pa.binary()), ("lang", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("uses", pa.int64()),
-                      ("members", pa.binary())])
+_COUNTED = pa.schema([("chunk", pa.binary()), ("lang", pa.string()), ("docs", pa.int64()), ("members", pa.binary()), ("packed", pa.binary())])
+_CUT = pa.schema([*list(_COUNTED)[1:], ("times", pa.int64()), ("term", pa.string())])
+_UNPACKED = pa.schema([("lang", pa.string()), ("term", pa.string()), ("grp", pa.int64()), ("uses", pa.int64())])
+#: Occurrences in a group, named by a hash.
+_USE = np.dtype([("grp", "<i8"), ("uses", "<i8")])
+
+
+def _schema(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int64(): 'long'}).get(f.type, str(f.type))}" for f in schema)
 
 
 def _binary(parts: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -65,34 +72,44 @@ class _Block:
         self.size, self.ids, self.groups = 0, {}, {}
         self.group, self.number, self.chunks, self.uses = [], [], [], []
 
-    def add(self, number: int, lang: str, source: str, text: bytes) -> None:
+    def add(self, number: int, lang: str, group: int, text: bytes) -> None:
         found = Counter(text.translate(_LOWER).split())
         ids = self.ids
         self.size += len(text)
-        self.group.append(self.groups.setdefault((lang, source), len(self.groups)))
+        self.group.append(self.groups.setdefault((lang, group), len(self.groups)))
         self.number.append(number)
-        self.chunks.append(np.array([ids.setdefault(c, len(ids)) for c in found], np.int64))
-        self.uses.append(np.array(list(found.values()), np.int64))
+        self.chunks.append(np.array([ids.setdefault(c, len(ids)) for c in found], np.int32))
+        self.uses.append(np.array(list(found.values()), np.int32))
 
     def counted(self, min_docs: int) -> Iterator[pa.RecordBatch]:
-        """A row for each chunk and group: documents, occurrences, and the
-        documents' numbers (8 bytes each) unless there are ``min_docs``."""
+        """A row for each chunk and language: documents, their numbers (8 bytes
+        each) unless there are ``min_docs``, and the occurrences per group."""
         chunk, uses = np.concatenate(self.chunks), np.concatenate(self.uses)
         if not len(chunk):
             return
+        n = len(self.groups)
+        named = sorted(self.groups)  # groups of a language stand together
+        place = np.empty(n, np.int64)
+        place[[self.groups[g] for g in named]] = np.arange(n)
+        langs = sorted({g[0] for g in named})
+        lang_of = np.array([langs.index(g[0]) for g in named])
         size = [len(x) for x in self.chunks]
-        key = chunk * len(self.groups) + np.repeat(self.group, size)
+        key = chunk.astype(np.int64) * n + np.repeat(place[self.group], size)
         by = np.argsort(key, kind="stable")
         key = key[by]
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        docs = np.diff(first, append=len(key))
+        key, docs = key[first], np.diff(first, append=len(key))
+        packed = np.empty(len(key), _USE)
+        packed["grp"], packed["uses"] = np.array([g[1] for g in named], np.int64)[key % n], np.add.reduceat(uses[by], first, dtype=np.int64)
+        row = key // n * len(langs) + lang_of[key % n]
+        start = np.flatnonzero(np.diff(row, prepend=-1))
+        docs = np.add.reduceat(docs, start)
         few = docs < min_docs
         members = np.repeat(np.array(self.number, ">i8"), size)[by][np.repeat(few, docs)]
-        group = pa.array(key[first] % len(self.groups))
-        lang, source = (pa.array(x, pa.string()).take(group) for x in zip(*self.groups))
         yield from pa.Table.from_arrays(
-            [pa.array(list(self.ids), pa.binary()).take(pa.array(key[first] // len(self.groups))), lang, source, pa.array(docs),
-             pa.array(np.add.reduceat(uses[by], first)), _binary(members, np.where(few, 8 * docs, 0))], schema=_COUNTED).to_batches(50_000)
+            [pa.array(list(self.ids), pa.binary()).take(pa.array(row[start] // len(langs))), pa.array(langs, pa.string()).take(pa.array(row[start] % len(langs))),
+             pa.array(docs), _binary(members, np.where(few, 8 * docs, 0)), _binary(packed, _USE.itemsize * np.diff(start, append=len(row)))],
+            schema=_COUNTED).to_batches(50_000)
 
 
 def _count_chunks(min_docs: int, block_bytes: int):
@@ -100,11 +117,11 @@ def _count_chunks(min_docs: int, block_bytes: int):
         block, number = _Block(), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+            for lang, group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
                 if block.group and block.size + len(text) > block_bytes:
                     yield from block.counted(min_docs)
                     block = _Block()
-                block.add(number, lang, source, text)
+                block.add(number, lang, group, text)
                 number += 1
         if block.group:
             yield from block.counted(min_docs)
@@ -113,58 +130,78 @@ def _count_chunks(min_docs: int, block_bytes: int):
 
 
 def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their chunk, each once for every term of the chunk,
-    occurrences times those of the term within the chunk; ``total`` becomes
-    ``sure``. A chunk is cut where its first row stands."""
+    """Rows in order of their chunk, each once for every term of the chunk with
+    the term's ``times`` in it. A chunk is cut where its first row stands."""
     chunk, terms = None, {}
     for batch in batches:
         codes = pc.run_end_encode(batch.column(0))
-        runs = np.diff(codes.run_ends.to_numpy(), prepend=0)
         rows, found, times, at = [], [], [], 0
-        for c, n in zip(codes.values.to_pylist(), runs.tolist()):
+        for c, end in zip(codes.values.to_pylist(), codes.run_ends.to_pylist()):
             if c != chunk:
                 chunk, terms = c, Counter(c.translate(_PART).split())
             for t, m in terms.items():
-                rows.append(np.arange(at, at + n))
-                found += [t] * n
-                times.append(np.full(n, m))
-            at += n
-        if not rows:
-            continue
-        which = pa.array(np.concatenate(rows))
-        out = batch.take(which)
-        uses = pc.multiply(out.column("uses"), pa.array(np.concatenate(times), pa.int64()))
-        yield pa.RecordBatch.from_arrays([*out.columns[1:4], uses, *out.columns[5:7], pa.array(found, pa.binary()).cast(pa.string())],
-                                         ["lang", "source", "docs", "uses", "members", "sure", "term"])
+                rows += range(at, end)
+                found += [t] * (end - at)
+                times += [m] * (end - at)
+            at = end
+        if rows:
+            out = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns[1:], pa.array(times, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], schema=_CUT)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, times, packed) to a row per group."""
+    for batch in batches:
+        packed = batch.column(3).to_pylist()
+        uses = np.frombuffer(b"".join(packed), _USE)
+        rows = np.repeat(np.arange(batch.num_rows), [len(x) // _USE.itemsize for x in packed])
+        which = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(uses["grp"].copy()),
+                                          pa.array(uses["uses"] * batch.column(2).to_numpy()[rows])], schema=_UNPACKED)
+
+
+def _named_groups(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """(lang, source, grp) of all groups, and ``grp`` as a column of ``rows``: a
+    hash under which no two groups fall together."""
+    for seed in range(9):
+        grp = F.xxhash64(F.lit(seed), "lang", "source")
+        groups = stage(rows.select("lang", "source", grp.alias("grp")).distinct(), "audit-groups")
+        n, distinct = groups.agg(F.count("*"), F.count_distinct("grp")).first()
+        if n == distinct:
+            return groups, grp
+    raise ValueError("groups cannot be told apart by their hash")
 
 
 def group_terms(docs: DataFrame, min_docs: int, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
                 block_bytes: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts, kept, groups): ``lang``, ``source``, ``term``, ``uses`` of the
-    kept terms where they occur; ``lang``, ``term``, ``lang_uses`` of the kept
-    terms, those in at least ``min_docs`` distinct documents of the language;
-    the ``lang``, ``source`` that occur in ``docs``."""
+    """(counts, kept, groups): ``lang``, ``source``, ``term``, ``uses``,
+    ``lang_uses`` of the kept terms where they occur; ``lang``, ``term``,
+    ``lang_uses`` of the kept terms, those in at least ``min_docs`` distinct
+    documents of the language; the ``lang``, ``source`` that occur in ``docs``."""
     names = ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in names))
-    counted = rows.mapInArrow(_count_chunks(min_docs, block_bytes), "chunk binary, lang string, source string, docs long, uses long, members binary")
-    sure = F.sum("docs").over(Window.partitionBy("chunk", "lang")) >= min_docs
-    met = counted.repartition("chunk").withColumn("sure", sure).sortWithinPartitions("chunk")
-    met = met.withColumn("members", F.when(~F.col("sure"), F.col("members")))
-    cut = met.mapInArrow(_cut_chunks, "lang string, source string, docs long, uses long, members binary, sure boolean, term string")
+    groups, grp = _named_groups(rows)
+    counted = rows.select("lang", grp.alias("grp"), "text").mapInArrow(_count_chunks(min_docs, block_bytes), _schema(_COUNTED))
+    cut = counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_cut_chunks, _schema(_CUT))
     cut = stage(cut, "audit-terms", "zstd").withColumn("key", F.xxhash64("lang", "term"))
 
-    able = stage(cut.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("sure").alias("sure")).where(F.col("sure") | (F.col("docs") >= min_docs)).select("key"), "audit-able")
+    able = F.sum("docs") >= min_docs
+    able = stage(cut.groupBy("key").agg(able.alias("able")).where("able").select("key"), "audit-able")
     cut = stage(admit(cut, able, able.count()).where("maybe").drop("key", "maybe"), "audit-frequent", "zstd")
-    whole = cut.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.max("sure").alias("sure"), F.sum("uses").alias("lang_uses"))
-    whole = stage(whole.where(F.col("sure") | (F.col("docs") >= min_docs)), "audit-bounds")
+    whole = cut.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.max("docs").alias("most"))
+    whole = whole.where(F.col("docs") >= min_docs).select("lang", "term", (F.col("most") >= min_docs).alias("sure"), F.monotonically_increasing_id().alias("id"))
+    whole = stage(whole, "audit-bounds")
     member = F.explode(F.expr("transform(sequence(0, length(members) div 8 - 1), i -> substring(members, cast(8 * i + 1 as int), 8))"))
-    distinct = cut.where("length(members) >= 8").join(whole.where("not sure").select("lang", "term", "lang_uses"), ["lang", "term"])
-    distinct = distinct.select("lang", "term", "lang_uses", member.alias("member")).distinct().groupBy("lang", "term", "lang_uses").count()
-    kept = whole.where("sure").select("lang", "term", "lang_uses").unionByName(
-        distinct.where(F.col("count") >= min_docs).select("lang", "term", "lang_uses"))
+    unsure = cut.where("length(members) >= 8").join(whole.where("not sure").drop("sure"), ["lang", "term"])
+    distinct = unsure.select("id", member.alias("member")).distinct().groupBy("id").count().where(F.col("count") >= min_docs).select("id")
+    kept = whole.where("sure").unionByName(whole.join(distinct, "id", "left_semi"), allowMissingColumns=True).select("lang", "term")
     kept = stage(kept, "audit-kept")
-    counts = cut.join(kept, ["lang", "term"]).groupBy("lang", "source", "term", "lang_uses").agg(F.sum("uses").alias("uses"))
-    return stage(counts, "audit-counts"), kept, rows.select("lang", "source").distinct()
+    uses = cut.join(kept, ["lang", "term"]).select("lang", "term", "times", "packed").mapInArrow(_unpack, _schema(_UNPACKED))
+    uses = stage(uses.groupBy("lang", "term", "grp").agg(F.sum("uses").alias("uses")), "audit-uses")
+    kept = stage(uses.groupBy("lang", "term").agg(F.sum("uses").alias("lang_uses")), "audit-whole")
+    near = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+    counts = uses.join(kept, ["lang", "term"]).join(near.drop("lang"), "grp").select("lang", "source", "term", "uses", "lang_uses")
+    return stage(counts, "audit-counts"), kept, groups.select("lang", "source")
 
 
 def share(count: str, n: str, v: str, smoothing: int) -> Column:
