@@ -27,8 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .knn_cells import knn_cells
+
 KEY = ["repo", "number"]
 DEFAULT_BLOCK_ROWS = 2048
+#: From so many vectors on the pivot cells of ``knn_cells`` search instead of the grid.
+CELLS_FROM = 50_000
 MIN_BLOCK_ROWS = 128
 
 
@@ -133,7 +137,7 @@ def _pair_topk(k: int, metric: str):
 
 def knn_pairs(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "number",
               vec_col: str = "embedding", num_blocks: int | None = None,
-              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+              block_rows: int = DEFAULT_BLOCK_ROWS, method: str = "auto") -> DataFrame:
     """Exact k nearest neighbours of every embedded row: ``(q, c, distance, rank)``.
 
     Rows are hashed into B blocks; every unordered block pair (lo <= hi) is one
@@ -141,13 +145,24 @@ def knn_pairs(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
     so each vector is shipped B times and each distance computed once
     (B(B+1)/2 tasks). ``df`` holds one collection (ids unique); ``metric`` is
     ``cosine`` (1 - cosine similarity) or ``euclidean``.
+
+    ``method`` is ``grid`` (the above), ``cells`` (``knn_cells``: pivot cells and
+    the triangle inequality) or ``auto``: cells from ``CELLS_FROM`` vectors on,
+    where their extra rounds cost less than the pairs they leave out. Both are
+    exact and give the same rows.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("metric must be cosine or euclidean")
+    if method not in ("auto", "grid", "cells"):
+        raise ValueError("method must be auto, grid or cells")
+    if method == "cells":
+        return knn_cells(df, k, metric, id_col, vec_col, cell_rows=block_rows)[0]
     emb = df.where(has_embedding(vec_col)).select(F.col(id_col).cast("bigint").alias("id"),
                                                   F.col(vec_col).alias("v"))
     if num_blocks is None:
         n = emb.count()
+        if method == "auto" and n >= CELLS_FROM:
+            return knn_cells(df, k, metric, id_col, vec_col, cell_rows=block_rows)[0]
         # enough block pairs for all task slots, of at least MIN_BLOCK_ROWS rows a block
         slots = df.sparkSession.sparkContext.defaultParallelism
         spread = min(math.ceil(math.sqrt(2 * slots)), math.ceil(n / MIN_BLOCK_ROWS))

@@ -98,6 +98,17 @@ def q_knn_l2(spark, sf):
     return _pairs_out(K.knn_pairs(fx.vectors(spark, sf), 4, "euclidean"))
 
 
+@register("knn_cosine_cells", sql_with("vectors") + _knn_sql(f"1 - {_COS}"))
+def q_knn_cosine_cells(spark, sf):
+    """The same neighbours by pivot cells and the triangle inequality."""
+    return _pairs_out(K.knn_pairs(fx.vectors(spark, sf), 4, "cosine", method="cells"))
+
+
+@register("knn_l2_cells", sql_with("vectors") + _knn_sql(_L2))
+def q_knn_l2_cells(spark, sf):
+    return _pairs_out(K.knn_pairs(fx.vectors(spark, sf), 4, "euclidean", method="cells"))
+
+
 @register("knn_lists", sql_with("ivec") + f""",
 nb AS (SELECT number, string_agg(CAST(neighbor AS VARCHAR), ',' ORDER BY rank) AS neighbors,
               string_agg(title, '|' ORDER BY rank) AS titles FROM (
