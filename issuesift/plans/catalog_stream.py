@@ -18,11 +18,12 @@ from ..functions.text import cache_key
 from ..operators import conversation as C
 from ..operators import embed as EM
 from ..session import scratch_path
+from ..sources import buckets as B
 from ..streaming import ingest as X
 from . import enrich as E
 from .catalog_text import _sql_embed_text
 from .catalog_tools import _REC_ERRORS_SQL
-from .registry import register, sql_strip, sql_ts, ts_str
+from .registry import ORACLE, register, sql_strip, sql_ts, ts_str
 
 _ITEM_SCHEMA = "repo string, number bigint, pos bigint, title string, state string, updatedAt timestamp"
 
@@ -150,6 +151,20 @@ def q_cache_misses(spark, sf):
         "number", F.coalesce(F.col("hit"), F.lit(False)).alias("hit"))
 
 
+@register("cache_misses_stored", ORACLE["cache_misses"])
+def q_cache_misses_stored(spark, sf):
+    """The same over a cache stored in buckets by key: only the keys are shuffled."""
+    docs = fx.docs_issues(spark, sf)
+    labeled = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("number"))
+    cache = (docs.join(labeled, "number", "left_semi")
+             .select(cache_key("body", "embed-model").alias("key"), F.lit("cached").alias("value")))
+    b = B.write_buckets(cache, scratch_path(spark, f"buckets-{uuid.uuid4().hex}/cache"), ["key"], 8)
+    keyed = docs.select("number", cache_key("body", "embed-model").alias("key"))
+    hits, misses = B.lookup(spark, b, keyed.select("key"))
+    known = hits.select("key", F.lit(True).alias("hit")).unionByName(misses.select("key", F.lit(False).alias("hit")))
+    return keyed.join(known, "key").select("number", "hit")
+
+
 _DIMS = 256
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -9,8 +11,10 @@ from ..fixtures import sql_with
 from ..operators import incremental as I
 from ..operators import recs as R
 from ..operators import tools as T
+from ..session import scratch_path
+from ..sources import buckets as B
 from . import enrich as E
-from .registry import register, sql_blank, sql_strip, sql_ts, ts_str
+from .registry import ORACLE, register, sql_blank, sql_strip, sql_ts, ts_str
 
 _LEVELS_SQL = "('low', 'medium', 'high')"
 _RECS_SQL = ", ".join(f"'{r}'" for r in R.RECOMMENDATIONS)
@@ -353,6 +357,20 @@ def q_upsert_items(spark, sf):
     return out.select("number", "pos", "state", ts_str("updatedAt").alias("updatedAt"), "summary")
 
 
+@register("upsert_items_stored", ORACLE["upsert_items"])
+def q_upsert_items_stored(spark, sf):
+    """The same upsert over a collection stored in buckets by (repo, number):
+    only the update's newest versions are shuffled."""
+    ev = fx.event_updates(spark, sf).select("repo", "number", "pos", "state", "updatedAt")
+    cut = F.to_timestamp(F.lit("2024-01-15"))
+    target = I.latest_version(ev.where(F.col("updatedAt") < cut)).withColumn(
+        "summary", F.concat(F.lit("kept-"), F.col("number").cast("string")))
+    base = scratch_path(spark, f"buckets-{uuid.uuid4().hex}")
+    b = B.write_buckets(target, f"{base}/first", I.KEY, 8)
+    out = B.read_buckets(spark, B.upsert_buckets(spark, b, ev.where(F.col("updatedAt") >= cut), base))
+    return out.select("number", "pos", "state", ts_str("updatedAt").alias("updatedAt"), "summary")
+
+
 @register("union_types", sql_with("issues") + """
 SELECT number, item_type, merged FROM issues""")
 def q_union_types(spark, sf):
