@@ -20,6 +20,7 @@ from ..operators import embed as EM
 from ..session import scratch_path
 from ..sources import buckets as B
 from ..streaming import ingest as X
+from ..streaming import versions as V
 from . import enrich as E
 from .catalog_text import _sql_embed_text
 from .catalog_tools import _REC_ERRORS_SQL
@@ -89,6 +90,16 @@ def q_stream_late_guard(spark, sf):
     return spark.read.parquet(log).select("number", "pos", ts_str("updatedAt").alias("updatedAt"))
 
 
+@register("stream_versions", ORACLE["stream_late_guard"])
+def q_stream_versions(spark, sf):
+    """X2 by keyed state: every version once, without reading the log."""
+    root = scratch_path(spark, f"stream-versions-{uuid.uuid4().hex}")
+    stream = _stream(spark, _land_events(spark, sf, root))
+    V.start_version_log(stream, os.path.join(root, "log"), os.path.join(root, "ckpt")).awaitTermination()
+    log = V.read_versions(spark, os.path.join(root, "log"), stream.schema)
+    return log.select("number", "pos", ts_str("updatedAt").alias("updatedAt"))
+
+
 @register("stream_weekly", sql_with("updates") + f"""
 SELECT {sql_ts("time_bucket(INTERVAL 7 DAY, updatedAt, TIMESTAMP '2024-01-01')")} AS week_start,
        CAST(count(*) AS BIGINT) AS events FROM updates GROUP BY 1""")
