@@ -21,24 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CELLS = 1 << 16
 BLANK = 50_000
 #: Cuts of the byte-level vocabulary; fixed values of that public format.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@functools.cache
-def _spec(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
-
-
-@functools.cache
-def _plain(path: str) -> Callable[[str], list[int]]:
-    """The vocabulary of ``path`` in ``tiktoken``: its ids are merge ranks."""
+def _plain(spec: dict) -> Callable[[str], list[int]]:
+    """The vocabulary of ``spec`` in ``tiktoken``: its ids are merge ranks."""
     import tiktoken
 
-    spec = _spec(path)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -59,8 +53,11 @@ def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
 
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = not added
-    plain = _plain(path)
-    tokens = [t["content"] for t in _spec(path).get("added_tokens", [])]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = _plain(spec)
+    tokens = [t["content"] for t in spec.get("added_tokens", [])]
+    del spec  # some 100 MB as Python objects
 
     def encode(text: str) -> list[int]:
         # a run of 2 * BLANK - 1 characters fills one of these cells
@@ -90,7 +87,7 @@ def decompose(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, added)
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = batch.column(0)
             which, start, length, data, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

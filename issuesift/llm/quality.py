@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import bin_of, calibrated, isotonic
-from .common import stage
+from .common import slices, stage
 from .toxicity import labelled
 
 STATS = ("log_words", "log_chars", "word_len", "word_len_sd", "distinct", "top_word", "repeat_next", "lines_distinct",
@@ -54,17 +54,21 @@ def statistics(text: str | None) -> list[float]:
             share[7], share[8]]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``x``: the statistics of every row, in the order of STATS."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id``, ``x``: the statistics of every row, in the order of STATS;
+    and ``row``, the value of ``row_col``, if one is named."""
+    own = [] if row_col is None else ["row"]
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       *(F.col(f"`{row_col}`").alias(c) for c in own))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             x = [statistics(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(x, pa.list_(pa.float64()))],
+                                             ["doc_id", *own, "x"])
 
-    return rows.mapInArrow(stats, f"doc_id {kind}, x array<double>")
+    return rows.mapInArrow(stats, f"{kinds}x array<double>")
 
 
 class Features:
@@ -113,26 +117,28 @@ def fit(train: DataFrame, ridge: float = 1e-3) -> tuple[Features, np.ndarray] |
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id",
-                  text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+                  text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, row_col: str | None = None) -> DataFrame:
     """Score every row of ``docs``; learn from labels of rows where
     ``may_learn`` (an expression over ``doc_id``) is true. Returns ``doc_id``,
-    ``raw``, ``score`` (0 to 1) and ``predicted`` (score >= threshold)."""
-    stats = stage(document_statistics(docs, id_col, text_col), "quality-stats")
+    ``raw``, ``score`` (0 to 1) and ``predicted`` (score >= threshold); and
+    ``row``, the value of ``row_col``, if one is named."""
+    own = [] if row_col is None else ["row"]
+    stats = stage(document_statistics(docs, id_col, text_col, row_col), "quality-stats").select("doc_id", "x", *own)
     marks = labelled(labels, label_col).where(may_learn)
     model = fit(stats.join(marks, "doc_id").select("x", "label"))
     if model is None:
-        out = stats.select("doc_id", F.lit(None).cast("double").alias("raw"), F.lit(0.0).alias("score"))
+        out = stats.select("doc_id", *own, F.lit(None).cast("double").alias("raw"), F.lit(0.0).alias("score"))
     else:
         features, weights = model
-        kind = stats.schema["doc_id"].dataType.simpleString()
+        kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in stats.schema if f.name != "x")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw = features(_matrix(batch.column(1))) @ weights
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], ["doc_id", "raw"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(raw, pa.float64())], ["doc_id", *own, "raw"])
 
-        raw = stats.mapInArrow(score, f"doc_id {kind}, raw double").withColumn("bin", bin_of(F.col("raw"), -0.5, 1.5))
+        raw = stats.mapInArrow(score, f"{kinds}raw double").withColumn("bin", bin_of(F.col("raw"), -0.5, 1.5))
         raw = stage(raw, "quality-raw")
         curve = isotonic(raw.join(marks, "doc_id").select("bin", "label"))
-        out = raw.select("doc_id", "raw", calibrated(F.col("bin"), curve).alias("score"))
+        out = raw.select("doc_id", *own, "raw", calibrated(F.col("bin"), curve).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import bin_of, calibrated, isotonic
-from .common import stage
+from .common import slices, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Follows every window, as zstandard finds no match in the last eight bytes.
@@ -99,7 +99,7 @@ def train(docs: DataFrame, marks: DataFrame, max_toxic: int = 3000, max_ordinary
     sample = docs.join(stage(pick[0].unionByName(pick[1]), "toxicity-sample"), "doc_id").select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             held: dict[tuple[str, int], list[int]] = {}
             ordinary: list[str] = []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -141,35 +141,43 @@ def train(docs: DataFrame, marks: DataFrame, max_toxic: int = 3000, max_ordinary
             _dictionary(TOXIC_DICT, [f" {' '.join(toxic[i:i + 6])} ".encode() for i in range(0, len(toxic), 6)]))
 
 
-def raw_scores(docs: DataFrame, model: tuple[bytes, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``raw``: the uncalibrated score of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def raw_scores(docs: DataFrame, model: tuple[bytes, bytes], id_col: str = "doc_id", text_col: str = "text",
+               row_col: str | None = None) -> DataFrame:
+    """``doc_id``, ``raw``: the uncalibrated score of every row; and ``row``, the
+    value of ``row_col``, if one is named."""
+    own = [] if row_col is None else ["row"]
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       *(F.col(f"`{row_col}`").alias(c) for c in own))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(*model)
-        for batch in batches:
+        for batch in slices(batches, 1):
             raw = []
             for text in batch.column(1).to_pylist():
                 ws = windows(text)
                 raw.append(sum(map(distance, ws)) / (len(ws) + 1) ** 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], ["doc_id", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(raw, pa.float64())],
+                                             ["doc_id", *own, "raw"])
 
-    return rows.mapInArrow(score, f"doc_id {kind}, raw double")
+    return rows.mapInArrow(score, f"{kinds}raw double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id",
-                   text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+                   text_col: str = "text", label_col: str = "toxic", row_col: str | None = None) -> DataFrame:
     """Score every row of ``docs``; learn from labels of rows where
     ``may_learn`` (an expression over ``doc_id``) is true. Returns ``doc_id``,
-    ``raw``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5)."""
+    ``raw``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5); and ``row``,
+    the value of ``row_col``, if one is named."""
     marks = labelled(labels, label_col).where(may_learn)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own = [] if row_col is None else ["row"]
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       *(F.col(f"`{row_col}`").alias(c) for c in own))
     model = train(rows, marks)
     if model is None:
-        out = rows.select("doc_id", F.lit(0.0).alias("raw"), F.lit(0.0).alias("score"))
+        out = rows.select("doc_id", *own, F.lit(0.0).alias("raw"), F.lit(0.0).alias("score"))
     else:
-        raw = stage(raw_scores(rows, model), "toxicity-raw").withColumn("bin", bin_of(F.col("raw"), 0.0, RAW_MAX))
+        raw = stage(raw_scores(rows, model, row_col=own[0] if own else None), "toxicity-raw").withColumn("bin", bin_of(F.col("raw"), 0.0, RAW_MAX))
         curve = isotonic(raw.join(marks, "doc_id").select("bin", "label"))
-        out = raw.select("doc_id", "raw", calibrated(F.col("bin"), curve).alias("score"))
+        out = raw.select("doc_id", *own, "raw", calibrated(F.col("bin"), curve).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
