@@ -49,7 +49,7 @@ from .components import components
 SKETCH = 1 << 17
 LEVELS = 4
 BITMAP = 1 << 25  # bits, of the classes whose sets are asked for
-LONG_LIST, BLOCK, SALTS = 32, 16, 3  # of round 1
+LONG_LIST, BLOCK, SALTS = 32, 16, 2  # of round 1
 FEW, TILE = 64, 256  # of round 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +58,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(width), np.zeros(SKETCH, np.int64)
         names = ["doc_id", "class", "n", "bucket", "count"]
-        for batch in batches:
+        for batch in slices(batches, 1):
             cls, n = [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -153,7 +153,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, num: int, den: in
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches, 0):
             tokens, owners, metas, done = [], [], [], set()
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
@@ -312,10 +312,11 @@ def _tile(num: int, den: int):
 def _across(posts: DataFrame, parts: DataFrame, docs: DataFrame, of: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Round 2: links ``x``, ``y`` between components (``parts``: ``class``,
     ``part``, of all classes), for every class that has one to a component."""
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"))
-    placed = posts.join(parts, "class")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sized = parts.join(sizes, "part", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    placed = posts.join(sized, "class")
     mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    placed = stage(placed.join(mixed, "token").join(sizes, "part"), "ngram-mixed")
+    placed = stage(placed.join(mixed, "token"), "ngram-mixed")
     there = placed.groupBy("token", "part", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a, b = placed.alias("a"), there.alias("b")
     near = f"{den} * b.hi >= {num} * a.n and {den} * a.n >= {num} * b.lo"
