@@ -5,6 +5,12 @@ near duplicates one document stays, the sources are mixed to their target
 weights, and the mix is packed. Each stage reads what the one before it wrote;
 all but the last return the columns of ``documents``. A document the mix takes
 twice is two rows of the last stages' input, one it takes in part is cut.
+
+Defined cases: decisions are taken on texts, so rows with null or repeated ids
+are judged like any other; null and empty texts are of no group and pass the
+third stage, and take no words of the mix; other columns travel along and may
+have any name; empty tables pass every stage; without labels to learn from, the
+first two stages keep all. Very long texts are read whole, a slice of their own.
 """
 
 from __future__ import annotations
@@ -31,32 +37,52 @@ def _ready(fn: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     return ready
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(stage(rejected.select("doc_id").distinct(), "rejected"), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row's text, and that column's name. The
+    decisions of a stage follow from texts alone, so equal texts share a key,
+    and rows without an id or with a repeated one are told apart."""
+    key = "text_key"
+    while key in docs.columns:
+        key += "_"
+    return docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))), key
+
+
+def _without(keyed: DataFrame, key: str, rejected: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose key is not among the ``row`` of ``rejected``."""
+    gone = stage(rejected.select(F.col("row").alias(key)).distinct(), "rejected")
+    return keyed.join(gone, key, "left_anti").select(columns)
 
 
 @_ready
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return _without(docs, scored.where("predicted = 1"))
+    keyed, key = _keyed(docs)
+    scored = toxicity.score_toxicity(keyed, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0), row_col=key)
+    return _without(keyed, key, scored.where("predicted = 1"), docs.columns)
 
 
 @_ready
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return _without(docs, scored.where("predicted = 0 and raw is not null"))  # null: nothing to learn from
+    keyed, key = _keyed(docs)
+    scored = quality.score_quality(keyed, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0), row_col=key)
+    return _without(keyed, key, scored.where("predicted = 0 and raw is not null"), docs.columns)  # null: nothing to learn from
 
 
 @_ready
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays; of repeated rows of
-    one id, one."""
-    groups = ngram_join.near_duplicates(docs)
-    kept = _without(docs, groups.where("component_id <> doc_id"))
-    copies = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    copies = stage(copies, "repeated")
-    once = kept.join(copies, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(copies, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    """Of each group the row with the least id stays (a row without an id only
+    where none has one; of equal ids the least in the other columns). Rows
+    without words are in no group and stay."""
+    keyed, key = _keyed(docs)
+    groups = ngram_join.near_duplicates(keyed, id_col=key).where("n_shingles > 0")
+    groups = stage(groups.select(key, F.col("component_id").alias("group_key")).distinct(), "groups")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *others, F.col(key))
+    first = keyed.join(groups, key).groupBy("group_key").agg(F.min(order).alias("best"))
+    first = stage(first.select(F.col(f"best.{key}").alias(key)), "first")
+    chosen = keyed.join(first, key, "left_semi").groupBy(key).agg(F.min(order).alias("best"), F.first("text").alias("text"))
+    chosen = chosen.select(*(F.col("text" if c == "text" else f"best.`{c}`").alias(c) for c in docs.columns))
+    wordless = keyed.join(groups.select(key), key, "left_anti").select(docs.columns)
+    return chosen.unionByName(wordless)
 
 
 @_ready
