@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import _LOWER, admit, slices, stage
 
 #: Bytes of text in a block.
-BLOCK = 16_000_000
+BLOCK = 32_000_000
 #: Kept terms in a tile, sources in a block of sources.
 TILE, SOURCES = 2048, 256
 #: Up to so many (language, source) groups reach the counts by broadcast.
@@ -84,7 +84,9 @@ class _Block:
     def counted(self, min_docs: int) -> Iterator[pa.RecordBatch]:
         """A row for each chunk and language: documents, their numbers (8 bytes
         each) unless there are ``min_docs``, and the occurrences per group."""
+        size = [len(x) for x in self.chunks]
         chunk, uses = np.concatenate(self.chunks), np.concatenate(self.uses)
+        self.chunks, self.uses = [], []
         if not len(chunk):
             return
         n = len(self.groups)
@@ -93,8 +95,8 @@ class _Block:
         place[[self.groups[g] for g in named]] = np.arange(n)
         langs = sorted({g[0] for g in named})
         lang_of = np.array([langs.index(g[0]) for g in named])
-        size = [len(x) for x in self.chunks]
         key = chunk.astype(np.int64) * n + np.repeat(place[self.group], size)
+        del chunk
         by = np.argsort(key, kind="stable")
         key = key[by]
         first = np.flatnonzero(np.diff(key, prepend=-1))

@@ -81,3 +81,23 @@ def test_quality_keeps_all_without_labels(spark):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     docs = documents(spark, [(1, "a clean text", "en", "a", 0), (2, None, None, None, 0), (None, "no id", None, None, 0)])
     assert bag(cp.keep_quality(spark, docs, folder)) == bag(docs)
+
+
+def test_rows_without_or_with_repeated_ids_are_judged_by_their_text(spark):
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    scored = toxicity.score_toxicity(docs, labels, learn()).where("predicted = 1")
+    toxic = docs.join(scored, "doc_id").select(docs.columns).limit(2).collect()
+    clean = docs.join(scored, "doc_id", "left_anti").where("length(text) > 200").limit(1).collect()[0]
+    odd = [(None, toxic[0].text, "en", "a", 0), (toxic[0].doc_id, clean.text, "en", "a", 0), (clean.doc_id, toxic[1].text, "en", "a", 0)]
+    every = docs.unionByName(documents(spark, odd))
+    kept = cp.drop_toxic(spark, every, SF_SMALL)
+    assert bag(kept) == bag(every.join(scored.select("doc_id").join(docs, "doc_id").select("text").distinct(), "text", "left_anti").select(docs.columns))
+    assert any(r.doc_id == toxic[0].doc_id and r.text == clean.text for r in kept.collect())
+
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, long, "en", "a", 0), (7, long + " end", "en", "b", 0), (7, other, "en", "a", 0), (7, other, "en", "a", 0), (3, other + " end", "en", "a", 0),
+            (None, "alone without an id in this table", None, None, 0), (8, None, None, None, 0), (8, "", None, None, 0)]
+    kept = sorted(map(str, ((r.doc_id, r.text) for r in cp.one_per_group(spark, documents(spark, rows), SF_SMALL).collect())))
+    assert kept == sorted(map(str, [(7, long + " end"), (3, other + " end"), (None, rows[5][1]), (8, None), (8, "")]))
