@@ -50,3 +50,14 @@ def stored_path(spark: SparkSession, name: str, build: Callable[[], DataFrame],
 
 def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.parquet(stored_path(spark, name, build))
+
+
+def written_path(spark: SparkSession, name: str, write: Callable[[str], object]) -> str:
+    """Folder that ``write(path)`` lays down itself, once per session."""
+    k = _key(spark, name)
+    path = _PATHS.get(k)
+    if path is None or not _exists(spark, path):
+        path = scratch_path(spark, f"{name.replace('/', '_')}-{uuid.uuid4().hex}")
+        write(path)
+        _PATHS[k] = path
+    return path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,10 @@ def open_issues_export(issues: DataFrame) -> DataFrame:
 
 
 def write_open_issues(issues: DataFrame, path: str) -> int:
-    """Write the export as JSON lines; returns the row count written."""
-    out = open_issues_export(issues)
-    out.write.mode("overwrite").json(path)
-    return out.sparkSession.read.json(path).count()
+    """Write the export as JSON lines; returns the row count, taken while writing."""
+    seen = Observation()
+    open_issues_export(issues).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
 
 
 def write_layout(layout: DataFrame, path: str) -> None:
