@@ -76,17 +76,19 @@ def first_by_pos(df: DataFrame) -> DataFrame:
 
 def get_issue(df: DataFrame, number: int, status: str | None = None,
               recs: DataFrame | None = None) -> DataFrame:
-    """The first row with ``number``, if it passes the status check."""
+    """The first row with ``number``, if it passes the status check; with ``recs`` its
+    whole reviews in order of ``seq`` (those of one issue), an empty list if none."""
     cols = [c for c in ("repo", "pos", "number", "summary", "conversation", "state") if c in df.columns]
     hit = first_by_pos(df.where(F.col("number") == F.lit(number)).select(*cols))
     hit = hit.where(status_predicate(status))
     if recs is not None:
+        fields = ["seq", *[c for c in recs.columns if c not in (*KEY, "seq")]]
         agg = (recs.where(F.col("number") == F.lit(number)).groupBy(*KEY)
-               .agg(F.sort_array(F.collect_list(F.struct("seq", "recommendation", "confidence")))
-                    .alias("recommendations")))
+               .agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(a["seq"] < b["seq"], -1)
+                                 .when(a["seq"] > b["seq"], 1).otherwise(0)).alias("recommendations")))
+        whole = agg.schema["recommendations"].dataType
         hit = hit.join(agg, KEY, "left").withColumn(
-            "recommendations", F.coalesce(F.col("recommendations"), F.array().cast(
-                "array<struct<seq:bigint,recommendation:string,confidence:string>>")))
+            "recommendations", F.coalesce(F.col("recommendations"), F.array().cast(whole)))
     return hit
 
 
@@ -159,6 +161,57 @@ def top_issues(df: DataFrame, column: str, limit: int = 10, descending: bool = T
             .limit(limit).select(*cols))
 
 
+# kinds of JSON values; values of one kind compare, truth values count as 0 and 1
+_NUMBER, _TEXT, _LIST, _OBJECT = 1, 2, 4, 8
+
+
+def _kind(v: Column) -> Column:
+    t = F.schema_of_variant(v)
+    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(0)).when(t == "STRING", F.lit(_TEXT))
+            .when(t.startswith("ARRAY"), F.lit(_LIST)).when(t.startswith("OBJECT"), F.lit(_OBJECT))
+            .otherwise(F.lit(_NUMBER)))
+
+
+def _plain_text(v: Column) -> Column:
+    """The value as text: True / False, numbers and strings as they are, containers as JSON."""
+    return (F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(F.to_json(v)))
+            .otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
+
+
+def top_issues_variant(df: DataFrame, column: str, limit: int = 10, descending: bool = True) -> DataFrame:
+    """T1 over a VARIANT column of any values. Numbers and truth values compare as numbers
+    (large integers exactly), strings by code point, lists of only numbers or only strings
+    element by element. If the column holds values that do not compare with each other
+    (kinds mixed, objects, lists of anything else), all compare as text. Nulls of both sorts
+    are dropped, ties keep storage order. One aggregate over the column finds the kinds: a
+    few bits per task. A VARIANT does not tell 1.0 from 1; a container's text is its JSON.
+    """
+    require_column(df, column)
+    _check_limit(limit)
+    v = F.col(column)
+    some = df.where(v.isNotNull() & ~F.is_variant_null(v))
+    elems = F.try_variant_get(v, "$", "array<variant>")
+    # a null within a list compares with nothing else
+    inner = F.coalesce(F.aggregate(F.transform(elems, lambda x: F.when(
+        x.isNull() | F.is_variant_null(x), F.lit(16)).otherwise(_kind(x))), F.lit(0), lambda a, x: a.bitwiseOR(x)),
+        F.lit(0))
+    seen = some.agg(F.bit_or(_kind(v)).alias("kinds"), F.bit_or(inner).alias("inner")).first()
+    kinds, within = seen.kinds or 0, seen.inner or 0
+    if kinds == _NUMBER:
+        keys = [F.coalesce(F.try_variant_get(v, "$", "double"),
+                           F.try_variant_get(v, "$", "boolean").cast("double")),
+                F.try_variant_get(v, "$", "decimal(38,0)")]
+    elif kinds == _TEXT:
+        keys = [F.variant_get(v, "$", "string")]
+    elif kinds == _LIST and within in (0, _NUMBER, _TEXT):
+        keys = [F.try_variant_get(v, "$", "array<string>" if within == _TEXT else "array<double>")]
+    else:
+        keys = [_plain_text(v)]
+    cols = [x for x in ("number", "title", "summary", "url") if x in df.columns]
+    return (some.orderBy(*[k.desc() if descending else k.asc() for k in keys], F.col("pos").asc())
+            .limit(limit).select(*cols))
+
+
 def first_without_recommendation(issues: DataFrame, recs: DataFrame,
                                  status: str | None = "open") -> DataFrame:
     """First issue (by pos) that has no review yet."""
@@ -197,6 +250,25 @@ def issue_by_difficulty(issues: DataFrame, recs: DataFrame, level: str,
     return j.orderBy(F.col("engagement_score").desc(), F.col("pos").asc()).limit(1)
 
 
+def difficulty_answer(issues: DataFrame, recs: DataFrame, xrefs: DataFrame, level: str) -> DataFrame:
+    """A17 with every field of the answer: also the reactions to the issue and to its
+    conversation, and its references in order. Only the one issue's references are gathered."""
+    best = issue_by_difficulty(issues, recs, level)
+    emojis = {"issue_emojis": "body_emojis", "conversation_emojis": "comment_emojis"}
+    zero = F.lit(0).cast("bigint")
+    parts = issues.select(*KEY, F.col("pos").alias("_pos"), *[
+        (F.coalesce(F.col(c), zero) if c in issues.columns else zero).alias(n) for n, c in emojis.items()])
+    hit = (best.join(parts, (best.repo == parts.repo) & (best.number == parts.number) & (best.pos == parts._pos))
+           .select(best["*"], *emojis))
+    fields = [c for c in ("idx", "dst", "type", "title", "url") if c in xrefs.columns]
+    refs = (xrefs.join(hit.select("repo", F.col("number").alias("src")), ["repo", "src"], "left_semi")
+            .groupBy("repo", F.col("src").alias("number"))
+            .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("cross_references")))
+    whole = refs.schema["cross_references"].dataType
+    return hit.join(refs, KEY, "left").withColumn(
+        "cross_references", F.coalesce(F.col("cross_references"), F.array().cast(whole)))
+
+
 def issue_metrics(df: DataFrame, number: int) -> DataFrame:
     """Metric and quartile columns of one issue."""
     cols = ["number"] + [c for m in METRICS for c in (m, f"{m}_quartile") if c in df.columns]

@@ -400,3 +400,100 @@ def q_issue_tags(spark, sf):
     items = P.read_graphql_pages(spark, ip, "issues", fx.REPO_ORDERS).unionByName(
         P.read_graphql_pages(spark, pp, "pull_requests", fx.REPO_ORDERS), allowMissingColumns=True)
     return T.issue_tags(items)
+
+
+# ------------------------------------------------------------------ whole answers: P1, A17, T1 over mixed values, A20
+_REC_FIELDS = ["seq", "recommendation", "confidence", "summary", "rationale", "report", "severity", "frequency",
+               "prevalence", "solution_complexity", "solution_risk"]
+
+
+@register("get_issue_reviews", sql_with("recs") + """
+SELECT number, string_agg(concat_ws('/', seq, recommendation, confidence, 'review of ' || number, 'rationale',
+  'report', 'medium', 'low', 'low', solution_complexity, solution_risk), '; ' ORDER BY seq) AS reviews
+FROM recs WHERE number = (SELECT min(number) FROM recs WHERE seq = 2) GROUP BY number""")
+def q_get_issue_reviews(spark, sf):
+    """P1 with whole reviews, for the first issue reviewed twice."""
+    c = E.orders_corpus(spark, sf)
+    number = c["recs"].where(F.col("seq") == 2).agg(F.min("number")).first()[0]
+    hit = T.get_issue(E.orders_enriched(spark, sf), -1 if number is None else number, None, recs=c["recs"])
+    one = F.transform("recommendations", lambda r: F.concat_ws("/", *[r[f].cast("string") for f in _REC_FIELDS]))
+    return hit.select("number", F.array_join(one, "; ").alias("reviews"))
+
+
+def _answer_sql(level: str) -> str:
+    return _by_difficulty_sql(level).replace(
+        "FROM enriched e JOIN latest", """, e.body_emojis AS issue_emojis, e.comment_emojis AS conversation_emojis,
+  coalesce((SELECT string_agg(concat_ws('/', x.dst, x.type, x.title, x.url), '; ' ORDER BY x.idx)
+            FROM xrefs x WHERE x.src = e.number), '') AS cross_references
+FROM enriched e JOIN latest""").replace("WITH ", sql_with("xrefs") + ", ", 1)
+
+
+def _answer(level: str):
+    def q(spark, sf):
+        c = E.orders_corpus(spark, sf)
+        a = T.difficulty_answer(E.orders_enriched(spark, sf), c["recs"], c["xrefs"], level)
+        one = F.transform("cross_references", lambda x: F.concat_ws(
+            "/", x["dst"].cast("string"), x["type"], x["title"], x["url"]))
+        return a.select("number", "title", "summary", "url", "state", "difficulty", "engagement_score",
+                        "issue_emojis", "conversation_emojis", "solution_complexity", "solution_risk",
+                        "recommendation", F.col("recommendations_count").cast("bigint").alias("recommendations_count"),
+                        F.array_join(one, "; ").alias("cross_references"))
+    return q
+
+
+for _lvl in ("easy", "medium", "hard"):
+    register(f"difficulty_answer_{_lvl}", _answer_sql(_lvl))(_answer(_lvl))
+
+
+def _mixed_issues(spark, sf, open_value):
+    """Order-issues with a VARIANT: closed ones their comment count, merged ones true,
+    open ones what ``open_value`` says."""
+    i = fx.orders_issues(spark, sf)
+    return i.withColumn("extra", F.parse_json(
+        F.when(F.col("state") == "closed", F.col("number_of_comments").cast("string"))
+         .when(F.col("state") == "merged", F.lit("true")).otherwise(open_value)))
+
+
+@register("top_issues_variant", sql_with("issues") + """
+SELECT number, title, url FROM (SELECT *, CASE state WHEN 'closed' THEN CAST(number_of_comments AS VARCHAR)
+  WHEN 'merged' THEN 'True' ELSE title END AS extra FROM issues)
+WHERE extra IS NOT NULL ORDER BY extra ASC, pos ASC LIMIT 500""")
+def q_top_issues_variant(spark, sf):
+    """Numbers, truth values and strings do not compare: all as text."""
+    mixed = _mixed_issues(spark, sf, F.to_json(F.struct("title")))
+    mixed = mixed.withColumn("extra", F.expr("coalesce(variant_get(extra, '$.title', 'variant'), extra)"))
+    return T.top_issues_variant(mixed, "extra", 500, descending=False)
+
+
+@register("top_issues_variant_numbers", sql_with("issues") + """
+SELECT number, title, url FROM (SELECT *, CASE state WHEN 'closed' THEN number_of_comments
+  WHEN 'merged' THEN 1 END AS extra FROM issues)
+WHERE extra IS NOT NULL ORDER BY extra DESC, pos ASC LIMIT 500""")
+def q_top_issues_variant_numbers(spark, sf):
+    """Numbers and truth values compare; nulls are dropped."""
+    return T.top_issues_variant(_mixed_issues(spark, sf, F.lit("null")), "extra", 500)
+
+
+@register("issue_tags_lines", sql_with("issues") + """,
+l AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice)
+        AS flags, list(l_linestatus ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS st
+      FROM lineitem GROUP BY l_orderkey),
+n AS (SELECT i.number, list_filter(coalesce(l.flags, []), lambda x: x <> 'R') AS names,
+        list_filter(coalesce(l.st, []), lambda x: x <> 'O') AS logins
+      FROM issues i LEFT JOIN l ON i.number = l.l_orderkey)
+SELECT number, array_to_string(names[1:5], ', ') AS labels,
+  CAST(greatest(len(names) - 5, 0) AS BIGINT) AS more_labels, array_to_string(logins, ', ') AS assignees FROM n""")
+def q_issue_tags_lines(spark, sf):
+    """A20 over lists of any length: a label and an assignee per line of the order, in
+    comment order; returned lines have an empty label, open ones an assignee without login."""
+    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    name = F.when(F.col("l_returnflag") == "R", F.lit("")).otherwise(F.col("l_returnflag"))
+    login = F.when(F.col("l_linestatus") != "O", F.col("l_linestatus"))
+    lines = (fx.table(spark, sf, "lineitem")
+             .select(F.col("l_orderkey").alias("number"),
+                     F.struct(*order, F.struct(name.alias("name")).alias("label"),
+                              F.struct(login.alias("login")).alias("assignee")).alias("l"))
+             .groupBy("number").agg(F.array_sort(F.collect_list("l")).alias("_l")))
+    items = (fx.orders_issues(spark, sf).select("number").join(lines, "number", "left")
+             .select("number", F.col("_l.label").alias("labels"), F.col("_l.assignee").alias("assignees")))
+    return T.issue_tags(items)
