@@ -31,7 +31,7 @@ def _check_limit(limit: int) -> None:
 def require_column(df: DataFrame, column: str) -> None:
     """P5: raise with the sorted column list when ``column`` is absent."""
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found. Available columns: {sorted(df.columns)}")
+        raise ValueError(f"no column {column!r} in this table; it has {sorted(df.columns)}")
 
 
 def status_filter(df: DataFrame, status: str | None) -> DataFrame:

@@ -71,14 +71,13 @@ def current_paths(spark: SparkSession, root: str) -> list[str]:
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
     """The table: of every item the greatest ``(updatedAt, pos)``, whatever
     batch brought it. Columns a version lacks are null in it (S3 on stored
-    collections keeps them, see ``operators.incremental.upsert``)."""
+    collections keeps them, see ``operators.incremental.upsert``); a column has
+    one type in all batches."""
     paths = current_paths(spark, root)
     if not paths:
         return None
-    merged = spark.read.parquet(paths[0])
-    for path in paths[1:]:
-        merged = merged.unionByName(spark.read.parquet(path), allowMissingColumns=True)
-    return latest_version(merged)
+    # one scan, whatever the number of deltas
+    return latest_version(spark.read.option("mergeSchema", "true").parquet(*paths))
 
 
 def upsert_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int) -> None:

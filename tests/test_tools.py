@@ -19,7 +19,7 @@ def df(spark):
 
 
 def test_require_column_lists_sorted_columns(df):
-    with pytest.raises(ValueError, match=r"Column 'nope' not found. Available columns: \['merged', 'number'"):
+    with pytest.raises(ValueError, match=r"no column 'nope' in this table; it has \['merged', 'number'"):
         T.top_issues(df, "nope")
 
 
