@@ -62,6 +62,15 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by ``stage`` that nothing reads any more."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bits of a bitmap per key, and powers of two that bound its size (4 KB to 32 MB).
 BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 15, 28
 

@@ -15,8 +15,9 @@ A token's log probability is its root's plus a term for every gram (run of
 symbols) of the tree that ends at it or before it, so a text's score is a sum
 of terms over its grams. Grams have 64-bit hashes. Their terms are a table: the
 ``HOT`` most frequent go to the workers, the others reach the texts by a join,
-as the counts of rarer words do (frequent words: ``FREQUENT`` of all tokens).
-Bit sets of bounded size only spare rows that the joins would drop.
+as the counts of rarer words do (frequent words: ``FREQUENT`` of all tokens). Both
+travel packed: a row has all that a slice of texts has or asks for in a bucket
+of hashes, so a bucket is a bounded group of few rows. Bit sets of bounded size only spare rows that the joins would drop.
 
 Defined cases: null and empty texts are one end token; repeated rows are scored
 (and learned) each; a null id is never held out by its hash; without training
@@ -26,31 +27,35 @@ are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, stage
+from .common import discard, slices, stage
 
 FREQUENT = 1e-6  # of all tokens: words whose counts go to the workers
 MIN_COUNT = 3
 MIN_GAIN = 10.0  # nats
 STRENGTH = 8.0  # of the parent's distribution, in tokens
-FLUSH = 500_000
 HOT = 2_000_000  # grams whose terms go to the workers
 BITS = 28  # log2 of the largest bit set
 SLICE = 8_000_000  # bytes of text counted together, about
-PIECE = 1_000_000  # bytes hashed together, about
+PIECE = 100_000  # bytes hashed together, about
+PACKED = 4_000_000  # rows packed together at most
+GROUP = 250_000  # tokens whose grams are a bucket
+ASKED = 4_000_000  # bytes of text that ask together, and whose questions are a bucket
 LEAD, FIN, RARE = (np.uint64(x) for x in (0x6C62272E07BB0142, 0x27D4EB2F165667C5, 0x165667B19E3779F9))
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_LETTERS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,9 +69,10 @@ def _longer(gram: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return _mix(gram * _ODD + symbol)
 
 
-def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of lower-cased ``data``."""
-    hashes, starts, at = [], [], 0
+def _find_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and lengths of the words of ``data``. A word is hashed by
+    its length and eight letters at a time, one of over 64 bytes by BLAKE2."""
+    found, at = [], 0
     while at < len(data):
         stop = at + PIECE
         if stop < len(data):  # up to white space
@@ -75,19 +81,30 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
                 space = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, min(PIECE, len(data) - stop), stop)]) + stop - at
                 stop += PIECE
             stop = at + int(space[-1]) + 1 if len(space) else len(data)
-        a = np.frombuffer(data, np.uint8, min(stop, len(data)) - at, at)
-        space = _SPACE[a]
-        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        a = np.frombuffer(data[at:stop] + bytes(8), np.uint8)
+        space = np.ones(len(a) - 6, bool)
+        space[1:-1] = (a[:-8] == 32) | ((a[:-8] - np.uint8(9)) < 5)
+        edge = np.flatnonzero(space[1:] != space[:-1])
         first, size = edge[::2], edge[1::2] - edge[::2]
-        if len(first):
-            letters = a[~space].astype(np.uint64) + np.uint64(1)
-            begin = np.cumsum(size) - size
-            power = np.cumprod(np.full(int(size.max()), _ODD, np.uint64))
-            place = np.arange(len(letters)) - np.repeat(begin, size)
-            hashes.append(_mix(np.add.reduceat(letters * power[place], begin) + size.astype(np.uint64)))
-            starts.append(first + at)
-        at += len(a)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), (np.concatenate(starts) if starts else np.zeros(0, np.int64))
+        eight = np.ndarray(len(a) - 7, "<u8", a, strides=(1,))
+        h, left, on = size.astype(np.uint64), size, np.arange(len(size))
+        for k in range(0, 64, 8):
+            h[on] = _longer(h[on], eight[first[on] + k] & _LETTERS[np.minimum(left, 8)])
+            on = on[left > 8]
+            left = size[on] - k - 8
+        for i in np.flatnonzero(size > 64):
+            word = data[at + first[i]:at + first[i] + size[i]]
+            h[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        found.append((h, first + at, size))
+        at += len(a) - 8
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of lower-cased ``data``."""
+    return _find_words(data)[:2]
 
 
 def _laid_out(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +121,21 @@ def _laid_out(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return symbols, place
 
 
-def read_symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The lower-cased texts as one, and their ends."""
     low = [(x or "").encode().lower() for x in texts]  # bytes: A-Z only
-    words, starts = hash_words(b"\n".join(low))
-    ends = np.cumsum([len(x) + 1 for x in low])
-    return _laid_out(words, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(low)))
+    return b"\n".join(low), np.cumsum([len(x) + 1 for x in low])
+
+
+def read_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the number of words of each."""
+    data, ends = _joined(texts)
+    words, starts = hash_words(data)
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def read_symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    return _laid_out(*read_words(texts))
 
 
 @dataclass
@@ -119,9 +146,12 @@ class Bits:
     words: np.ndarray
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for slot in (keys >> np.uint64(64 - self.log2), keys & np.uint64((1 << self.log2) - 1)):
-            out &= (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+        on = np.arange(len(keys))
+        for slot in (lambda k: k >> np.uint64(64 - self.log2), lambda k: k & np.uint64((1 << self.log2) - 1)):
+            at = slot(keys[on])
+            on = on[(self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+        out = np.zeros(len(keys), bool)
+        out[on] = True
         return out
 
 
@@ -140,18 +170,12 @@ def unigrams(docs: DataFrame) -> DataFrame:
     """``word``, ``c`` over the texts of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()),
-                                               pa.array(list(held.values()), pa.int64())], ["word", "c"])
-
-        held: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(split_words(text))
-                if len(held) > FLUSH:
-                    yield out()
-                    held.clear()
-        yield out()
+        for batch in slices(batches, 0, SLICE):
+            data, _ = _joined(batch.column(0).to_pylist())
+            hashes, starts, sizes = _find_words(data)
+            _, first, c = np.unique(hashes, return_index=True, return_counts=True)
+            words = [data[a:a + n].decode() for a, n in zip(starts[first].tolist(), sizes[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c, pa.int64())], ["word", "c"])
 
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -175,6 +199,7 @@ class Tree:
     tokens: int
     longest: int = 0  # symbols of the longest gram
     known: Bits | None = None  # all grams with a term
+    order: np.ndarray | None = None  # of the frequent words by hash
     keys: np.ndarray | None = None  # sorted hashes of the frequent ones
     own: np.ndarray | None = None  # their terms for their last symbol
     after: np.ndarray | None = None  # and for the symbol after it
@@ -241,15 +266,45 @@ class Wanted:
     grams: Bits
 
     def has(self, prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
-        ok = self.grams.has(suffix) & self.contexts.has(prefix)
-        return ok if length == 2 else ok | self.contexts.has(suffix)
+        ok = self.contexts.has(prefix)
+        ok[ok] = self.grams.has(suffix[ok])
+        if length > 2:
+            ok[~ok] = self.contexts.has(suffix[~ok])
+        return ok
+
+
+def packed(keys: np.ndarray, log2: int, *columns: np.ndarray) -> Iterator[list[pa.Array]]:
+    """Rows of sorted ``keys`` as few: per bucket (the first ``log2`` bits of a
+    key) its number and the bytes of each of ``columns``."""
+    for i in range(0, len(keys), PACKED):
+        bucket = (keys[i:i + PACKED] >> np.uint64(64 - log2)).astype(np.int32)
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        yield [pa.array(bucket[cut[:-1]]), *(as_bytes(x[i:i + PACKED], cut) for x in columns)]
 
 
-def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bits] | None) -> DataFrame:
+def as_bytes(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bytes of ``values[cut[i]:cut[i + 1]]``."""
+    values = np.ascontiguousarray(values)
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def n_bits(size: int, each: int) -> int:
+    """log2 of the number of buckets of about ``each`` units."""
+    return min(30, max(1, (int(size) // each).bit_length()))
+
+
+def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bits] | None, log2: int) -> DataFrame:
     """``key``, ``context`` (without the newest symbol), ``suffix`` (without the
     oldest), ``c`` of the wanted grams of ``length`` symbols. ``before``: what
-    was wanted one symbol shorter, and what of it has ``MIN_COUNT``."""
+    was wanted one symbol shorter, and what of it has ``MIN_COUNT``. Grams
+    counted in a slice of texts travel packed, by ``log2`` bits of their key."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, before))
+    n = 2 if length == 2 else 3  # the key of a pair follows from both symbols
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, before = shared.value
@@ -265,22 +320,22 @@ def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bi
                 at = at[enough.has(part[at - 1]) | ~old.has(shorter[at - 2], shorter[at - 1], length - 1)]
             keys, first, c = np.unique(_longer(part[at - 1], symbols[at]), return_index=True, return_counts=True)
             at = at[first]
-            columns = [part[at - 1], part[at]] if length == 2 else [part[at - 1], part[at], keys]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(c, pa.int64())], [*names, "c"])
+            grams = np.column_stack([part[at - 1], part[at], keys][:n])
+            for columns in packed(keys, log2, grams, c.astype(np.int64)):
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "grams", "counts"])
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, suffix = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_longer(context, suffix).view(np.int64))],
-                                             ["context", "suffix", "c", "key"])
+    def add(bucket: pa.Table) -> pa.Table:
+        grams, c = unpacked(bucket.column("grams"), "<u8").reshape(-1, n), unpacked(bucket.column("counts"), "<i8")
+        keys = _longer(grams[:, 0], grams[:, 1]) if n == 2 else grams[:, 2]
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        c = np.add.reduceat(c[order], first)
+        at, c = order[first][c >= MIN_COUNT], c[c >= MIN_COUNT]
+        return pa.table([*(pa.array(x.view(np.int64)) for x in (keys[at], grams[at, 0].copy(), grams[at, 1].copy())), pa.array(c)],
+                        ["key", "context", "suffix", "c"])
 
-    names = ["context", "suffix"] if length == 2 else ["context", "suffix", "key"]
-    rows = docs.select("text").mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "c"]))
-    if length == 2:  # the key follows from both: smaller rows
-        rows = rows.groupBy("context", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
-        return rows.mapInArrow(named, "context long, suffix long, c long, key long")
-    rows = rows.groupBy("key").agg(F.sum("c").alias("c"), F.first("context").alias("context"), F.first("suffix").alias("suffix"))
-    return rows.where(F.col("c") >= MIN_COUNT)
+    rows = docs.select("text").mapInArrow(count, "bucket int, grams binary, counts binary")
+    return rows.groupBy("bucket").applyInArrow(add, "key long, context long, suffix long, c long")
 
 
 def _hashed(vocabulary: DataFrame) -> DataFrame:
@@ -300,19 +355,20 @@ def grow(docs: DataFrame, vocabulary: DataFrame, n_docs: int, total: float) -> t
     ends = spark.createDataFrame([(int(x.view(np.int64)), n_docs) for x in (LEAD, FIN)], "key long, c long")
     contexts = stage(_hashed(vocabulary.where(F.col("c") >= MIN_COUNT)).unionByName(ends.where(F.col("c") >= MIN_COUNT)), "lm-grams")
     grams = contexts.withColumn("p", (F.col("c") + 0.5) / F.lit(float(total)))
-    terms, length, before = None, 1, None
+    terms, length, before, log2 = None, 1, None, n_bits(total, GROUP)
     while True:
         length += 1
         may = bits(contexts.select("key"))
         wanted = Wanted(may, may if length == 2 else bits(grams.select("key")))
-        seen = stage(_seen(docs, length, wanted, before), "lm-seen")
+        seen = stage(_seen(docs, length, wanted, before, log2), "lm-seen")
         before = wanted, bits(seen.select("key"))
-        moves = stage(seen.join(contexts.select(F.col("key").alias("context"), F.col("c").alias("total")), "context")
+        counted = stage(seen.join(contexts.select(F.col("key").alias("context"), F.col("c").alias("total")), "context")
                       .join(grams.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix").drop("suffix"), "lm-moves")
         whole = F.col("total") + F.lit(STRENGTH)
-        rests = moves.groupBy("context").agg(F.sum("c").alias("kept"), F.max("total").alias("t")).select(
+        rests = counted.groupBy("context").agg(F.sum("c").alias("kept"), F.max("total").alias("t")).select(
             "context", "kept", "t", ((F.col("t") + F.lit(STRENGTH) - F.col("kept")) / (F.col("t") + F.lit(STRENGTH))).alias("rest"))
-        moves = moves.join(stage(rests, "lm-rests"), "context").withColumn("p", F.col("c") / whole + F.col("rest") * F.col("parent"))
+        rests = stage(rests, "lm-rests")
+        moves = counted.join(rests, "context").withColumn("p", F.col("c") / whole + F.col("rest") * F.col("parent"))
         gain = F.sum(F.col("c") * F.ln(F.col("p") / F.col("parent"))) + F.max((F.col("t") - F.col("kept")) * F.ln("rest"))
         nodes = moves.groupBy("context").agg(gain.alias("gain"), F.max("rest").alias("rest"), F.max("t").alias("c"))
         nodes = stage(nodes.where(F.col("gain") >= MIN_GAIN).drop("gain"), "lm-nodes")
@@ -320,12 +376,15 @@ def grow(docs: DataFrame, vocabulary: DataFrame, n_docs: int, total: float) -> t
             return terms, 0 if terms is None else length - 1
         moves = stage(moves.join(nodes.select("context"), "context", "left_semi").select(
             "key", "c", "p", (F.log10(F.col("p") / F.col("parent")) - F.log10("rest")).alias("own")), "lm-moves")
+        discard(counted, rests)
         more = moves.select("key", "own", F.lit(0.0).alias("after"), "c", F.lit(length).alias("length")).unionByName(nodes.select(
             F.col("context").alias("key"), F.lit(0.0).alias("own"), F.log10("rest").alias("after"), "c", F.lit(length - 1).alias("length")))
         terms = more if terms is None else terms.unionByName(more)
         grams = moves.select("key", "p")
+        old_contexts = contexts
         contexts = seen.join(nodes.select(F.col("context").alias("suffix")), "suffix", "left_semi").select("key", "c")
         contexts = stage(contexts, "lm-contexts")
+        discard(seen, old_contexts)
 
 
 def learn(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame | None]:
@@ -344,7 +403,7 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame | None]:
     counts = np.concatenate([c, [n_docs, n_words - c.sum()]])
     root = np.concatenate([(c + 0.5) / total, [(n_docs + 0.5) / total if n_docs else 1.0, rare / total]])
     hashes = np.append(hash_words(b" ".join(words))[0], [FIN, RARE])
-    tree = Tree(words, hashes, counts, root, total, n)
+    tree = Tree(words, hashes, counts, root, total, n, order=np.argsort(hashes[:-2]))
     rarer = vocabulary.where(F.col("c") < least)
     terms, tree.longest = grow(docs, vocabulary, n_docs, total) if n_docs else (None, 0)
     if terms is None:
@@ -370,6 +429,18 @@ def train(docs: DataFrame) -> tuple[Tree, DataFrame]:
     return learn(docs)[:2]
 
 
+def _asked(words: np.ndarray) -> np.ndarray:
+    """Keys under which the counts of words are asked for (their own are those
+    of grams of one symbol)."""
+    return _mix(words ^ RARE)
+
+
+def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = _asked(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["key", "c"])
+
+
 def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row; learn from rows where ``may_learn`` (an expression over
     ``doc_id``) is true. Returns ``doc_id``, ``n_tokens``, ``n_known``,
@@ -379,70 +450,86 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     tree, rarer, colder = learn(rows.where(may_learn))
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    log2 = n_bits(size, ASKED)
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "bucket", "keys", "texts", "uses"]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text with what frequent words and grams give, a row per
-        text and rarer word, and a row for each other gram."""
+        """A row per text with what frequent words and grams give, and rows
+        that ask for the other words and grams of a slice of texts, named by
+        the slice's first row."""
         t = shared.value
         row = TaskContext.get().partitionId() << 40
-        end, rare = len(t.words), len(t.words) + 1
-        base = np.log10(np.append(t.root[:rare], 1 / t.total))  # rare: the share per count
-        names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "uses", "gram"]
-        for batch in slices(batches, 1):
-            texts = [split_words(x) for x in batch.column(1).to_pylist()]
-            n = len(texts)
-            s = t.symbols(texts)
-            sizes = np.array([len(w) + 1 for w in texts], np.int64)
-            owner = np.repeat(np.arange(n), sizes)
-            got = s[1:]
+        rare = len(t.words) + 1
+        base = np.log10(np.append(t.root[:rare], 0.5 / t.total))
+        frequent = t.hashes[t.order]
+        for batch in slices(batches, 1, ASKED):
+            words, n_words = read_words(batch.column(1).to_pylist())
+            n = batch.num_rows
+            owner = np.repeat(np.arange(n), n_words)
+            got = np.full(len(words), rare)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+                got = np.where(frequent[at] == words, t.order[at], rare)
             is_rare = got == rare
-            known = ~is_rare & ((got != end) | (t.counts[end] > 0))
-            ids = np.arange(row, row + n)
-            row += n
-            root = np.bincount(owner, base[got], n)
-            score, gram_of, grams = root.copy(), [], []
+            root = np.bincount(owner, base[got], n) + base[rare - 1]
+            known = np.bincount(owner, ~is_rare, n).astype(np.int64) + int(t.counts[rare - 1] > 0)
+            score, keys, whose = root.copy(), [_asked(words[is_rare])], [owner[is_rare]]
             if t.longest:
-                hashed = t.hashes[got[got != end]]
-                hashed[got[got != end] == rare] = hash_words(b" ".join([w for ws in texts for w in ws if w not in t.words]))[0]
-                whose = np.repeat(np.arange(n), sizes + 1)
-                for at, key, hot, own, after in t.grams(*_laid_out(hashed, sizes - 1)):
-                    score += np.bincount(whose[at], own + after, n)
-                    gram_of.append(ids[whose[at[~hot]]])
-                    grams.append(key[~hot].view(np.int64))
-            nulls = lambda k, kinds: [pa.nulls(k, x) for x in kinds]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()),
-                 pa.array(np.bincount(owner, known, n).astype(np.int64), pa.int64()),
-                 pa.array(root, pa.float64()), pa.array(score, pa.float64()),
-                 *nulls(n, (pa.string(), pa.int64(), pa.int64()))], names)
-            whose, words, uses = [], [], []
-            for i, ws in enumerate(texts):
-                c = Counter(w for w in ws if w not in t.words)
-                whose += [i] * len(c)
-                words += [w.decode() for w in c]
-                uses += c.values()
-            k = len(words)
+                place_owner = np.repeat(np.arange(n), n_words + 2)
+                for at, key, hot, own, after in t.grams(*_laid_out(words, n_words)):
+                    score += np.bincount(place_owner[at], own + after, n)
+                    keys.append(key[~hot])
+                    whose.append(place_owner[at[~hot]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[whose] if k else [], pa.int64()), pa.nulls(k, batch.column(0).type),
-                 *nulls(k, (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(words, pa.string()), pa.array(uses, pa.int64()),
-                 *nulls(k, (pa.int64(),))], names)
-            k = sum(map(len, grams))
-            if k:
+                [pa.array(np.arange(row, row + n)), batch.column(0), pa.array(n_words + 1), pa.array(known), pa.array(root), pa.array(score),
+                 *(pa.nulls(n, x) for x in (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
+            keys, whose = np.concatenate(keys), np.concatenate(whose)
+            order = np.argsort(keys, kind="stable")
+            keys, whose = keys[order], whose[order]
+            new = np.ones(len(keys), bool)  # equal words and grams of a text are asked for once
+            new[1:] = (keys[1:] != keys[:-1]) | (whose[1:] != whose[:-1])
+            first = np.flatnonzero(new)
+            uses = np.diff(first, append=len(keys))
+            for columns in packed(keys[first], log2, keys[first], whose[first].astype(np.uint32), uses.astype(np.uint32)):
+                k = len(columns[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(gram_of), pa.int64()), pa.nulls(k, batch.column(0).type),
-                     *nulls(k, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64())),
-                     pa.array(np.concatenate(grams), pa.int64())], names)
+                    [pa.array(np.full(k, row)), pa.nulls(k, batch.column(0).type),
+                     *(pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), *columns], names)
+            row += n
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        keys, texts, uses = unpacked(asked.column("keys"), "<u8"), unpacked(asked.column("texts"), "<u4"), unpacked(asked.column("uses"), "<u4")
+        have = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(have)
+        at = order[np.minimum(np.searchsorted(have, keys, sorter=order), len(have) - 1)] if len(have) else np.zeros(len(keys), int)
+        hit = have[at] == keys if len(have) else np.zeros(len(keys), bool)
+        ends = np.cumsum(pc.binary_length(asked.column("texts")).to_numpy() // 4)
+        cut = np.append(0, np.cumsum(hit))[np.append(0, ends)]
+        value = table.column("value").to_numpy()[at[hit]] * uses[hit] if len(have) else np.zeros(0)
+        words = table.column("known").to_numpy()[at[hit]] * uses[hit].astype(np.int64) if len(have) else np.zeros(0, np.int64)
+        return pa.table([asked.column("row"), as_bytes(texts[hit], cut), as_bytes(words, cut), as_bytes(value, cut)], ["row", "texts", "known", "value"])
+
+    def add(answers: pa.Table) -> pa.Table:
+        texts, known, value = (unpacked(answers.column(i), k) for i, k in ((1, "<u4"), (2, "<i8"), (3, "<f8")))
+        n = int(texts.max()) + 1 if len(texts) else 0
+        log, term = (np.bincount(texts, np.where(x, value, 0.0), n) for x in (known > 0, known == 0))
+        first = answers.column(0)[0].as_py()
+        return pa.table([pa.array(np.arange(first, first + n), pa.int64()), pa.array(log, pa.float64()),
+                         pa.array(np.bincount(texts, known, n).astype(np.int64)), pa.array(term, pa.float64())], ["row", "log", "known", "term"])
 
     part = stage(rows.mapInArrow(read, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, "
-                                       "word string, uses long, gram long"), "lm-parts")
-    rare = part.where("word is not null").select("row", "word", "uses").join(rarer, "word", "left")
-    log = F.col("uses") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    rare = rare.select("row", log.alias("log"), F.when(F.col("c") > 0, F.col("uses")).otherwise(0).alias("known"), F.lit(0.0).alias("term"))
+                                       "bucket int, keys binary, texts binary, uses binary"), "lm-parts")
+    known = _hashed(rarer).mapInArrow(_renamed, "key long, c long").select(
+        "key", F.lit(1).cast("long").alias("known"), F.log10((F.col("c") + 0.5) / 0.5).alias("value"))
     if colder is not None:
-        cold = part.where("gram is not null").select("row", "gram").join(colder, "gram")
-        rare = rare.unionByName(cold.select("row", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("known"), "term"))
-    rare = rare.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("log", "known", "term")])
-    out = part.where("n_tokens is not null").join(rare, "row", "left")
-    more = F.coalesce("log", F.lit(0.0))
+        known = known.unionByName(colder.select(F.col("gram").alias("key"), F.lit(0).cast("long").alias("known"), F.col("term").alias("value")))
+    known = known.withColumn("bucket", F.shiftrightunsigned("key", 64 - log2).cast("int"))
+    asked = part.where("bucket is not null").select("bucket", "row", "keys", "texts", "uses")
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "row long, texts binary, known binary, value binary")
+    more = answers.groupBy("row").applyInArrow(add, "row long, log double, known long, term double")
+    out = part.where("n_tokens is not null").select(*names[:6]).join(more, "row", "left")
+    log = F.coalesce("log", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-                      F.lit(int(tree.tokens)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-                      (F.col("score") + more + F.coalesce("term", F.lit(0.0))).alias("score"))
+                      F.lit(int(tree.tokens)).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"),
+                      (F.col("score") + log + F.coalesce("term", F.lit(0.0))).alias("score"))
