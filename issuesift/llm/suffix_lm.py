@@ -48,9 +48,10 @@ HOT = 2_000_000  # grams whose terms go to the workers
 BITS = 28  # log2 of the largest bit set
 SLICE = 8_000_000  # bytes of text counted together, about
 PIECE = 100_000  # bytes hashed together, about
-PACKED = 4_000_000  # rows packed together at most
+PACKED = 500_000  # rows packed together at most
+HELD = 2_000_000  # grams held by a task before they are sent, about
 GROUP = 250_000  # tokens whose grams are a bucket
-ASKED = 4_000_000  # bytes of text that ask together, and whose questions are a bucket
+ASKED = 4_000_000  # bytes of text whose questions are a bucket; half of it asks together
 LEAD, FIN, RARE = (np.uint64(x) for x in (0x6C62272E07BB0142, 0x27D4EB2F165667C5, 0x165667B19E3779F9))
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, bool)
@@ -170,7 +171,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
     """``word``, ``c`` over the texts of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, SLICE):
+        for batch in slices(batches, 0, SLICE // 2):
             data, _ = _joined(batch.column(0).to_pylist())
             hashes, starts, sizes = _find_words(data)
             _, first, c = np.unique(hashes, return_index=True, return_counts=True)
@@ -273,7 +274,7 @@ class Wanted:
         return ok
 
 
-def packed(keys: np.ndarray, log2: int, *columns: np.ndarray) -> Iterator[list[pa.Array]]:
+def packed(log2: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[list[pa.Array]]:
     """Rows of sorted ``keys`` as few: per bucket (the first ``log2`` bits of a
     key) its number and the bytes of each of ``columns``."""
     for i in range(0, len(keys), PACKED):
@@ -306,9 +307,21 @@ def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bi
     shared = docs.sparkSession.sparkContext.broadcast((wanted, before))
     n = 2 if length == 2 else 3  # the key of a pair follows from both symbols
 
+    def summed(grams: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = _longer(grams[:, 0], grams[:, 1]) if n == 2 else grams[:, 2]
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+        return keys[first], grams[order[first]], np.add.reduceat(c[order], first) if len(first) else c
+
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for columns in packed(log2, *summed(*(np.concatenate(x) for x in zip(*held)))):
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "grams", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, before = shared.value
-        for batch in slices(batches, 0, SLICE):
+        held, n_held = [], 0
+        for batch in slices(batches, 0, SLICE // 8):
             symbols, place = read_symbols(batch.column(0).to_pylist())
             part, shorter = symbols, None
             for _ in range(length - 2):
@@ -320,18 +333,18 @@ def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bi
                 at = at[enough.has(part[at - 1]) | ~old.has(shorter[at - 2], shorter[at - 1], length - 1)]
             keys, first, c = np.unique(_longer(part[at - 1], symbols[at]), return_index=True, return_counts=True)
             at = at[first]
-            grams = np.column_stack([part[at - 1], part[at], keys][:n])
-            for columns in packed(keys, log2, grams, c.astype(np.int64)):
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "grams", "counts"])
+            held.append((np.column_stack([part[at - 1], part[at], keys][:n]), c.astype(np.int64)))
+            n_held += len(at)
+            if n_held >= HELD:
+                yield from sent(held)
+                held, n_held = [], 0
+        if held:
+            yield from sent(held)
 
     def add(bucket: pa.Table) -> pa.Table:
-        grams, c = unpacked(bucket.column("grams"), "<u8").reshape(-1, n), unpacked(bucket.column("counts"), "<i8")
-        keys = _longer(grams[:, 0], grams[:, 1]) if n == 2 else grams[:, 2]
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        c = np.add.reduceat(c[order], first)
-        at, c = order[first][c >= MIN_COUNT], c[c >= MIN_COUNT]
-        return pa.table([*(pa.array(x.view(np.int64)) for x in (keys[at], grams[at, 0].copy(), grams[at, 1].copy())), pa.array(c)],
+        keys, grams, c = summed(unpacked(bucket.column("grams"), "<u8").reshape(-1, n), unpacked(bucket.column("counts"), "<i8"))
+        enough = c >= MIN_COUNT
+        return pa.table([*(pa.array(x[enough].view(np.int64)) for x in (keys, grams[:, 0], grams[:, 1])), pa.array(c[enough])],
                         ["key", "context", "suffix", "c"])
 
     rows = docs.select("text").mapInArrow(count, "bucket int, grams binary, counts binary")
@@ -463,7 +476,7 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
         rare = len(t.words) + 1
         base = np.log10(np.append(t.root[:rare], 0.5 / t.total))
         frequent = t.hashes[t.order]
-        for batch in slices(batches, 1, ASKED):
+        for batch in slices(batches, 1, ASKED // 2):
             words, n_words = read_words(batch.column(1).to_pylist())
             n = batch.num_rows
             owner = np.repeat(np.arange(n), n_words)
@@ -491,7 +504,7 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
             new[1:] = (keys[1:] != keys[:-1]) | (whose[1:] != whose[:-1])
             first = np.flatnonzero(new)
             uses = np.diff(first, append=len(keys))
-            for columns in packed(keys[first], log2, keys[first], whose[first].astype(np.uint32), uses.astype(np.uint32)):
+            for columns in packed(log2, keys[first], keys[first], whose[first].astype(np.uint32), uses.astype(np.uint32)):
                 k = len(columns[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(k, row)), pa.nulls(k, batch.column(0).type),
