@@ -9,8 +9,10 @@ parallel and skew-free:
 * each row is replicated to the B unordered block pairs that contain its
   block; a pair ``(lo, hi)`` is one task with one dense matrix product in
   NumPy that answers both directions -- B(B+1)/2 independent tasks;
-* a task keeps, per query row, the k smallest ``(distance, id)`` candidates
-  (ties at the cut resolved by id, so duplicates cannot blow up the output);
+* a task computes its distances in tiles of ``TILE_ROWS`` x ``TILE_ROWS`` and
+  keeps, per query row, the k smallest ``(distance, id)`` candidates (ties at
+  the cut resolved by id, so duplicates cannot blow up the output); its memory
+  is its rows and one tile, however few blocks there are;
 * the B*k candidates per query are reduced by ``row_number() <= k``, which
   Spark plans as a partial ``WindowGroupLimit`` before the shuffle.
 
@@ -27,13 +29,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .knn_cells import knn_cells
+from .knn_cells import PLACES, SPREAD, knn_cells
 
 KEY = ["repo", "number"]
 DEFAULT_BLOCK_ROWS = 2048
 #: From so many vectors on the pivot cells of ``knn_cells`` search instead of the grid.
 CELLS_FROM = 50_000
 MIN_BLOCK_ROWS = 128
+#: Distances a task holds at once: so many rows by so many.
+TILE_ROWS = 2048
+#: Blocks of one bucket of the hash search at most.
+BUCKET_BLOCKS = 8
 
 
 # ---------------------------------------------------------------- K4 / K2
@@ -86,14 +92,15 @@ def similar_issues(df: DataFrame, number: int, threshold: float = 0.8, limit: in
 
 # ---------------------------------------------------------------- K1 / K3 exact
 def _distances(Q: np.ndarray, C: np.ndarray, metric: str) -> np.ndarray:
+    """Rounded, so that equal vectors tie whatever tile computed them."""
     if metric == "cosine":
         qn = np.linalg.norm(Q, axis=1)
         cn = np.linalg.norm(C, axis=1)
         Qu = np.divide(Q, qn[:, None], out=np.zeros_like(Q), where=qn[:, None] > 0)
         Cu = np.divide(C, cn[:, None], out=np.zeros_like(C), where=cn[:, None] > 0)
-        return 1.0 - Qu @ Cu.T
+        return np.round(1.0 - Qu @ Cu.T, PLACES) + 0.0
     sq = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    return np.round(np.sqrt(np.maximum(sq, 0.0)), PLACES) + 0.0
 
 
 def _topk_rows(D: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int) -> pd.DataFrame:
@@ -115,8 +122,15 @@ def _topk_rows(D: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int) -> pd.Da
     return pd.DataFrame({"q": qid[r[ok]], "c": cid[cc[ok]], "distance": d[ok]})
 
 
+def _best(found: pd.DataFrame | None, more: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k smallest (distance, candidate id) of each row over two tiles."""
+    if found is None:
+        return more
+    return pd.concat([found, more]).sort_values(["q", "distance", "c"]).groupby("q").head(k)
+
+
 def _pair_topk(k: int, metric: str):
-    """One (lo, hi) block pair: one distance matrix serves both directions."""
+    """One (lo, hi) block pair, tile by tile: one distance matrix serves both directions."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
         a = g[g["blk"] == lo].sort_values("id", kind="stable")
@@ -127,11 +141,17 @@ def _pair_topk(k: int, metric: str):
         aid, bid = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
         A = np.vstack([np.asarray(v, dtype=np.float64) for v in a["v"].to_numpy()])
         B = A if lo == hi else np.vstack([np.asarray(v, dtype=np.float64) for v in b["v"].to_numpy()])
-        D = _distances(A, B, metric)
-        out = [_topk_rows(D, aid, bid, k)]
-        if lo != hi:
-            out.append(_topk_rows(D.T, bid, aid, k))
-        return pd.concat(out, ignore_index=True)
+        out, back = [], {}
+        for i in range(0, len(A), TILE_ROWS):
+            best = None
+            for j in range(0, len(B), TILE_ROWS):
+                qid, cid = aid[i:i + TILE_ROWS], bid[j:j + TILE_ROWS]
+                D = _distances(A[i:i + TILE_ROWS], B[j:j + TILE_ROWS], metric)
+                best = _best(best, _topk_rows(D, qid, cid, k), k)
+                if lo != hi:
+                    back[j] = _best(back.get(j), _topk_rows(D.T, cid, qid, k), k)
+            out.append(best)
+        return pd.concat([*out, *back.values()], ignore_index=True)
     return run
 
 
@@ -166,7 +186,7 @@ def knn_pairs(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
         # enough block pairs for all task slots, of at least MIN_BLOCK_ROWS rows a block
         slots = df.sparkSession.sparkContext.defaultParallelism
         spread = min(math.ceil(math.sqrt(2 * slots)), math.ceil(n / MIN_BLOCK_ROWS))
-        num_blocks = max(1, spread, math.ceil(n / block_rows))
+        num_blocks = max(1, spread, min(SPREAD, math.ceil(n / block_rows)))
     B = int(num_blocks)
     blk = F.pmod(F.xxhash64("id"), F.lit(B)).cast("int")
     rep = (emb.select("id", "v", blk.alias("blk"))
@@ -207,9 +227,10 @@ def knn_lsh(df: DataFrame, k: int = 4, bucket_length: float = 1.0, num_tables: i
     vectors puts near vectors into the same bucket of some hash table; each
     bucket is then searched exactly with the bounded block-pair kernel of K1.
     A bucket larger than ``block_rows`` (e.g. many copies of one text) is
-    split into sub-blocks by id hash and searched pair by pair, so no task
-    holds a whole hot bucket and no step emits all pairs of a bucket -- only
-    the k best per row and task. Recall is below 1 by design."""
+    split into sub-blocks by id hash, at most ``BUCKET_BLOCKS``, and searched
+    pair by pair in tiles, so no task holds a whole hot bucket and no step emits
+    all pairs of a bucket -- only the k best per row and task. Recall is below 1
+    by design."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -222,7 +243,7 @@ def knn_lsh(df: DataFrame, k: int = 4, bucket_length: float = 1.0, num_tables: i
               .select("id", vector_to_array("vec").alias("v"), F.posexplode("h").alias("t", "hv"))
               .select("id", "v", "t", vector_to_array("hv")[0].alias("b")))
     sizes = hashed.groupBy("t", "b").agg(F.count(F.lit(1)).alias("_n"))
-    sub = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
+    sub = F.least(F.lit(BUCKET_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows)))).cast("int")
     blocked = (hashed.join(sizes, ["t", "b"])
                .withColumn("_s", sub)
                .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int")))

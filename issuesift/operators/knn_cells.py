@@ -20,7 +20,8 @@ Vectors that no bound separates (random ones in many dimensions) visit all
 cells: the work is then that of the block grid, split the same way. The driver
 holds the pivots (``MAX_PIVOTS`` rows, ``PIVOT_VALUES`` numbers at most) and one
 row a cell; visitors of a much visited cell are dealt into parts of about
-``VISITORS``.
+``VISITORS``. Cells, tiles and parts grow with the collection once there would be
+more than about ``SPREAD`` of them, so a vector is sent no more often for it.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from ..session import scratch_path
 
 CELL_ROWS, VISITORS = 2048, 4096
 MAX_PIVOTS, PIVOT_VALUES = 4096, 4_000_000
+#: A vector is sent to about so many cells and parts at most, however many vectors there are.
+SPREAD = 32
 #: Rounds in which oversized cells get pivots of their own.
 REFINE = 3
 #: Distances are rounded to so many places, so that equal vectors tie whatever block computed them.
@@ -158,7 +161,8 @@ def _search_own(k: int, metric: str):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", kind="stable")
         ids, v = g["id"].to_numpy(np.int64), np.vstack(g["v"].to_numpy())
-        return pd.concat([_nearest(_between(v[at:at + 1024], v, metric), ids[at:at + 1024], ids, k) for at in range(0, len(v), 1024)])
+        step = max(1, PIVOT_VALUES // len(v))
+        return pd.concat([_nearest(_between(v[at:at + step], v, metric), ids[at:at + step], ids, k) for at in range(0, len(v), step)])
     return run
 
 
@@ -169,19 +173,19 @@ def _search_visited(k: int, metric: str):
             residents = residents.sort_values("id", kind="stable")
             cid, c = residents["id"].to_numpy(np.int64), np.vstack(residents["v"].to_numpy())
             qid, q, most = visitors["q"].to_numpy(np.int64), np.vstack(visitors["qv"].to_numpy()), visitors["most"].to_numpy()
-            for at in range(0, len(q), 1024):
-                part = slice(at, at + 1024)
+            step = max(1, PIVOT_VALUES // len(c))
+            for at in range(0, len(q), step):
+                part = slice(at, at + step)
                 out.append(_nearest(_between(q[part], c, metric), qid[part], cid, k, most[part]))
         return pd.concat(out)
     return run
 
 
-def _asks(queries: DataFrame, cells: Cells, wave: int, metric: str, count: bool) -> DataFrame:
+def _asks(queries: DataFrame, cells: Cells, tiled: np.ndarray, wave: int, metric: str, count: bool) -> DataFrame:
     """Visits of wave 2 or 3 from rows ``id``, ``v``, ``cell``, ``first``,
     ``most`` (the k-th distances after wave 1 and so far): ``cell``, ``q``,
-    ``qv``, ``most``; with ``count`` only how many visit each ``cell``."""
-    tiled = cells.size > CELL_ROWS
-
+    ``qv``, ``most``; with ``count`` only how many visit each ``cell``. ``tiled``
+    tells which cells wave 1 searched by tiles."""
     def radius(most: np.ndarray) -> np.ndarray:
         return np.sqrt(2.0 * np.maximum(most, 0.0)) if metric == "cosine" else most
 
@@ -232,9 +236,11 @@ def knn_cells(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
     n, dims = points.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     found, did = [], {"rows": n, "cells": 0, "compared": 0}
     if n:
-        wanted = cells or max(math.ceil(n / cell_rows), min(64, math.isqrt(n)))
+        share = math.ceil(n / SPREAD)
+        cell_rows = max(cell_rows, share)
+        wanted = cells or max(math.ceil(n / cell_rows), min(SPREAD, math.isqrt(n)))
         made, placed = _cells(points, n, dims, wanted, cell_rows)
-        tiles = np.maximum(1, -(-made.size // CELL_ROWS))
+        tiles = np.maximum(1, -(-made.size // max(CELL_ROWS, 2 * share if share > CELL_ROWS else 0)))
         did["cells"] = len(made.pivots)
         table = df.sparkSession.createDataFrame(pd.DataFrame({"cell": np.arange(len(tiles), dtype=np.int32), "tiles": tiles}), "cell int, tiles long")
         table = F.broadcast(table)  # at most MAX_PIVOTS rows
@@ -253,14 +259,14 @@ def knn_cells(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
                 queries = queries.join(reach, "id")
             queries = _stage(queries, "bounds")
             reach = queries.select("id", "first")
-            visits = {r["cell"]: r["n"] for r in _asks(queries, made, wave, metric, True).groupBy("cell").agg(F.sum("visits").alias("n")).collect()}
+            visits = {r["cell"]: r["n"] for r in _asks(queries, made, tiles > 1, wave, metric, True).groupBy("cell").agg(F.sum("visits").alias("n")).collect()}
             if not visits:
                 continue
             did["compared"] += sum(m * int(made.size[c]) for c, m in visits.items())
-            parts = pd.DataFrame({"cell": np.array(list(visits), np.int32), "parts": [-(-m // VISITORS) for m in visits.values()]})
+            parts = pd.DataFrame({"cell": np.array(list(visits), np.int32), "parts": [-(-m // max(VISITORS, share)) for m in visits.values()]})
             parts = F.broadcast(df.sparkSession.createDataFrame(parts, "cell int, parts long"))
             zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-            left = (_asks(queries, made, wave, metric, False).join(parts, "cell").join(table, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
+            left = (_asks(queries, made, tiles > 1, wave, metric, False).join(parts, "cell").join(table, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
                     .withColumn("tile", F.explode(F.sequence(zero, F.col("tiles") - one))))
             right = home.join(parts, "cell").withColumn("part", F.explode(F.sequence(zero, F.col("parts") - one)))
             right = right.select(F.col("cell").alias("rcell"), F.col("tile").alias("rtile"), F.col("part").alias("rpart"), "id", "v")
