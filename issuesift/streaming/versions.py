@@ -6,7 +6,8 @@ is a repeat and is left out; one older than the item's newest by more than the
 delay is late: its repeats can no longer be told, so it goes to the late part
 of the log. A batch writes one folder and reads none, so its work follows its
 rows and not the number of batches before it; the state is one value an item,
-bounded by its versions of one delay.
+bounded by its versions of one delay. Items have few rows in a batch, so they
+pass as rows: a pandas frame for each item costs more than its versions.
 
 ``read_versions`` gives each version once: those of the log, and of the late
 part what neither holds already. Of equal versions within a batch the one with
@@ -18,8 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StructType
@@ -36,37 +36,37 @@ class _Versions(StatefulProcessor):
     last delay, and whether a row without a time came."""
 
     def __init__(self, delay_us: int, columns: list[str]):
-        self.delay_us, self.columns = delay_us, columns
+        self.delay_us, self.columns, self.made = delay_us, columns, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("versions", "newest bigint, times array<bigint>, untimed boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one row per version, the greatest pos; a hot item's rows come in several frames
-        best = None
-        for part in rows:
-            part = part if best is None else pd.concat([best, part])
-            best = part.sort_values("pos", ascending=False, kind="stable", na_position="last").drop_duplicates(_AT)
-        if best is None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best, at_place, pos_place = {}, None, None
+        for row in rows:  # one row per version, the greatest pos
+            if at_place is None:
+                at_place, pos_place = row.__fields__.index(_AT), row.__fields__.index("pos")
+                places = [row.__fields__.index(c) for c in self.columns[:-1]]
+            at, pos = row[at_place], row[pos_place]
+            if at not in best or (pos is not None and (best[at][pos_place] is None or pos > best[at][pos_place])):
+                best[at] = row
+        if not best:
             return
-        newest, held, untimed = (self.held.get() if self.held.exists() else None) or (None, [], False)
-        held, out = set(held), []
-        for at, row in zip(best[_AT], range(len(best))):
-            if pd.isna(at):
-                if not untimed:
-                    untimed = True
-                    out.append((row, False))
-            elif newest is not None and at < newest - self.delay_us:
-                out.append((row, True))
-            elif int(at) not in held:
-                out.append((row, False))
-        times = best[_AT].dropna().astype("int64").tolist()
+        newest, held, untimed = self.held.get() or (None, [], False)
+        known, before, out = set(held), (newest, len(held), untimed), []
+        for at, row in best.items():
+            late = at is not None and newest is not None and at < newest - self.delay_us
+            if late or not (untimed if at is None else at in known):
+                out.append((row, late))
+        times = [at for at in best if at is not None]
+        untimed = untimed or None in best
         if times:
             newest = max(times if newest is None else [newest, *times])
-            held = {t for t in held.union(times) if t >= newest - self.delay_us}
-        self.held.update((newest, sorted(held), untimed))
-        if out:
-            yield best.iloc[[r for r, _ in out]].assign(late=[x for _, x in out])[self.columns]
+            known = {t for t in known.union(times) if t >= newest - self.delay_us}
+        if (newest, len(known), untimed) != before:  # with the same newest time nothing leaves
+            self.held.update((newest, sorted(known), untimed))
+        for row, late in out:
+            yield self.made(*(row[i] for i in places), late)
 
     def close(self) -> None:
         pass
@@ -83,7 +83,7 @@ def version_rows(stream: DataFrame, delay_days: int = 7) -> DataFrame:
     schema = StructType([*stream.schema.fields]).add("late", BooleanType())
     processor = _Versions(delay_days * 86_400_000_000, schema.names)
     keyed = stream.withColumn(_AT, F.unix_micros(F.col("updatedAt").cast("timestamp")))
-    return keyed.groupBy(*KEY).transformWithStateInPandas(processor, schema, "Append", "None")
+    return keyed.groupBy(*KEY).transformWithState(processor, schema, "Append", "None")
 
 
 def start_version_log(stream: DataFrame, root: str, checkpoint: str, delay_days: int = 7, available_now: bool = True):

@@ -83,6 +83,16 @@ def test_fifty_batches_keep_state_and_work_bounded(spark, tmpdir_path, few_parti
     assert written == [items] * 3
 
 
+def test_items_pass_as_rows(spark, tmpdir_path, few_partitions):
+    # a frame of an item made its places floats beside a missing one: 2**53 + 1 was lost
+    large = 2**53 + 1
+    land(f"{tmpdir_path}/in", 0, [(1, large, "open", 2), (1, None, "open", 3), (1, large - 2, "open", 2)])
+    run(spark, f"{tmpdir_path}/in", f"{tmpdir_path}/log", f"{tmpdir_path}/ckpt")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    got = V.read_versions(spark, f"{tmpdir_path}/log", schema).collect()
+    assert sorted(((r.updatedAt - START).days, r.pos) for r in got) == [(2, large), (3, None)]
+
+
 def test_wrong_delay(spark):
     with pytest.raises(ValueError):
         V.version_rows(spark.createDataFrame([], SCHEMA), delay_days=-1)
