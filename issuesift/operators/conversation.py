@@ -101,7 +101,9 @@ def embedding_text(issues: DataFrame, comments: DataFrame, column: str = "embed_
     8,000, then a marker), stripped; null when empty."""
     b = F.coalesce(F.col("body"), F.lit(""))
     kept = _within(comments.select(*KEY, "idx", F.length(b).alias("_len")), X.EMBED_COMMENTS_LIMIT)
-    c = comments.select(*KEY, "idx", b.alias("_b")).join(kept, [*KEY, "idx"])
+    # a comment longer than the budget is never kept: its text need not be shuffled
+    part = F.when(F.length(b) <= X.EMBED_COMMENTS_LIMIT, b)
+    c = comments.select(*KEY, "idx", part.alias("_b")).join(kept, [*KEY, "idx"])
     parts = _gather(c, "_b", "_over")
     j = issues.join(parts, KEY, "left")
     joined = F.array_join(F.transform(F.coalesce(F.col("_parts"), F.array()), lambda p: p["_b"]), "\n")

@@ -1,5 +1,8 @@
 """Embedding and completion plug-ins with the content-hash cache."""
 
+import hashlib
+import os
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -72,3 +75,52 @@ def test_a_model_sees_each_text_once(spark, tmpdir_path):
     out, new = EM.summarize(df.withColumnRenamed("embed_text", "title"), completer=lambda p: counting(p).map(lambda _: "s"))
     assert out.count() == 3 and new.count() == 3
     assert len(calls()) == 5
+
+
+def test_a_model_is_given_bounded_parts(spark):
+    df = spark.range(2500).coalesce(1).selectExpr("id as number", "concat('t', id) as title")
+
+    def size(texts: pd.Series) -> pd.Series:
+        return pd.Series([str(len(texts))] * len(texts))
+
+    out, _ = EM.summarize(df, completer=size)
+    got = [int(r.summary) for r in out.collect()]
+    assert len(got) == 2500 and max(got) <= EM.PART_ROWS
+    long = spark.range(8).coalesce(1).selectExpr("id as number", "concat(repeat('x', 900000), id) as title")
+    out, _ = EM.summarize(long, completer=size)
+    assert max(int(r.summary) for r in out.collect()) <= EM.PART_BYTES // 900_000
+
+
+def test_tokens_are_not_shuffled(spark):
+    texts = spark.createDataFrame([("k", "b A a é1"), ("none", "!"), ("null", None)], "key string, text string")
+    made = EM.embed_texts(texts, dims=4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {r.key: r.value for r in made.collect()}
+    assert got["none"] == got["null"] == [0.0] * 4 and abs(sum(x * x for x in got["k"]) - 1) < 1e-6
+
+
+def _bytes(folder: str) -> int:
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_enrichment_stores_texts_once_and_compressed(spark):
+    from issuesift.plans.enrich import enrich
+    from issuesift.session import ensure_checkpoint_dir
+
+    def text(n: int) -> str:
+        return " ".join(hashlib.md5(f"{n} {i}".encode()).hexdigest() for i in range(120))
+
+    rows = [("r", n, f"t{n}", text(n)) for n in [*range(100), 5]]  # number 5 twice
+    issues = spark.createDataFrame(rows, "repo string, number long, title string, body string")
+    issues = issues.selectExpr("*", "'open' as state", "'a' as author", "cast(null as bigint) as reactions_total")
+    said = spark.createDataFrame([("r", n // 3, n, b) for _, n, _, b in rows[:-1]], "repo string, number long, idx long, body string")
+    said = said.selectExpr("*", "'a' as author", "1L as reactions_total")
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = _bytes(root)
+    out, new = enrich(issues, said)
+    kept = out.drop("reactions_total").collect()
+    assert _bytes(root) - before < 3 * sum(len(b) for *_, b in rows)  # body, conversation, embedded text
+    plain, _ = enrich(issues, said, materialize=False)
+    assert sorted(map(str, kept)) == sorted(str(r) for r in plain.select(*out.drop("reactions_total").columns).collect())
+    assert len(kept) == 101 and new.count() == 100
