@@ -96,22 +96,33 @@ def enrich(issues: DataFrame, comments: DataFrame, reactions: DataFrame | None =
     embedding (cached), metrics, quartile labels, summaries (after quartiles),
     k-NN lists. Returns ``(enriched issues, new embedding-cache rows)``.
 
-    ``materialize`` checkpoints the intermediate tables into the shared
-    checkpoint folder, cutting lineage before the global steps."""
+    ``materialize`` stores the texts and metrics once, compressed, in the shared
+    checkpoint folder. Later steps read the columns they need from there and make
+    narrow tables by row; the texts are joined to them once, in the result."""
     from ..operators.conversation import conversation, embedding_text
-    from ..operators.embed import embed_issues, summarize
+    from ..operators.embed import _written, embed_issues, summarize
     from ..operators.knn import knn_neighbors
 
-    df = conversation(issues, comments, reactions)
-    df = embedding_text(df, comments)
-    df, new_cache = embed_issues(df, "embed_text", cache=embed_cache, embedder=embedder)
-    if materialize:
-        # text + embeddings are the expensive part; every later global step
-        # (quantile passes, k-NN) reads this checkpoint instead of recomputing it
-        df = df.checkpoint(eager=True)
-    df = enrich_metrics(df.drop("summary") if "summary" in df.columns else df, comments, reactions,
-                        quantile_method=quantile_method, materialize=materialize)
-    df, _new_summaries = summarize(df, completer=completer)
-    if materialize:
-        df = df.checkpoint(eager=True)
-    return knn_neighbors(df, k, "cosine"), new_cache
+    df = embedding_text(conversation(issues, comments, reactions), comments)
+    df = df.drop("summary") if "summary" in df.columns else df
+    if not materialize:
+        df, new_cache = embed_issues(df, "embed_text", cache=embed_cache, embedder=embedder)
+        df = enrich_metrics(df, comments, reactions, quantile_method=quantile_method)
+        df, _new_summaries = summarize(df, completer=completer)
+        return knn_neighbors(df, k, "cosine"), new_cache
+
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    df = add_metrics(df, comments, reactions).withColumn(row, F.monotonically_increasing_id())
+    df = add_quartiles(_written(df, "enriched"), method=quantile_method)
+    vectors, new_cache = embed_issues(df.select(row, "number", "title", "embed_text"), "embed_text",
+                                      cache=embed_cache, embedder=embedder)
+    near = knn_neighbors(_written(vectors.drop("embed_text"), "vectors"), k, "cosine")
+    made = near.drop("number", "title")
+    if completer is None:
+        df, _new_summaries = summarize(df)
+    else:
+        summaries, _new_summaries = summarize(df, completer=completer)
+        made = made.join(summaries.select(row, "summary"), row)
+    return df.join(made, row).drop(row), new_cache
