@@ -93,6 +93,16 @@ def test_items_pass_as_rows(spark, tmpdir_path, few_partitions):
     assert sorted(((r.updatedAt - START).days, r.pos) for r in got) == [(2, large), (3, None)]
 
 
+def test_no_version_of_rows_with_nulls_is_lost(spark, tmpdir_path):
+    rows = [(None if i % 7 == 0 else i % 20, None if i % 11 == 0 else i, "s", None if i % 13 == 0 else i % 25) for i in range(400)]
+    for b in range(4):
+        land(f"{tmpdir_path}/in", b, rows[100 * b:100 * b + 100])
+    run(spark, f"{tmpdir_path}/in", f"{tmpdir_path}/log", f"{tmpdir_path}/ckpt")
+    got = V.read_versions(spark, f"{tmpdir_path}/log", spark.createDataFrame([], SCHEMA).schema).collect()
+    got = [(r.number, r.updatedAt and (r.updatedAt - START).days) for r in got]
+    assert len(got) == len(set(got)) and set(got) == {(number, day) for number, _, _, day in rows}
+
+
 def test_wrong_delay(spark):
     with pytest.raises(ValueError):
         V.version_rows(spark.createDataFrame([], SCHEMA), delay_days=-1)
