@@ -43,8 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, stage
+from .common import slices, stage
 from .components import components
+from .suffix_lm import read_words
 
 SKETCH = 1 << 17
 LEVELS = 4
@@ -54,38 +55,42 @@ FEW, TILE = 64, 256  # of round 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
+def _hashed(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` words from every place of ``words`` on."""
+    n = max(0, len(words) - k + 1)
+    s = np.full(n, np.uint64(k), np.uint64)
+    for i in range(k):
+        s = _mix(s * _PRIME + words[i:i + n])
+    return s
+
+
 class Shingler:
-    """The sorted distinct shingle hashes of a text."""
+    """The sorted distinct shingle hashes of texts, hashed together."""
 
     def __init__(self, width: int):
-        self.width, self.hashes = width, _WordHashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = split_words(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        k = min(self.width, len(words))
-        n = len(h) - k + 1
-        s = np.full(n, np.uint64(k), np.uint64)
-        for i in range(k):
-            s = _mix(s * _PRIME + h[i:i + n])
-        return np.unique(s)
+        self.width = width
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        words, sizes = read_words(texts)
+        every, stops = _hashed(words, self.width), np.cumsum(sizes)
+        new = np.ones(len(every), bool)
+        spans = list(zip((stops - sizes).tolist(), stops.tolist()))
+        for a, b in spans:
+            every[a:max(a, b - self.width + 1)].sort()
+        new[1:] = every[1:] != every[:-1]
+        out = []
+        for a, b in spans:
+            if b - a < self.width:  # the whole sequence, if any
+                out.append(_hashed(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+                continue
+            new[a] = True
+            out.append(every[a:b - self.width + 1][new[a:b - self.width + 1]])
+        return out
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -102,11 +107,9 @@ def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         names = ["doc_id", "class", "n", "bucket", "count"]
         for batch in slices(batches, 1):
             cls, n = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
-                counts += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH // 8 else 0
-                if 0 < len(s) <= SKETCH // 8:
-                    np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            sets = shingles(batch.column(1).to_pylist())
+            counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for s in sets:
                 cls.append(_class_of(s) if len(s) else None)
                 n.append(len(s))
             none = pa.nulls(len(n), pa.int64())
@@ -135,11 +138,12 @@ def prefix(s: np.ndarray, freq: np.ndarray, num: int, den: int, unit: float) ->
     level each belongs to it, and the level chosen."""
     n = len(s)
     f = freq[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    order = np.lexsort((s, f))
+    order = np.argsort(f.astype(np.int8), kind="stable")  # equally frequent ones by hash
     need = -(-num * n // den)
     base = n - need + 1
     most = min(LEVELS, need)
-    others = np.where(f[order[:base + most - 1]] > 0, np.exp2(f[order[:base + most - 1]]) * unit, 0.1)
+    first = f[order[:base + most - 1]]
+    others = np.where(first > 0, np.exp2(first) * unit, 0.1)
     reads = np.cumsum(others)[base - 1:]
     level = 1 + int(np.argmin(reads + n * reads / np.arange(1, most + 1)))
     at = order[:base + level - 1]
@@ -155,8 +159,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, width: int, num: int, den: in
         shingles = Shingler(width)
         for batch in slices(batches, 0):
             tokens, owners, metas, done = [], [], [], set()
-            for text in batch.column(0).to_pylist():
-                s = shingles(text)
+            for s in shingles(batch.column(0).to_pylist()):
                 if not len(s) or (cls := _class_of(s)) in done:
                     continue
                 done.add(cls)
@@ -269,7 +272,7 @@ def _sets_of(docs: DataFrame, of: DataFrame, asked: DataFrame, width: int) -> Da
         for batch in batches:
             take = pa.array(np.flatnonzero(_hits(ids, batch.column(1).to_numpy(zero_copy_only=False))), pa.int64())
             for part in slices([pa.RecordBatch.from_arrays([batch.column(0).take(take)], ["text"])], 0):
-                sets = [shingles(t) for t in part.column(0).to_pylist()]
+                sets = shingles(part.column(0).to_pylist())
                 cls = np.array([_class_of(s) if len(s) else 0 for s in sets], np.int64)
                 on = [i for i in np.flatnonzero(_hits(classes, cls)) if not (cls[i] in done or done.add(cls[i]))]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[on], pa.int64()), pa.array([sets[i].view(np.int64) for i in on], pa.list_(pa.int64()))],

@@ -87,3 +87,16 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 199), (199, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {200: 199}
+
+
+def test_texts_are_shingled_together(monkeypatch):
+    read, calls = nj.read_words, []
+    monkeypatch.setattr(nj, "read_words", lambda texts: calls.append(len(texts)) or read(texts))
+    texts = [r[1] for r in corpus(3)] + [None, "", " \t", "a b", "A  B", "a b c d e", "x " * 40, "end"]
+    got = nj.Shingler(5)(texts)
+    assert calls == [len(texts)]
+    want = [shingles(x) for x in texts]
+    for s in got:
+        assert s.dtype == np.uint64 and (s[1:] > s[:-1]).all()
+    assert [len(s) for s in got] == [len(s) for s in want]
+    assert [[len(np.intersect1d(x, y)) for y in got] for x in got[-30:]] == [[len(x & y) for y in want] for x in want[-30:]]
