@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuesift.llm import mixing, ngram_join, packing, quality, toxicity
-from issuesift.llm.common import held_out, stage, table
+from issuesift.llm.common import BITS_A_KEY, WORD, admit, held_out, stage, table
 from issuesift.llm.queries import tokenizer_path
 from issuesift.session import ensure_checkpoint_dir, ship_package
 
+#: Bits of the bitmap for each key whose rows may be dropped.
+SPARE_BITS = 32
+
 
 def _ready(fn: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """The stage, with the package shipped to the executors first."""
@@ -47,10 +50,22 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))), key
 
 
+def _told_apart(keyed: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is surely none of ``keys`` (distinct and staged), and the
+    others. A bitmap of the keys reaches the rows, so no text is shuffled; the
+    others are the rows of ``keys`` and about one in ``SPARE_BITS`` of all."""
+    names = keyed.columns
+    packed = keyed.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(key).alias("key"))
+    rows = admit(packed, keys.select(F.xxhash64(key).alias("key")), SPARE_BITS // BITS_A_KEY * keys.count())
+    return tuple(rows.where(c).select(*[F.col("row")[c].alias(c) for c in names]) for c in (~F.col("maybe"), F.col("maybe")))
+
+
 def _without(keyed: DataFrame, key: str, rejected: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose key is not among the ``row`` of ``rejected``."""
+    """Rows whose key is not among the ``row`` of ``rejected``. Only the texts of
+    rows that may be among them are shuffled."""
     gone = stage(rejected.select(F.col("row").alias(key)).distinct(), "rejected")
-    return keyed.join(gone, key, "left_anti").select(columns)
+    others, maybe = _told_apart(keyed, key, gone)
+    return others.unionByName(maybe.join(gone, key, "left_anti")).select(columns)
 
 
 @_ready
@@ -77,12 +92,18 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = stage(groups.select(key, F.col("component_id").alias("group_key")).distinct(), "groups")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *others, F.col(key))
-    first = keyed.join(groups, key).groupBy("group_key").agg(F.min(order).alias("best"))
+    texts = keyed.groupBy(key).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
+    texts = stage(texts.join(groups, key), "texts")
+    first = texts.groupBy("group_key").agg(F.min("best").alias("best"))
     first = stage(first.select(F.col(f"best.{key}").alias(key)), "first")
-    chosen = keyed.join(first, key, "left_semi").groupBy(key).agg(F.min(order).alias("best"), F.first("text").alias("text"))
+    # the one row of a chosen text stays where it is, as do rows without words
+    passed_over = texts.join(first, key, "left_anti").select(key)
+    touched = stage(passed_over.unionByName(texts.where("rows > 1").select(key)).distinct(), "touched")
+    untouched, maybe = _told_apart(keyed, key, touched)
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    chosen = maybe.where(worded).groupBy(key).agg(F.min(order).alias("best"), F.first("text").alias("text")).join(first, key, "left_semi")
     chosen = chosen.select(*(F.col("text" if c == "text" else f"best.`{c}`").alias(c) for c in docs.columns))
-    wordless = keyed.join(groups.select(key), key, "left_anti").select(docs.columns)
-    return chosen.unionByName(wordless)
+    return untouched.select(docs.columns).unionByName(maybe.where(~worded).select(docs.columns)).unionByName(chosen)
 
 
 @_ready

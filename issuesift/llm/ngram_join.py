@@ -317,7 +317,9 @@ def _across(posts: DataFrame, parts: DataFrame, docs: DataFrame, of: DataFrame,
     ``part``, of all classes), for every class that has one to a component."""
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     sized = parts.join(sizes, "part", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    placed = posts.join(sized, "class")
+    # similar sets share enough of their level-1 prefixes (``_needed``), whatever their levels;
+    # shingles further on, the more frequent ones, would only make more pairs
+    placed = posts.where("from_level = 0").join(sized, "class")
     mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     placed = stage(placed.join(mixed, "token"), "ngram-mixed")
     there = placed.groupBy("token", "part", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))

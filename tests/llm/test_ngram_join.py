@@ -100,3 +100,21 @@ def test_texts_are_shingled_together(monkeypatch):
         assert s.dtype == np.uint64 and (s[1:] > s[:-1]).all()
     assert [len(s) for s in got] == [len(s) for s in want]
     assert [[len(np.intersect1d(x, y)) for y in got] for x in got[-30:]] == [[len(x & y) for y in want] for x in want[-30:]]
+
+
+def test_shingles_beyond_the_first_level_make_no_pairs_between_components(spark, monkeypatch):
+    staged, stage = {}, nj.stage
+
+    def counted(df, name, *codec):
+        out = stage(df, name, *codec)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nj, "stage", counted)
+    rows = [(1, c, 20, 1, 2) for c in range(30)] + [(100 + c // 2, c, 20, 0, 2) for c in range(2)]
+    posts = spark.createDataFrame(rows, "token long, class long, n long, from_level long, level long")
+    parts = spark.createDataFrame([(c, c) for c in range(30)], "class long, part long")
+    docs = documents(spark, [(c, f"text {c}", None, None, 0) for c in range(30)]).select("doc_id", "text")
+    of = spark.createDataFrame([(c, c) for c in range(30)], "class long, doc_id long")
+    assert nj._across(posts, parts, docs, of, 5, 75, 100).count() == 0
+    assert staged["ngram-mixed"] == 2  # the level-1 shingle of two classes, not the one of 30

@@ -101,3 +101,16 @@ def test_rows_without_or_with_repeated_ids_are_judged_by_their_text(spark):
             (None, "alone without an id in this table", None, None, 0), (8, None, None, None, 0), (8, "", None, None, 0)]
     kept = sorted(map(str, ((r.doc_id, r.text) for r in cp.one_per_group(spark, documents(spark, rows), SF_SMALL).collect())))
     assert kept == sorted(map(str, [(7, long + " end"), (3, other + " end"), (None, rows[5][1]), (8, None), (8, "")]))
+
+
+def test_only_rows_that_may_go_are_shuffled(spark):
+    docs = documents(spark, [(i, f"text number {i}", "en", "a", 0) for i in range(2000)] + [(5, None, None, None, 0)])
+    keyed, key = cp._keyed(docs)
+    gone = stage(keyed.where("doc_id in (7, 8)").select(key), "gone")
+    others, maybe = cp._told_apart(keyed, key, gone)
+    assert {7, 8} <= {r.doc_id for r in maybe.collect()} and maybe.count() < 200
+    assert bag(others.unionByName(maybe)) == bag(keyed)
+    plan = others._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # that of the bitmap
+    rejected = gone.select(F.col(key).alias("row"))
+    assert bag(cp._without(keyed, key, rejected, docs.columns)) == bag(docs.where("doc_id not in (7, 8)"))
