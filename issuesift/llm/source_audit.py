@@ -1,8 +1,8 @@
 """Source divergence audit: how the terms of each source differ from those of
 the other sources of its language and of the language as a whole.
 
-Chunk factorisation: a task counts the white-space chunks of each document and
-sums them over a block of documents, so what is shuffled, by chunk, is one row
+Chunk factorisation: a task counts the white-space chunks of each document, a
+slice of documents at once, and sums them over a block of documents, so what is shuffled, by chunk, is one row
 for each block, distinct chunk and language, with the occurrences per group
 packed; no chunk has more rows than there are blocks and languages. All rows of
 a chunk meet in order; its terms are cut once and joined to them. A term with a
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, admit, slices, stage
 
-#: Bytes of text in a block.
-BLOCK = 32_000_000
+#: Bytes of text in a block, and in a slice of it whose chunks are found together.
+BLOCK, SLICE = 32_000_000, 2_000_000
 #: Kept terms in a tile, sources in a block of sources.
 TILE, SOURCES = 2048, 256
 #: Up to so many (language, source) groups reach the counts by broadcast.
@@ -65,28 +65,51 @@ def _binary(parts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(parts))])
 
 
+def _count_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct chunks of all texts; by text and chunk the chunk's place
+    there and its occurrences; and how many such rows each text has."""
+    data = b"\n".join(texts).translate(_LOWER)
+    a = np.frombuffer(data, np.uint8)
+    letter = np.zeros(len(data) + 2, bool)
+    letter[1:-1] = (a != 32) & ((a - np.uint8(9)) > 4)  # all but white space of ASCII
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    first, length = edge[::2], edge[1::2] - edge[::2]
+    found = _binary(a[letter[1:-1]], length).dictionary_encode()
+    n = max(1, len(found.dictionary))
+    stop = np.cumsum([len(x) + 1 for x in texts])
+    key = np.repeat(np.arange(len(texts)) * n, np.diff(np.searchsorted(first, stop), prepend=0)) + found.indices.to_numpy()
+    key.sort()
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    uses, key = np.diff(start, append=len(key)), key[start]
+    return found.dictionary, (key % n).astype(np.int32), uses.astype(np.int32), np.bincount(key // n, minlength=len(texts))
+
+
 class _Block:
     """Documents whose chunks are counted together."""
 
     def __init__(self) -> None:
-        self.size, self.ids, self.groups = 0, {}, {}
-        self.group, self.number, self.chunks, self.uses = [], [], [], []
-
-    def add(self, number: int, lang: str, group: int, text: bytes) -> None:
-        found = Counter(text.translate(_LOWER).split())
-        ids = self.ids
-        self.size += len(text)
-        self.group.append(self.groups.setdefault((lang, group), len(self.groups)))
-        self.number.append(number)
-        self.chunks.append(np.array([ids.setdefault(c, len(ids)) for c in found], np.int32))
-        self.uses.append(np.array(list(found.values()), np.int32))
+        self.size, self.found, self.groups = 0, 0, {}
+        self.group, self.number, self.words, self.chunks, self.uses, self.sizes = [], [], [], [], [], []
+
+    def add(self, number: int, langs: list[str], groups: list[int], texts: list[bytes]) -> None:
+        words, chunks, uses, sizes = _count_words(texts)
+        self.size += sum(map(len, texts))
+        self.group += [self.groups.setdefault(x, len(self.groups)) for x in zip(langs, groups)]
+        self.number += range(number, number + len(texts))
+        self.words.append(words)
+        self.chunks.append(chunks + np.int32(self.found))
+        self.uses.append(uses)
+        self.sizes.append(sizes)
+        self.found += len(words)
 
     def counted(self, min_docs: int) -> Iterator[pa.RecordBatch]:
         """A row for each chunk and language: documents, their numbers (8 bytes
         each) unless there are ``min_docs``, and the occurrences per group."""
-        size = [len(x) for x in self.chunks]
-        chunk, uses = np.concatenate(self.chunks), np.concatenate(self.uses)
-        self.chunks, self.uses = [], []
+        words = pa.concat_arrays(self.words).dictionary_encode()
+        size, uses = np.concatenate(self.sizes), np.concatenate(self.uses)
+        chunk = words.indices.to_numpy()[np.concatenate(self.chunks)]
+        words = words.dictionary
+        self.words, self.chunks, self.uses = [], [], []
         if not len(chunk):
             return
         n = len(self.groups)
@@ -97,7 +120,7 @@ class _Block:
         lang_of = np.array([langs.index(g[0]) for g in named])
         key = chunk.astype(np.int64) * n + np.repeat(place[self.group], size)
         del chunk
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key = key[by]
         first = np.flatnonzero(np.diff(key, prepend=-1))
         key, docs = key[first], np.diff(first, append=len(key))
@@ -109,7 +132,7 @@ class _Block:
         few = docs < min_docs
         members = np.repeat(np.array(self.number, ">i8"), size)[by][np.repeat(few, docs)]
         yield from pa.Table.from_arrays(
-            [pa.array(list(self.ids), pa.binary()).take(pa.array(row[start] // len(langs))), pa.array(langs, pa.string()).take(pa.array(row[start] % len(langs))),
+            [words.take(pa.array(row[start] // len(langs))), pa.array(langs, pa.string()).take(pa.array(row[start] % len(langs))),
              pa.array(docs), _binary(members, np.where(few, 8 * docs, 0)), _binary(packed, _USE.itemsize * np.diff(start, append=len(row)))],
             schema=_COUNTED).to_batches(50_000)
 
@@ -117,14 +140,13 @@ class _Block:
 def _count_chunks(min_docs: int, block_bytes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = _Block(), TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, min(SLICE, block_bytes)):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for lang, group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                if block.group and block.size + len(text) > block_bytes:
-                    yield from block.counted(min_docs)
-                    block = _Block()
-                block.add(number, lang, group, text)
-                number += 1
+            if block.group and block.size + sum(map(len, texts)) > block_bytes:
+                yield from block.counted(min_docs)
+                block = _Block()
+            block.add(number, batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)
+            number += len(texts)
         if block.group:
             yield from block.counted(min_docs)
 

@@ -7,7 +7,7 @@ import re
 import string
 from collections import Counter
 
-from issuesift.llm.source_audit import audit_sources, group_terms
+from issuesift.llm.source_audit import _count_words, audit_sources, group_terms
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -80,3 +80,16 @@ def test_top_ranks_ties_and_no_kept_terms(spark):
 def test_empty_table(spark):
     assert audit_sources(frame(spark, [])).collect() == []
     assert audit_sources(frame(spark, [(None, None, None)])).collect() == []
+
+
+def test_chunks_of_a_slice_are_counted_together():
+    rng = random.Random(3)
+    letters = [chr(b).encode() for b in range(128)] + ["é".encode(), "\u3000".encode(), "\x85".encode(), b" ", b" ", b"\n"]
+    texts = [b"".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(300)] + [b"", b" \t", b"aB Ab ab", b""]
+    for given in (texts, [b""], [b" ", b""], [b"a"], [b"", b"a A"]):
+        words, chunks, uses, sizes = _count_words(given)
+        assert len(set(words.to_pylist())) == len(words)
+        found = zip(words.take(chunks).to_pylist(), uses.tolist())
+        for text, size in zip(given, sizes.tolist()):
+            assert dict(next(found) for _ in range(size)) == Counter(text.lower().split())
+        assert next(found, None) is None
