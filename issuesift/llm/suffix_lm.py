@@ -49,7 +49,7 @@ BITS = 28  # log2 of the largest bit set
 SLICE = 8_000_000  # bytes of text counted together, about
 PIECE = 100_000  # bytes hashed together, about
 PACKED = 500_000  # rows packed together at most
-HELD = 2_000_000  # grams held by a task before they are sent, about
+HELD = 1_000_000  # grams held by a task before they are sent, about
 GROUP = 250_000  # tokens whose grams are a bucket
 ASKED = 4_000_000  # bytes of text whose questions are a bucket; half of it asks together
 LEAD, FIN, RARE = (np.uint64(x) for x in (0x6C62272E07BB0142, 0x27D4EB2F165667C5, 0x165667B19E3779F9))
@@ -299,24 +299,33 @@ def n_bits(size: int, each: int) -> int:
     return min(30, max(1, (int(size) // each).bit_length()))
 
 
+def _summed(grams: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, grams and summed counts. Grams of two columns are pairs,
+    whose key follows from both symbols; the third column is the key."""
+    keys = _longer(grams[:, 0], grams[:, 1]) if grams.shape[1] == 2 else grams[:, 2]
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+    return keys[first], grams[order[first]], np.add.reduceat(c[order], first) if len(first) else c
+
+
+def _sent(held: list[tuple[np.ndarray, np.ndarray]], log2: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the grams and counts in ``held``, which is emptied before they
+    are sorted: a task holds them once."""
+    grams, c = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    keys, grams, c = _summed(grams, c)
+    for columns in packed(log2, keys, grams, c):
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "grams", "counts"])
+
+
 def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bits] | None, log2: int) -> DataFrame:
     """``key``, ``context`` (without the newest symbol), ``suffix`` (without the
     oldest), ``c`` of the wanted grams of ``length`` symbols. ``before``: what
     was wanted one symbol shorter, and what of it has ``MIN_COUNT``. Grams
     counted in a slice of texts travel packed, by ``log2`` bits of their key."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, before))
-    n = 2 if length == 2 else 3  # the key of a pair follows from both symbols
-
-    def summed(grams: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = _longer(grams[:, 0], grams[:, 1]) if n == 2 else grams[:, 2]
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
-        return keys[first], grams[order[first]], np.add.reduceat(c[order], first) if len(first) else c
-
-    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for columns in packed(log2, *summed(*(np.concatenate(x) for x in zip(*held)))):
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "grams", "counts"])
+    n = 2 if length == 2 else 3
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, before = shared.value
@@ -336,13 +345,13 @@ def _seen(docs: DataFrame, length: int, wanted: Wanted, before: tuple[Wanted, Bi
             held.append((np.column_stack([part[at - 1], part[at], keys][:n]), c.astype(np.int64)))
             n_held += len(at)
             if n_held >= HELD:
-                yield from sent(held)
-                held, n_held = [], 0
+                yield from _sent(held, log2)
+                n_held = 0
         if held:
-            yield from sent(held)
+            yield from _sent(held, log2)
 
     def add(bucket: pa.Table) -> pa.Table:
-        keys, grams, c = summed(unpacked(bucket.column("grams"), "<u8").reshape(-1, n), unpacked(bucket.column("counts"), "<i8"))
+        keys, grams, c = _summed(unpacked(bucket.column("grams"), "<u8").reshape(-1, n), unpacked(bucket.column("counts"), "<i8"))
         enough = c >= MIN_COUNT
         return pa.table([*(pa.array(x[enough].view(np.int64)) for x in (keys, grams[:, 0], grams[:, 1])), pa.array(c[enough])],
                         ["key", "context", "suffix", "c"])

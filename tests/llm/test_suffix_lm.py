@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,35 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     for piece in (1, 7, 64):
         monkeypatch.setattr(suffix_lm, "PIECE", piece)
         assert suffix_lm.hash_words(data)[0].tolist() == hashes.tolist()
+
+
+def test_grams_are_held_once_when_they_are_sent():
+    rng = np.random.default_rng(5)
+    for n in (2, 3):
+        keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+        table = np.column_stack([suffix_lm._mix(keys), keys, keys][:n])
+        picks = [rng.integers(0, len(keys), 25_000) for _ in range(8)]
+        held = [(table[x], np.full(len(x), 2)) for x in picks]
+        size = sum(a.nbytes + c.nbytes for a, c in held)
+        tracemalloc.start()
+        sent = suffix_lm._sent(held, 4)
+        batches = [next(sent)]
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        batches += sent
+        assert not held and most < 2.5 * size
+        got = pa.Table.from_batches(batches)
+        grams, counts = suffix_lm.unpacked(got.column("grams"), "<u8").reshape(-1, n), suffix_lm.unpacked(got.column("counts"), "<i8")
+        want = Counter(np.concatenate(picks).tolist())
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        assert {place[k]: c for k, c in zip(grams[:, 1].tolist(), counts.tolist())} == {i: 2 * c for i, c in want.items()}
+
+
+def test_what_a_task_holds_does_not_change_scores(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{zlib.crc32(str(i // 3 + k // 4).encode()) % 9}" for k in range(rng.randint(0, 40))) for i in range(200)]
+    docs = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    want = {r.doc_id: r.score for r in suffix_lm.score_texts(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(suffix_lm, "HELD", 3)
+    got = {r.doc_id: r.score for r in suffix_lm.score_texts(docs, F.lit(True)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([want[i] for i in range(len(texts))])
