@@ -50,8 +50,9 @@ def _within(lengths: DataFrame, limit: int) -> DataFrame:
 
 
 def _gather(kept: DataFrame, part: str, cut_flag: str) -> DataFrame:
-    """Join kept parts in ``idx`` order; flag issues whose comments were cut."""
-    return (kept.groupBy(*KEY)
+    """Join kept parts in ``idx`` order; flag issues whose comments were cut. The parts
+    are dealt as the join with the issues of one ``repo`` needs them, so they move once."""
+    return (kept.repartition("number").groupBy(*KEY)
             .agg(F.array_sort(F.collect_list(F.when(~F.col(cut_flag), F.struct("idx", part))))
                  .alias("_parts"),
                  F.bool_or(F.col(cut_flag)).alias("_cut")))

@@ -36,6 +36,10 @@ KEY = ["repo", "number"]
 EMBED_T = "array<float>"
 #: Rows and bytes of text a model is given at once.
 PART_ROWS, PART_BYTES = 1000, 4_000_000
+#: How hard stored texts are compressed.
+TEXT_LEVEL = 9
+#: Row ids that may be sent to every task.
+FEW_ROWS = 500_000
 #: Tokens whose places a task remembers.
 PLACES_KEPT = 200_000
 _TOKEN = re.compile(rb"[a-z0-9]+")
@@ -102,14 +106,37 @@ def _hashing_embedder(texts: DataFrame, dims: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, f"key string, value {EMBED_T}")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """``df`` computed once, into the shared checkpoint folder."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written_texts(df: DataFrame, name: str, texts: list[str]) -> DataFrame:
+    """``_written``, with columns ``texts`` side by side in one array: what they share
+    (a body is part of its conversation) is then compressed away."""
+    packed = "_texts"
+    while packed in df.columns:
+        packed += "_"
+    stored = _written(df.select(*[c for c in df.columns if c not in texts], F.array(*texts).alias(packed)), name, TEXT_LEVEL)
+    return stored.select(*[F.col(packed)[texts.index(c)].alias(c) if c in texts else F.col(c) for c in df.columns])
+
+
+def _first_rows(keyed: DataFrame, cache: DataFrame | None, row: str) -> tuple[DataFrame, DataFrame]:
+    """``cache_lookup`` without dealing out the texts: the hits, and of ``keyed``
+    (``key``, ``row``, texts) one row of each key the cache lacks. Rows are chosen by
+    ``row``, which tells them apart; only where both the rows taken and those left
+    are many do the texts move."""
+    hits, misses = cache_lookup(keyed.select("key", row), cache)
+    taken = _written(misses.select(row), "taken")
+    spare = _written(keyed.select(row).join(taken, row, "left_anti"), "spare")
+    if spare.count() <= FEW_ROWS:
+        return hits, keyed.join(F.broadcast(spare), row, "left_anti")
+    return hits, keyed.join(F.broadcast(taken) if taken.count() <= FEW_ROWS else taken, row, "left_semi")
+
+
 def _model(fn: Callable[[pd.Series], pd.Series], kind: pa.DataType):
     """``fn`` over the texts of ``(key, text)`` batches, a part at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +157,14 @@ def embed_texts(texts: DataFrame, embedder: Callable[[pd.Series], pd.Series] | N
 
 def embed_issues(df: DataFrame, text_col: str = "embed_text", cache: DataFrame | None = None,
                  embedder: Callable[[pd.Series], pd.Series] | None = None, model: str = "local-hash",
-                 dims: int = 256) -> tuple[DataFrame, DataFrame]:
+                 dims: int = 256, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Append ``embedding`` (null for blank text) and return
-    ``(issues_with_embedding, new_cache_rows)``."""
+    ``(issues_with_embedding, new_cache_rows)``. ``row`` names a column that tells the
+    rows of a stored ``df`` apart: texts are then read where they are stored."""
     t = F.col(text_col)
     keyed = df.withColumn("_key", F.when(~is_blank(t), cache_key(t, model)))
-    texts = keyed.where(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), t.alias("raw"))
-    hits, misses = cache_lookup(texts, cache)
+    texts = keyed.where(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), t.alias("raw"), *([row] if row else []))
+    hits, misses = cache_lookup(texts, cache) if row is None else _first_rows(texts, cache, row)
     todo = misses.select("key", sanitize(F.col("raw")).alias("text"), "raw").where(F.length("text") > 0)
     new = _written(embed_texts(todo.select("key", "text"), embedder, dims), "embedded")
     if embedder is not None:

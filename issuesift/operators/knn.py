@@ -29,12 +29,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .knn_cells import PLACES, SPREAD, knn_cells
+from .knn_blocks import Best, Rows, knn_blocks, search, separable
+from .knn_blocks import screen as _distances
+from .knn_cells import SPREAD, knn_cells
 
 KEY = ["repo", "number"]
 DEFAULT_BLOCK_ROWS = 2048
-#: From so many vectors on the pivot cells of ``knn_cells`` search instead of the grid.
+#: From so many vectors on the pivot cells of ``knn_cells`` or the blocks of ``knn_blocks`` search instead of the grid.
 CELLS_FROM = 50_000
+#: Cells pay where they leave out all but such a share of the pairs.
+CELLS_SHARE = 0.1
 MIN_BLOCK_ROWS = 128
 #: Distances a task holds at once: so many rows by so many.
 TILE_ROWS = 2048
@@ -91,67 +95,31 @@ def similar_issues(df: DataFrame, number: int, threshold: float = 0.8, limit: in
 
 
 # ---------------------------------------------------------------- K1 / K3 exact
-def _distances(Q: np.ndarray, C: np.ndarray, metric: str) -> np.ndarray:
-    """Rounded, so that equal vectors tie whatever tile computed them."""
-    if metric == "cosine":
-        qn = np.linalg.norm(Q, axis=1)
-        cn = np.linalg.norm(C, axis=1)
-        Qu = np.divide(Q, qn[:, None], out=np.zeros_like(Q), where=qn[:, None] > 0)
-        Cu = np.divide(C, cn[:, None], out=np.zeros_like(C), where=cn[:, None] > 0)
-        return np.round(1.0 - Qu @ Cu.T, PLACES) + 0.0
-    sq = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-    return np.round(np.sqrt(np.maximum(sq, 0.0)), PLACES) + 0.0
-
-
-def _topk_rows(D: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int) -> pd.DataFrame:
-    """Per row of D the k smallest (distance, candidate id); ``cid`` ascending,
-    self pairs masked. Ties at the cut are resolved by candidate id."""
-    D = D.copy()
-    D[qid[:, None] == cid[None, :]] = np.inf
-    kk = min(k, D.shape[1])
-    part = np.argpartition(D, kk - 1, axis=1)[:, :kk]
-    thr = np.take_along_axis(D, part, axis=1).max(axis=1)
-    ties = np.nonzero((D <= thr[:, None]).sum(axis=1) > kk)[0]
-    if len(ties):
-        # a stable sort keeps ascending candidate id among equal distances
-        part[ties] = np.argsort(D[ties], axis=1, kind="stable")[:, :kk]
-    r = np.repeat(np.arange(D.shape[0]), kk)
-    cc = part.ravel()
-    d = D[r, cc]
-    ok = np.isfinite(d)
-    return pd.DataFrame({"q": qid[r[ok]], "c": cid[cc[ok]], "distance": d[ok]})
-
-
-def _best(found: pd.DataFrame | None, more: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k smallest (distance, candidate id) of each row over two tiles."""
-    if found is None:
-        return more
-    return pd.concat([found, more]).sort_values(["q", "distance", "c"]).groupby("q").head(k)
-
-
 def _pair_topk(k: int, metric: str):
-    """One (lo, hi) block pair, tile by tile: one distance matrix serves both directions."""
+    """One (lo, hi) block pair, tile by tile: one matrix serves both directions, and
+    only pairs that it does not prove too far are computed exactly (``knn_blocks``)."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
-        a = g[g["blk"] == lo].sort_values("id", kind="stable")
-        b = a if lo == hi else g[g["blk"] == hi].sort_values("id", kind="stable")
+
+        def rows(part: pd.DataFrame) -> Rows:
+            return Rows(part["id"].to_numpy(np.int64), np.vstack(part["v"].to_numpy()), metric)
+
+        a, b = g[g["blk"] == lo], g[g["blk"] == hi]
         if a.empty or b.empty:
             return pd.DataFrame({"q": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="int64"),
                                  "distance": pd.Series([], dtype="float64")})
-        aid, bid = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
-        A = np.vstack([np.asarray(v, dtype=np.float64) for v in a["v"].to_numpy()])
-        B = A if lo == hi else np.vstack([np.asarray(v, dtype=np.float64) for v in b["v"].to_numpy()])
-        out, back = [], {}
-        for i in range(0, len(A), TILE_ROWS):
-            best = None
-            for j in range(0, len(B), TILE_ROWS):
-                qid, cid = aid[i:i + TILE_ROWS], bid[j:j + TILE_ROWS]
-                D = _distances(A[i:i + TILE_ROWS], B[j:j + TILE_ROWS], metric)
-                best = _best(best, _topk_rows(D, qid, cid, k), k)
+        a = rows(a)
+        b = a if lo == hi else rows(b)
+        best, back = Best(len(a), k), Best(len(b), k)
+        for i in range(0, len(a), TILE_ROWS):
+            for j in range(0, len(b), TILE_ROWS):
+                q, c = a.part(i, i + TILE_ROWS), b.part(j, j + TILE_ROWS)
+                low = _distances(q, c, metric)
+                search(best.part(i, i + TILE_ROWS), q, c, metric, low)
                 if lo != hi:
-                    back[j] = _best(back.get(j), _topk_rows(D.T, cid, qid, k), k)
-            out.append(best)
-        return pd.concat([*out, *back.values()], ignore_index=True)
+                    search(back.part(j, j + TILE_ROWS), c, q, metric, low, back=True)
+        found = [best.found(a.ids), *([] if lo == hi else [back.found(b.ids)])]
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("q", "c", "distance"), zip(*found))})
     return run
 
 
@@ -167,21 +135,25 @@ def knn_pairs(df: DataFrame, k: int = 4, metric: str = "cosine", id_col: str = "
     ``cosine`` (1 - cosine similarity) or ``euclidean``.
 
     ``method`` is ``grid`` (the above), ``cells`` (``knn_cells``: pivot cells and
-    the triangle inequality) or ``auto``: cells from ``CELLS_FROM`` vectors on,
-    where their extra rounds cost less than the pairs they leave out. Both are
-    exact and give the same rows.
+    the triangle inequality), ``blocks`` (``knn_blocks``: all pairs, no vector
+    shuffled) or ``auto``: from ``CELLS_FROM`` vectors on cells, where a sample says
+    that they leave out most pairs, or else blocks. All are exact and give the same rows.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("metric must be cosine or euclidean")
-    if method not in ("auto", "grid", "cells"):
-        raise ValueError("method must be auto, grid or cells")
+    if method not in ("auto", "grid", "cells", "blocks"):
+        raise ValueError("method must be auto, grid, cells or blocks")
     if method == "cells":
         return knn_cells(df, k, metric, id_col, vec_col, cell_rows=block_rows)[0]
     emb = df.where(has_embedding(vec_col)).select(F.col(id_col).cast("bigint").alias("id"),
                                                   F.col(vec_col).alias("v"))
+    if method == "blocks":
+        return knn_blocks(emb, k, metric)
     if num_blocks is None:
         n = emb.count()
         if method == "auto" and n >= CELLS_FROM:
+            if separable(emb, metric) > CELLS_SHARE:
+                return knn_blocks(emb, k, metric)
             return knn_cells(df, k, metric, id_col, vec_col, cell_rows=block_rows)[0]
         # enough block pairs for all task slots, of at least MIN_BLOCK_ROWS rows a block
         slots = df.sparkSession.sparkContext.defaultParallelism
@@ -234,17 +206,18 @@ def knn_lsh(df: DataFrame, k: int = 4, bucket_length: float = 1.0, num_tables: i
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    emb = df.where(has_embedding()).select(F.col("number").cast("bigint").alias("id"),
+    emb = df.where(has_embedding()).select(F.col("number").cast("bigint").alias("id"), F.col("embedding").alias("v"),
                                            array_to_vector(F.col("embedding")).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="vec", p=2.0).transform(emb)
     model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(unit)
     hashed = (model.transform(unit)
-              .select("id", vector_to_array("vec").alias("v"), F.posexplode("h").alias("t", "hv"))
+              .select("id", "v", F.posexplode("h").alias("t", "hv"))
               .select("id", "v", "t", vector_to_array("hv")[0].alias("b")))
     sizes = hashed.groupBy("t", "b").agg(F.count(F.lit(1)).alias("_n"))
     sub = F.least(F.lit(BUCKET_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows)))).cast("int")
-    blocked = (hashed.join(sizes, ["t", "b"])
+    # unit vectors fall into 2 / bucket_length + 2 buckets of a table at most
+    blocked = (hashed.join(F.broadcast(sizes), ["t", "b"])
                .withColumn("_s", sub)
                .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int")))
     rep = (blocked.select("id", "v", "t", "b", "blk", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("o"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators.metrics import add_metrics, add_quartiles
+from ..session import release
 
 
 def enrich_metrics(issues: DataFrame, comments: DataFrame, reactions: DataFrame | None = None,
@@ -97,32 +98,48 @@ def enrich(issues: DataFrame, comments: DataFrame, reactions: DataFrame | None =
     k-NN lists. Returns ``(enriched issues, new embedding-cache rows)``.
 
     ``materialize`` stores the texts and metrics once, compressed, in the shared
-    checkpoint folder. Later steps read the columns they need from there and make
-    narrow tables by row; the texts are joined to them once, in the result."""
+    checkpoint folder, the conversations first, then the texts to embed, so the files
+    of one shuffle are gone before the next. Later steps read the columns they need
+    from there and make narrow tables by row; the texts are joined to them once, in
+    the result."""
     from ..operators.conversation import conversation, embedding_text
-    from ..operators.embed import _written, embed_issues, summarize
+    from ..operators.embed import TEXT_LEVEL, _written, _written_texts, embed_issues, summarize
     from ..operators.knn import knn_neighbors
 
-    df = embedding_text(conversation(issues, comments, reactions), comments)
-    df = df.drop("summary") if "summary" in df.columns else df
     if not materialize:
+        df = embedding_text(conversation(issues, comments, reactions), comments)
+        df = df.drop("summary") if "summary" in df.columns else df
         df, new_cache = embed_issues(df, "embed_text", cache=embed_cache, embedder=embedder)
         df = enrich_metrics(df, comments, reactions, quantile_method=quantile_method)
         df, _new_summaries = summarize(df, completer=completer)
         return knn_neighbors(df, k, "cosine"), new_cache
 
+    spark = issues.sparkSession
+    df = conversation(issues, comments, reactions)
+    df = df.drop("summary") if "summary" in df.columns else df
     row = "_row"
     while row in df.columns:
         row += "_"
     df = add_metrics(df, comments, reactions).withColumn(row, F.monotonically_increasing_id())
-    df = add_quartiles(_written(df, "enriched"), method=quantile_method)
-    vectors, new_cache = embed_issues(df.select(row, "number", "title", "embed_text"), "embed_text",
-                                      cache=embed_cache, embedder=embedder)
-    near = knn_neighbors(_written(vectors.drop("embed_text"), "vectors"), k, "cosine")
-    made = near.drop("number", "title")
+    df = _written_texts(df, "enriched", ["body", "conversation"])
+    release(spark)
+    texts = embedding_text(df.select(row, "repo", "number", "title", "body"), comments)
+    texts = _written(texts.select(row, "number", "title", "embed_text"), "texts", TEXT_LEVEL)
+    release(spark)
+    df = add_quartiles(df, method=quantile_method)
+    vectors, new_cache = embed_issues(texts, "embed_text", cache=embed_cache, embedder=embedder, row=row)
+    vectors = _written(vectors.drop("embed_text"), "vectors")
+    release(spark)
+    near = knn_neighbors(vectors, k, "cosine")
+    release(spark)
+    near = near.select(row, *[c for c in near.columns if c not in vectors.columns])
+    made = vectors.select(row, "embedding").join(near, row).join(texts.select(row, "embed_text"), row)
     if completer is None:
         df, _new_summaries = summarize(df)
     else:
         summaries, _new_summaries = summarize(df, completer=completer)
         made = made.join(summaries.select(row, "summary"), row)
-    return df.join(made, row).drop(row), new_cache
+    columns = [c for c in df.columns if c != row]
+    at = columns.index("conversation") + 1
+    out = df.join(made, row)
+    return out.select(*columns[:at], "embed_text", *columns[at:], *[c for c in made.columns if c not in (row, "embed_text")]), new_cache

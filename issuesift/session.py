@@ -6,6 +6,7 @@ its settings. ``get_spark`` exists for tests, the bench and local runs.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -89,6 +90,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def release(spark: SparkSession) -> None:
+    """Remove shuffle files of plans that nothing holds any more: Spark does so once
+    the driver collects its garbage, which may be long after the next step began."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for materialised intermediate tables under the checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
